@@ -217,5 +217,6 @@ def best_fit_packing(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id
 
     Tokens are made once; the packing carries lengths and places only."""
     bins = residual_packing(materialise(tokenized(docs, tokenizer_path, doc_id, text, capacity), "pieces"), capacity)
-    numbered = bins.select(F.monotonically_increasing_id().alias("sequence_id"), F.explode("items").alias("p"))
+    numbered = bins.select(F.monotonically_increasing_id().alias("sequence_id"), "items")
+    numbered = numbered.select("sequence_id", F.explode("items").alias("p"))  # after the numbering, which is by bin
     return numbered.select("p.doc_id", "p.piece", "p.start", "p.length", "p.ids_crc32", "sequence_id", "p.offset")
