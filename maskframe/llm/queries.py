@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .op1_language_id import language_id
 from .op2_sharding import shards
+from .op4_decontamination import decontaminate
 from .op7_packing import best_fit_packing
 from .op9_host_rules import host_rules
 
@@ -24,6 +26,12 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards(table(spark, sf_dir, "documents"), 8)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ","), 256)
+    return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
