@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .op1_language_id import language_id
+from .op10_simhash import simhash_classes
 from .op2_sharding import shards
 from .op4_decontamination import decontaminate
 from .op7_packing import best_fit_packing
@@ -43,6 +44,11 @@ def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash_classes(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit() and callable(f)}
 
