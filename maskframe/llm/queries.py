@@ -11,6 +11,7 @@ from .op1_language_id import language_id
 from .op10_simhash import simhash_classes
 from .op2_sharding import shards
 from .op4_decontamination import decontaminate
+from .op5_secret_scans import BASE_KINDS, listed, secret_scan
 from .op7_packing import best_fit_packing
 from .op9_host_rules import host_rules
 
@@ -33,6 +34,13 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
 
 
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = secret_scan(table(spark, sf_dir, "documents"))
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
+    return rows.select("doc_id", *(of(k).alias(f"n_{k}") for k in BASE_KINDS), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
