@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .op1_language_id import language_id
 from .op10_simhash import simhash_classes
 from .op2_sharding import shards
+from ._common import scratch_path
+from .op3_warc import read_warc, write_warc
 from .op4_decontamination import decontaminate
 from .op5_secret_scans import BASE_KINDS, listed, secret_scan
 from .op7_packing import best_fit_packing
@@ -28,6 +30,13 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards(table(spark, sf_dir, "documents"), 8)
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    write_warc(table(spark, sf_dir, "pages"), path)
+    rows = read_warc(spark, path, with_payload=False)
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("items", ","), 256)
