@@ -78,6 +78,13 @@ def with_fingerprints(docs: DataFrame, keys: list[Column], text: str = "text") -
 # BK-trees ---------------------------------------------------------------------------------------
 
 
+def _central_first(points: np.ndarray) -> np.ndarray:
+    """The order of a shard's points by their distance to the bits that most of them have."""
+    bits = np.unpackbits(points.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    most = np.packbits(2 * np.add.reduce(bits, axis=0, dtype=np.int64) > len(points), bitorder="little").view("<u8")[0]
+    return np.argsort(np.bitwise_count(points ^ most), kind="stable")
+
+
 class Forest:
     """BK-trees over runs of points, one tree a run, in arrays. A point's number is its node's number."""
 
@@ -86,7 +93,8 @@ class Forest:
         self.points = points
         sizes = np.diff(np.append(runs, len(points)))
         self.root = np.repeat(runs, sizes)
-        parents, edges, children = [], [], []
+        self.size = np.repeat(sizes, sizes)
+        parents, children = [], []
         node, rest = self.root, np.arange(len(points))
         rest = rest[rest != node]
         node = node[rest]
@@ -96,53 +104,56 @@ class Forest:
             order = np.argsort(key, kind="stable")
             rest, key = rest[order], key[order]
             head = np.append(True, key[1:] != key[:-1])
-            group = np.cumsum(head) - 1
             child = rest[head]
             parents.append(key[head])
             children.append(child)
-            node = child[group]
+            node = child[np.cumsum(head) - 1]
             rest, node = rest[~head], node[~head]
         self.keys = np.concatenate(parents) if parents else np.empty(0, np.int64)
         self.children = np.concatenate(children) if children else np.empty(0, np.int64)
         order = np.argsort(self.keys, kind="stable")
         self.keys, self.children = self.keys[order], self.children[order]
 
-    def links(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of points of one tree at most `radius` apart, the larger number first."""
-        sizes = np.bincount(self.root, minlength=len(self.points))[self.root]
-        cuts = np.searchsorted(np.cumsum(sizes), np.arange(FRONTIER, int(sizes.sum()) + FRONTIER, FRONTIER))
-        begin = 0
-        for end in [*np.unique(cuts).tolist(), len(self.points)]:
-            query = np.arange(begin, min(end + 1, len(self.points)))
-            begin = end + 1
-            node = self.root[query]
-            while len(query):
-                far = np.bitwise_count(self.points[query] ^ self.points[node]).astype(np.int64)
-                hit = (far <= radius) & (query > node)
-                if hit.any():
-                    yield query[hit], node[hit]
-                low = np.searchsorted(self.keys, node * 128 + np.maximum(far - radius, 0))
-                n = np.searchsorted(self.keys, node * 128 + far + radius, side="right") - low
-                query = np.repeat(query, n)
-                node = self.children[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(len(query))]
-
-
-def classes(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least number of each number's class, given links."""
-    label = np.arange(n)
+    def near(self, query: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of a query and another point of its tree at most `radius` apart, a level of the trees at a time."""
+        node = self.root[query]
+        while len(query):
+            far = np.bitwise_count(self.points[query] ^ self.points[node]).astype(np.int64)
+            hit = (far <= radius) & (query != node)
+            if hit.any():
+                yield query[hit], node[hit]
+            low = np.searchsorted(self.keys, node * 128 + np.maximum(far - radius, 0))
+            n = np.searchsorted(self.keys, node * 128 + far + radius, side="right") - low
+            query = np.repeat(query, n)
+            node = self.children[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(len(query))]
+
+    def classes(self, radius: int) -> np.ndarray:
+        """The least number of each point's class by links at most `radius` long.
+
+        A point that is already in the class of its tree's root needs no search: a link that leads out of
+        that class is found from its other end."""
+        label = np.arange(len(self.points))
+        block = (np.cumsum(self.size) - self.size) // FRONTIER
+        for query in np.split(label.copy(), np.flatnonzero(np.diff(block)) + 1) if len(label) else []:
+            query = query[(self.size[query] > 1) & ((query == self.root[query]) | (label[query] != label[self.root[query]]))]
+            for a, b in self.near(query, radius):
+                link(label, a, b)
+        return label
+
+
+def link(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Merge the classes of linked numbers; labels are the classes' least numbers before and after."""
     while len(a):
         la, lb = label[a], label[b]
-        low = np.minimum(la, lb)
-        np.minimum.at(label, la, low)
-        np.minimum.at(label, lb, low)
-        while True:
+        apart = la != lb
+        a, b = a[apart], b[apart]
+        high, low = np.maximum(la, lb)[apart], np.minimum(la, lb)[apart]
+        np.minimum.at(label, high, low)
+        while len(a):
             up = label[label]
             if (up == label).all():
                 break
-            label = up
-        open_ = label[a] != label[b]
-        a, b = a[open_], b[open_]
-    return label
+            label[:] = up
 
 
 def _forest_stars(radius: int):
@@ -150,11 +161,10 @@ def _forest_stars(radius: int):
 
     def stars(table: np.ndarray, key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
         runs = np.flatnonzero(np.append(True, (table[1:] != table[:-1]) | (key[1:] != key[:-1])))
-        forest = Forest(fp.view(np.uint64), runs)
-        found = list(forest.links(radius))
-        a = np.concatenate([x for x, _ in found]) if found else np.empty(0, np.int64)
-        b = np.concatenate([x for _, x in found]) if found else np.empty(0, np.int64)
-        label = classes(len(fp), a, b)
+        ends = np.append(runs[1:], len(fp))
+        for a, b in zip(runs[ends - runs > 100].tolist(), ends[ends - runs > 100].tolist()):
+            fp[a:b] = fp[a:b][_central_first(fp[a:b].view(np.uint64))]
+        label = Forest(fp.view(np.uint64), runs).classes(radius)
         own = np.flatnonzero(label != np.arange(len(fp)))
         return pa.RecordBatch.from_arrays([pa.array(fp[own]), pa.array(fp[label[own]])], names=["a", "b"])
 
@@ -162,7 +172,7 @@ def _forest_stars(radius: int):
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
         for batch in batches:
-            held.append(tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("table", "key", "fp")))
+            held.append(tuple(batch.column(c).to_numpy(zero_copy_only=False).copy() for c in ("table", "key", "fp")))
             size += batch.num_rows
             if size >= FOREST_ROWS:
                 table, key, fp = (np.concatenate(x) for x in zip(*held))
