@@ -14,6 +14,7 @@ from ._common import scratch_path
 from .op3_warc import read_warc, write_warc
 from .op4_decontamination import decontaminate
 from .op5_secret_scans import BASE_KINDS, listed, secret_scan
+from .op6_suffix_dedup import remove_repeats
 from .op7_packing import best_fit_packing
 from .op9_host_rules import host_rules
 
@@ -50,6 +51,10 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *(of(k).alias(f"n_{k}") for k in BASE_KINDS), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
