@@ -1,11 +1,54 @@
-"""The corpus pipeline: language ID, near-dedup, decontamination, secret scans, packing."""
+"""The corpus pipeline: language ID, near-dedup, decontamination, secret scans, packing.
 
-STAGES = []
+Each stage takes the documents that its predecessor kept and returns them with the columns of
+`documents`; the last one returns the packed pieces."""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from maskframe.llm import op1_language_id, op4_decontamination, op5_secret_scans, op7_packing, op10_simhash
+
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is known; those without letters go."""
+    return op1_language_id.keep_known(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least id of each class of near copies."""
+    return op10_simhash.drop_near_duplicates(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which less than a twentieth is benchmark text."""
+    return op4_decontamination.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets replaced by a mark."""
+    return op5_secret_scans.redact(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces and their places in sequences."""
+    return op7_packing.best_fit_packing(docs, TOKENIZER)
+
+
+STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("redact_secrets", redact_secrets), ("pack", pack)]
+
+#: Packing and SimHash can't be stated in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`, each one's result written to the shared folder and read again by the next."""
+    from maskframe.llm._common import materialise
+
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

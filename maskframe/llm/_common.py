@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,18 @@ def shared_dir(spark: SparkSession) -> str:
     return _local["path"]
 
 
+def shipped(df: DataFrame) -> DataFrame:
+    """df, after its executors have been given this package (once a session), for functions that run there."""
+    context = df.sparkSession.sparkContext
+    if _local.get("shipped") != context.applicationId:
+        package = Path(__file__).resolve().parent.parent
+        folder = tempfile.mkdtemp(prefix="maskframe-")  # on the driver, which serves the file from there
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.addPyFile(shutil.make_archive(f"{folder}/{package.name}", "zip", package.parent, package.name))
+        _local["shipped"] = context.applicationId
+    return df
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import chunks, fresh, materialise
+from ._common import chunks, fresh, materialise, shipped
 
 RADIUS = 4
 SHINGLE = 4
@@ -72,7 +72,7 @@ def with_fingerprints(docs: DataFrame, keys: list[Column], text: str = "text") -
 
     df = docs.select(*keys, F.col(text).cast("binary").alias("text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != "text")
-    return df.mapInArrow(run, f"{schema}, fp long")
+    return df.transform(shipped).mapInArrow(run, f"{schema}, fp long")
 
 
 # BK-trees ---------------------------------------------------------------------------------------
@@ -223,7 +223,7 @@ def near_links(fps: DataFrame, radius: int = RADIUS, hot_shard: int = HOT_SHARD)
     cool = keyed.join(hot, ["table", "key"], "left_anti") if some else keyed
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = cool.repartition(max(parts, -(-n // FOREST_ROWS)), "table", "key").sortWithinPartitions("table", "key")
-    links = dealt.mapInArrow(_forest_stars(radius), "a long, b long")
+    links = dealt.transform(shipped).mapInArrow(_forest_stars(radius), "a long, b long")
     if some:
         members = keyed.join(hot, ["table", "key"], "left_semi").select("fp").distinct()
         links = links.unionByName(_midpoint_links(members, radius))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import chunks, held_out, mix64, trainable
+from ._common import chunks, fresh, held_out, mix64, shipped, trainable
 
 SAMPLE_DOCS = 2000
 LEAST_SHARE = 2e-5
@@ -142,7 +142,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", order: Colu
         return BitmaskFilter([], np.zeros((1, 1024), np.uint8), np.zeros(0))
     table = rows.sparkSession.createDataFrame([(k, i, min(1.0, sample_docs / sizes[k])) for i, k in enumerate(languages)], "lang string, language int, share double")
     sample = rows.join(F.broadcast(table), "lang").where(F.pmod("h", F.lit(1_000_000)) < F.col("share") * 1_000_000).select("language", "text")
-    counts = sample.mapInArrow(_count_grams, "language int, gram long, n long").groupBy("language", "gram").agg(F.sum("n").alias("n"))
+    counts = sample.transform(shipped).mapInArrow(_count_grams, "language int, gram long, n long").groupBy("language", "gram").agg(F.sum("n").alias("n"))
     totals = counts.groupBy("language").agg(F.sum("n").alias("total"))
     kept = counts.join(F.broadcast(totals), "language").where(F.col("n") >= F.greatest(F.lit(2), F.col("total") * LEAST_SHARE))
     found = kept.select("language", "gram", (F.col("n") / F.col("total")).alias("share")).toPandas()
@@ -173,7 +173,24 @@ def predict(docs: DataFrame, model: BitmaskFilter, keys: list[Column], text: str
 
     df = docs.select(*keys, F.col(text).cast("binary").alias("text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != "text")
-    return df.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return df.transform(shipped).mapInArrow(run, f"{schema}, lang_pred string, score double")
+
+
+def keep_known(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """The documents, all columns kept, without those whose language is unknown."""
+    model = fit(docs.where(trainable(F.col(doc_id))), text, lang, order=F.col(doc_id))
+    shared, raw = docs.sparkSession.sparkContext.broadcast(model), fresh(docs, "text_bytes")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for part, texts in chunks(batches, raw):
+            known = np.array([has_letter(t) for t in texts])
+            if m.languages:
+                total, counts = m.counts(texts)
+                known &= (total == 0) | (counts.max(axis=1) > 0)
+            yield part.filter(pa.array(known)).drop_columns([raw])
+
+    return docs.withColumn(raw, F.col(text).cast("binary")).transform(shipped).mapInArrow(run, docs.schema)
 
 
 def language_id(docs: DataFrame) -> DataFrame:

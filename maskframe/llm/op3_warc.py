@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import materialise
+from ._common import materialise, shipped
 
 LEAST_REVISIT = 100
 DATE = "2024-01-01T00:00:00Z"
@@ -37,8 +37,10 @@ _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Bytes of segments that a task sends on at once.
 SEND_BYTES = 4 << 20
 
-SEGMENTS = "file string, split long, at long, length long, next long, body binary"
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, intact boolean"
+PAYLOAD = ", payload binary"
+#: A segment; its body if that isn't a whole record, and the record's fields if it is.
+SEGMENTS = "file string, split long, at long, length long, next long, body binary, "
 
 
 # Writing ----------------------------------------------------------------------------------------
@@ -50,6 +52,7 @@ def write_warc(pages: DataFrame, path: str, page_id: str = "page_id", url: str =
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.regexp_replace(F.col(url), r"[\r\n]", "").alias("url"), raw.alias("html"), F.octet_length(raw).alias("n"), F.sha2(raw.cast("binary"), 256).alias("digest"))
     # Only payloads that repeat are looked up; a frequent one is a key on the side that adaptive execution splits.
     firsts = rows.where(F.col("n") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1 and first is not null").select(F.col("digest").alias("first_digest"), "first")
+    firsts = materialise(firsts, "warc-firsts")  # its size is then known when the join is planned
     joined = rows.join(firsts, F.col("digest") == F.col("first_digest"), "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n").cast("string"), F.lit(END))
@@ -119,48 +122,72 @@ def _cut(pieces: Iterable[tuple[str, int, bytes]]) -> Iterator[tuple[str, int, i
         yield from flush(at)
 
 
-def _batches(rows: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    names = ["file", "split", "at", "length", "next", "body"]
+_KINDS = [("file", pa.string()), ("split", pa.int64()), ("at", pa.int64()), ("length", pa.int64()), ("next", pa.int64()), ("body", pa.binary())]
+
+
+def _batches(rows: Iterable[tuple], with_payload: bool, all_bodies: bool) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema(_KINDS if all_bodies else _KINDS + _fields(with_payload))
+    names = [n for n, _ in _KINDS]
     held, size = [], 0
     for r in rows:
-        held.append(r)
+        row = dict(zip(names, r))
+        if not all_bodies and r[4] is not None and r[3] >= r[4] - r[2]:
+            row |= parse(r[5][: r[4] - r[2]]) | {"body": None}
+        held.append(row)
         size += r[3] + 100
         if size >= SEND_BYTES:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names=names)
+            yield pa.RecordBatch.from_pylist(held, schema=schema)
             held, size = [], 0
     if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names=names)
+        yield pa.RecordBatch.from_pylist(held, schema=schema)
+
 
+def _scan(with_payload: bool, all_bodies: bool):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _batches(_cut((f, s, v) for b in batches for f, s, v in zip(*(b.column(c).to_pylist() for c in ("file", "split", "value")))), with_payload, all_bodies)
 
-def _scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return _batches(_cut((f, s, v) for b in batches for f, s, v in zip(*(b.column(c).to_pylist() for c in ("file", "split", "value")))))
+    return run
 
 
-def _scan_whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def pieces():
+def _scan_whole(with_payload: bool, all_bodies: bool):
+    def pieces(batches: Iterable[pa.RecordBatch]):
         for b in batches:
             for f, content in zip(b.column("file").to_pylist(), b.column("value").to_pylist()):
                 parts = content.split(_END)
                 for p in parts[:-1] if parts[-1] == b"" else parts:
                     yield f, 0, p
 
-    return _batches(_cut(pieces()))
+    return lambda batches: _batches(_cut(pieces(batches)), with_payload, all_bodies)
+
 
+class Archive:
+    """The bytes of archives as segments, cut at candidates."""
 
-def segments(spark: SparkSession, path: str) -> DataFrame:
-    """All bytes of the archives, cut at candidates; written to the shared folder."""
-    text = spark.read.option("lineSep", END).text(path)
-    lines = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.col("_metadata.file_size").alias("size"), F.col("value").cast("binary").alias("value"))
-    found = materialise(lines.select("file", "split", "value").mapInArrow(_scan, SEGMENTS), "warc-segments")
-    # A split's start inside a run of line ends can make the reader lose or repeat bytes: such a file is read as one.
-    sizes = lines.select("file", "size").distinct()
-    tiled = found.groupBy("file").agg(F.sum("length").alias("length")).join(sizes, "file")
-    odd = [r["file"] for r in tiled.where("length <> size and length <> size + 4").select("file").collect()]
-    if odd:
-        whole = spark.read.format("binaryFile").load(odd).select(F.col("path").alias("file"), F.col("content").alias("value")).mapInArrow(_scan_whole, SEGMENTS)
-        found = materialise(found.where(~F.col("file").isin(odd)).unionByName(whole), "warc-segments")
-    return found
+    def __init__(self, spark: SparkSession, path: str, with_payload: bool):
+        self.spark, self.with_payload, self.odd = spark, with_payload, []
+        text = spark.read.option("lineSep", END).text(path)
+        self.lines = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.col("_metadata.file_size").alias("size"), F.col("value").cast("binary").alias("value"))
+        self.segments = materialise(self.scan(), "warc-segments")
+        # A split's start inside a run of line ends can make the reader lose or repeat bytes: such a file is read as one.
+        tiled = self.segments.groupBy("file").agg(F.sum("length").alias("length")).join(self.lines.select("file", "size").distinct(), "file")
+        self.odd = [r["file"] for r in tiled.where("length <> size and length <> size + 4").select("file").collect()]
+        if self.odd:
+            self.segments = materialise(self.scan(), "warc-segments")
+
+    def scan(self, all_bodies: bool = False) -> DataFrame:
+        schema = SEGMENTS.rstrip(", ") if all_bodies else SEGMENTS + RECORD + PAYLOAD * self.with_payload
+        lines = self.lines.where(~F.col("file").isin(self.odd)) if self.odd else self.lines
+        found = lines.select("file", "split", "value").transform(shipped).mapInArrow(_scan(self.with_payload, all_bodies), schema)
+        if self.odd:
+            whole = self.spark.read.format("binaryFile").load(self.odd).select(F.col("path").alias("file"), F.col("content").alias("value"))
+            found = found.unionByName(whole.transform(shipped).mapInArrow(_scan_whole(self.with_payload, all_bodies), schema))
+        return found
+
+    def bodies(self, pieces: DataFrame) -> DataFrame:
+        """The pieces' bodies; a second scan if one of them looked like a record of its own."""
+        place = ["file", "split", "at"]
+        found = self.segments.select(*place, "body").join(pieces, place)
+        return self.scan(all_bodies=True).select(*place, "body").join(pieces, place) if not found.where("body is null").isEmpty() else found
 
 
 # Chains -----------------------------------------------------------------------------------------
@@ -201,7 +228,7 @@ def reachable(meta: DataFrame) -> tuple[DataFrame, DataFrame]:
     most = splits.agg(F.max("rank")).first()[0] or 1
     reach = splits.select("file", F.lit(0).cast("long").alias("off")).distinct()
     if most > 1:
-        jumps = materialise(cands.groupBy("file", "split").applyInPandas(_exits, "file string, off long, exit long").where("exit >= 0"), "warc-jumps")
+        jumps = materialise(cands.transform(shipped).groupBy("file", "split").applyInPandas(_exits, "file string, off long, exit long").where("exit >= 0"), "warc-jumps")
         for k in range(math.ceil(math.log2(most))):
             ahead = reach.join(jumps, ["file", "off"]).select("file", F.col("exit").alias("off"))
             reach = materialise(reach.unionByName(ahead).distinct(), f"warc-reach-{k}")
@@ -209,7 +236,7 @@ def reachable(meta: DataFrame) -> tuple[DataFrame, DataFrame]:
             jumps = materialise(twice.select("file", F.col("from").alias("off"), "exit"), f"warc-jumps-{k}")
     entries = reach.withColumn("entry", F.lit(True))
     marked = cands.join(entries, ["file", "off"], "left").withColumn("entry", F.coalesce("entry", F.lit(False)))
-    passed = marked.groupBy("file", "split").applyInPandas(_walk, "file string, split long, at long, off long, next long")
+    passed = marked.transform(shipped).groupBy("file", "split").applyInPandas(_walk, "file string, split long, at long, off long, next long")
     return placed, materialise(passed, "warc-reached")
 
 
@@ -225,7 +252,7 @@ def parse(record: bytes) -> dict:
     kind = fields.get(b"warc-type", b"").decode("ascii", "replace")
     claimed = fields.get(b"warc-payload-digest", b"").decode("ascii", "replace").removeprefix("sha256:")
     number = lambda v: int(x) if (x := v.decode("ascii", "replace").strip("<>").removeprefix(_ID)).lstrip("-").isdigit() else None
-    full = next((int(v) for k, _, v in (line.partition(b":") for line in http.split(b"\r\n")[1:]) if k.strip().lower() == b"content-length"), len(payload))
+    full = next((int(v) for k, _, v in (line.partition(b":") for line in http.split(b"\r\n")[1:]) if k.strip().lower() == b"content-length" and v.strip().isdigit()), len(payload))
     digest = claimed if kind == "revisit" else hashlib.sha256(payload).hexdigest()
     url = fields.get(b"warc-target-uri")
     return {
@@ -234,19 +261,17 @@ def parse(record: bytes) -> dict:
     }
 
 
-def _parsed(with_payload: bool):
+def _fields(with_payload: bool) -> list[tuple[str, pa.DataType]]:
     kinds = [("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("intact", pa.bool_())]
-    schema = pa.schema(kinds + [("payload", pa.binary())] * with_payload)
+    return kinds + [("payload", pa.binary())] * with_payload
+
+
+def _parsed(with_payload: bool):
+    schema = pa.schema(_fields(with_payload))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for body in batch.column("body"):
-                r = parse(body.as_py())
-                if not with_payload:
-                    del r["payload"]
-                rows.append(r)
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+            yield pa.RecordBatch.from_pylist([parse(b.as_py()) for b in batch.column("body")], schema=schema)
 
     return run
 
@@ -257,18 +282,19 @@ def _joined(parts: Column) -> Column:
 
 def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """One row a record: page_id, url, record_type, refers_to, payload_bytes, payload_digest, intact and, if asked for, the payload."""
-    found = segments(spark, path)
-    meta = found.drop("body")
+    archive = Archive(spark, path, with_payload)
+    meta = archive.segments.select("file", "split", "at", "length", "next")
     placed, reached = reachable(meta)
+    place = ["file", "split", "at"]
     # Records in one segment need no join but with the few candidates that aren't records.
-    whole = F.col("next").isNotNull() & (F.col("length") >= F.col("next") - F.col("at"))
-    false = meta.where("next is not null").select("file", "split", "at").join(reached, ["file", "split", "at"], "left_anti")
-    plain = found.where(whole).join(false, ["file", "split", "at"], "left_anti").select("body")
+    false = materialise(meta.where("next is not null").select(*place).join(reached, place, "left_anti"), "warc-false")
+    fields = [n for n, _ in _fields(with_payload)]
+    plain = archive.segments.where((F.col("next").isNotNull()) & F.col("body").isNull()).join(false, place, "left_anti").select(fields)
     # The others: a segment belongs to the last record that begins before it.
-    flagged = placed.join(reached.select("file", "split", "at", F.col("off").alias("record")), ["file", "split", "at"], "left")
+    flagged = placed.join(reached.select(*place, F.col("off").alias("record")), place, "left")
     size = F.when(F.col("record").isNotNull(), F.struct(F.col("record"), (F.col("next") - F.col("off") > F.col("length")).alias("cut"), F.col("next").alias("upto")))
     owned = flagged.withColumn("owner", F.last(size, ignorenulls=True).over(Window.partitionBy("file").orderBy("off")))
-    pieces = owned.where("owner.cut and off < owner.upto").select("file", "split", "at", "off", F.col("owner.record").alias("record"), (F.col("owner.upto") - F.col("owner.record")).alias("size"))
-    glued = found.select("file", "split", "at", "body").join(pieces, ["file", "split", "at"]).groupBy("file", "record", "size").agg(F.collect_list(F.struct("off", "body")).alias("parts"))  # as large as one record
+    pieces = owned.where("owner.cut and off < owner.upto").select(*place, "off", F.col("owner.record").alias("record"), (F.col("owner.upto") - F.col("owner.record")).alias("size"))
+    glued = archive.bodies(materialise(pieces, "warc-pieces")).groupBy("file", "record", "size").agg(F.collect_list(F.struct("off", "body")).alias("parts"))  # as large as one record
     glued = glued.select("size", _joined(F.col("parts")).alias("body")).where(F.octet_length("body") >= F.col("size")).select("body")
-    return plain.unionByName(glued).mapInArrow(_parsed(with_payload), RECORD + (", payload binary" if with_payload else ""))
+    return plain.unionByName(glued.transform(shipped).mapInArrow(_parsed(with_payload), RECORD + PAYLOAD * with_payload))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import chunks, materialise, mix64
+from ._common import chunks, fresh, materialise, mix64, shipped
 
 WINDOW = 13
 SHARD_BYTES = 1 << 21
@@ -97,7 +97,7 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sha
         for part, texts in chunks(batches, "text", shard_bytes):
             yield pa.RecordBatch.from_pylist([_index_row(part.column("doc_id").to_pylist(), texts)], schema=schema)
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(run, INDEX)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).transform(shipped).mapInArrow(run, INDEX)
 
 
 class Shard:
@@ -224,7 +224,7 @@ def _search(index: DataFrame, phrases: Phrases) -> DataFrame:
                 rows = [{"shard": shard.name, "row": i, "doc_id": d["doc_id"], "n_words": d["n_words"], "spans": [{"start": a, "stop": b} for a, b in merge(spans.get(i, []))], "items": sorted(items.get(i, ()))} for i, d in enumerate(shard.docs)]
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return index.mapInArrow(run, HITS)
+    return index.transform(shipped).mapInArrow(run, HITS)
 
 
 def blocks(items: DataFrame, item_id: str, text: str, window: int, block_words: int = BLOCK_WORDS) -> Iterator[Phrases]:
@@ -268,7 +268,7 @@ def proximity_matches(index: DataFrame, terms: list[str], within: int) -> DataFr
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc_id", "first_word", "last_word"])
 
-    return index.mapInArrow(run, "doc_id long, first_word long, last_word long")
+    return index.transform(shipped).mapInArrow(run, "doc_id long, first_word long, last_word long")
 
 
 def words_hit(spans: Column) -> Column:
@@ -283,3 +283,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     hit = words_hit(F.col("spans"))
     found = phrase_matches(index, benchmark).withColumn("n_hit", hit)
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """The documents, all columns kept, that aren't contaminated. They are known by their texts, so ids may repeat or lack."""
+    key = fresh(docs, "text_key")
+    keyed = docs.withColumn(key, F.xxhash64(F.col(text)))
+    found = decontaminate(keyed, benchmark, key, text).where("contaminated").select(F.col("doc_id").alias(key)).distinct()
+    return keyed.join(materialise(found, "contaminated"), key, "left_anti").select(*docs.columns)

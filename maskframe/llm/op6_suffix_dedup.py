@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import chunks, materialise, mix64
+from ._common import chunks, materialise, mix64, shipped
 
 LENGTH = 200
 ANCHOR = 64
@@ -324,23 +324,23 @@ def repeated_spans(docs: DataFrame, copies: DataFrame, length: int = LENGTH, anc
     Copies are taken as one text; windows that only copies of a text share aren't listed."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = materialise(docs.select("text", "blob").mapInArrow(_scan(length, anchor), ROWS), "segments")
+    rows = materialise(docs.select("text", "blob").transform(shipped).mapInArrow(_scan(length, anchor), ROWS), "segments")
     by_anchor = rows.where(F.col("kind") == SEGMENT).repartition(parts, "anchor").sortWithinPartitions("anchor", "sup", "blob", "start")
-    settled = materialise(by_anchor.mapInArrow(_resolve, OPEN), "settled-segments")
+    settled = materialise(by_anchor.transform(shipped).mapInArrow(_resolve, OPEN), "settled-segments")
     spans = rows.where(F.col("kind") == SPAN).select("blob", "start", "windows").unionByName(settled.where(F.col("kind") == SPAN).select("blob", "start", "windows"))
     opened = settled.where(F.col("kind") == SEGMENT)
     by_text = opened.groupBy("blob").agg(F.collect_list(F.struct("anchor", "start", "windows", "at")).alias("parts"))  # as long as the text at most
     by_text = by_text.join(copies.select("blob", "least"), "blob")
     # One copy of each text; rows that repeat an id give equal segments, which count once.
     held = docs.select("doc_id", "text", F.col("blob").alias("held")).join(by_text, (F.col("held") == F.col("blob")) & F.col("doc_id").eqNullSafe(F.col("least"))).select("text", "blob", "parts")
-    bodies = materialise(held.mapInArrow(_gather(length), "anchor long, blob binary, start int, at int, body binary"), "open-segments")
+    bodies = materialise(held.transform(shipped).mapInArrow(_gather(length), "anchor long, blob binary, start int, at int, body binary"), "open-segments")
     hot = materialise(opened.groupBy("anchor").count().where(F.col("count") > hot_segments).select("anchor"), "hot-anchors")
     some = not hot.isEmpty()
     cool = bodies.join(hot, "anchor", "left_anti") if some else bodies
-    found = cool.repartition(parts, "anchor").sortWithinPartitions("anchor", "blob", "start").mapInArrow(_sort_open(length), "blob binary, start int, windows int")
+    found = cool.repartition(parts, "anchor").sortWithinPartitions("anchor", "blob", "start").transform(shipped).mapInArrow(_sort_open(length), "blob binary, start int, windows int")
     spans = spans.unionByName(found)
     if some:
-        each = bodies.join(hot, "anchor", "left_semi").mapInArrow(_window_hashes(length), "anchor long, back int, hash long, blob binary, start int").distinct()
+        each = bodies.join(hot, "anchor", "left_semi").transform(shipped).mapInArrow(_window_hashes(length), "anchor long, back int, hash long, blob binary, start int").distinct()
         shared = each.groupBy("anchor", "back", "hash").count().where(F.col("count") > 1).drop("count")
         spans = spans.unionByName(each.join(shared, ["anchor", "back", "hash"]).select("blob", "start", F.lit(1).alias("windows")))
     return spans
@@ -389,4 +389,4 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     by_text = spans.groupBy("blob").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
     facts = copies.join(by_text, "blob", "left").where("copies > 1 or spans is not null").select(F.col("blob").alias("of"), "copies", "spans")
     whole = rows.join(facts, F.col("blob") == F.col("of"), "left").select("doc_id", "text", F.coalesce("copies", F.lit(1)).alias("copies"), "spans")
-    return whole.mapInArrow(_removed(length, with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else ""))
+    return whole.transform(shipped).mapInArrow(_removed(length, with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else ""))

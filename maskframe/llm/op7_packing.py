@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import chunks, materialise
+from ._common import chunks, materialise, shipped
 
 CAPACITY = 1024
 END_ID = 2
@@ -143,7 +143,7 @@ def tokenized(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "t
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     df = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    return df.mapInArrow(run, PIECES + (", ids array<int>" if with_ids else ""))
+    return df.transform(shipped).mapInArrow(run, PIECES + (", ids array<int>" if with_ids else ""))
 
 
 def _bins(fills: list[int], contents: list[list[dict]], capacity: int, slack: int) -> pa.RecordBatch:
@@ -195,7 +195,7 @@ def residual_packing(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     The rounds end when one task takes all that is left, or when a round no longer saves a bin in a
     hundred. Each round's bins are written to the shared folder, so a lost executor costs one round."""
     full = capacity - int(SLACK * capacity)
-    bins = materialise(pieces.mapInArrow(_first_round(capacity), BIN), "packing-0")
+    bins = materialise(pieces.transform(shipped).mapInArrow(_first_round(capacity), BIN), "packing-0")
     done = bins.where(F.col("fill") >= full)
     rest = bins.where(F.col("fill") < full)
     left = rest.count()
@@ -203,7 +203,7 @@ def residual_packing(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         if left < 2:
             break
         tasks = -(-left // TASK_ITEMS)
-        merged = materialise(rest.coalesce(tasks).mapInArrow(_merge_round(capacity), BIN), f"packing-{k}")
+        merged = materialise(rest.coalesce(tasks).transform(shipped).mapInArrow(_merge_round(capacity), BIN), f"packing-{k}")
         done = done.unionByName(merged.where(F.col("fill") >= full))
         rest, before = merged.where(F.col("fill") < full), left
         left = rest.count()

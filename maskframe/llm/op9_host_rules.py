@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import chunks, materialise
+from ._common import chunks, materialise, shipped
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -69,7 +69,7 @@ def with_stats(docs: DataFrame, text: str, keys: list[Column]) -> DataFrame:
     """The key columns and the text's counts, one row a document; no shuffle."""
     df = docs.select(*keys, F.col(text).cast("binary").alias("text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != "text")
-    return df.mapInArrow(_stats, f"{schema}, {STATS}")
+    return df.transform(shipped).mapInArrow(_stats, f"{schema}, {STATS}")
 
 
 def host_of(source: Column) -> Column:

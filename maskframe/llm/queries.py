@@ -16,6 +16,7 @@ from .op4_decontamination import decontaminate
 from .op5_secret_scans import BASE_KINDS, listed, secret_scan
 from .op6_suffix_dedup import remove_repeats
 from .op7_packing import best_fit_packing
+from .op8_toxicity import toxicity
 from .op9_host_rules import host_rules
 
 
@@ -61,6 +62,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = host_rules(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
