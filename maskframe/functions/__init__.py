@@ -1,0 +1 @@
+"""Column functions: scalars, bits, fixed point and containers."""

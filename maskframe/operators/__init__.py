@@ -1,0 +1 @@
+"""Operators on masked tables and tensors."""

@@ -1,0 +1 @@
+"""Graphs, plan inspection, and the catalogue of registered queries."""

@@ -1,0 +1 @@
+"""The data model has no streams; static tables only. This package is kept for operators that need them."""
