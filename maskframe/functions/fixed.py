@@ -1,7 +1,9 @@
 """Fixed-point functions: integers that stand for x * 2^f.
 
 Iterations are unrolled into one expression each step of which stands in a one-element lambda, so a step's
-result is computed once however often the next one uses it.
+result is computed once however often the next one uses it. In the ranges that their functions take, the
+steps' products fit a BIGINT, so they use plain arithmetic; with ANSI mode on, arguments far beyond the
+range fail instead of giving garbage.
 """
 
 from __future__ import annotations
@@ -87,12 +89,12 @@ def goldschmidt_divide(dividend: Column, divisor: Column, iterations: int = 5, c
     def step(a: Column, b: Column, left: int) -> Column:
         if not left:
             return a
-        w = sub64(two, b)
-        pair = F.struct(_shift_down(mul64(a, w), cap).alias("a"), _shift_down(mul64(b, w), cap).alias("b"))
+        w = two - b
+        pair = F.struct(_shift_down(a * w, cap).alias("a"), _shift_down(b * w, cap).alias("b"))
         return let(pair, lambda p: step(p["a"], p["b"], left - 1))
 
     w = inverse_guess(divisor, cap) if guess is None else guess
-    first = let(w, lambda w: F.struct(mul64(dividend, w).alias("a"), mul64(divisor, w).alias("b")))
+    first = let(w, lambda w: F.struct((dividend * w).alias("a"), (divisor * w).alias("b")))
     return let(first, lambda p: step(p["a"], p["b"], iterations - 1))
 
 
@@ -123,7 +125,7 @@ def newton_inverse(x: Column, iterations: int = 5, cap: int = 10, guess: Column
     def step(y: Column, left: int) -> Column:
         if not left:
             return y
-        return let(_shift_down(mul64(sub64(two, mul64(y, x)), y), cap), lambda z: step(z, left - 1))
+        return let(_shift_down((two - y * x) * y, cap), lambda z: step(z, left - 1))
 
     return let(inverse_guess(x, cap) if guess is None else guess, lambda y: step(y, iterations))
 
@@ -139,8 +141,8 @@ def inverse_sqrt(x: Column, iterations: int = 5, cap: int = 10, guess: Column |
     def step(y: Column, left: int) -> Column:
         if not left:
             return y
-        term = F.call_function("div", mul64(mul64(x, y), y), F.lit(1 << (cap + 1)).cast("bigint"))
-        return let(_shift_down(mul64(sub64(half3, term), y), cap), lambda z: step(z, left - 1))
+        term = F.call_function("div", x * y * y, F.lit(1 << (cap + 1)).cast("bigint"))
+        return let(_shift_down((half3 - term) * y, cap), lambda z: step(z, left - 1))
 
     return let(first if guess is None else guess, lambda y: step(y, iterations))
 
@@ -150,12 +152,12 @@ def taylor_exp(x: Column, terms: int = 5, f: int = FRACTION) -> Column:
     per_ln2 = int((1 << f) / math.log(2))
     ln2 = int(math.log(2) * (1 << f))
     top = math.ceil(math.log2(31 - f))
-    scaled = F.call_function("div", mul64(x, F.lit(per_ln2).cast("bigint")), F.lit(1 << f).cast("bigint"))
+    scaled = F.call_function("div", x * per_ln2, F.lit(1 << f).cast("bigint"))
 
     def whole(z: Column) -> Column:
         power = F.lit(1).cast("bigint")
         for j in range(top):
-            power = mul64(power, F.when(F.shiftright(z, f + j).bitwiseAND(F.lit(1)) == 1, F.lit(1 << (1 << j)).cast("bigint")).otherwise(F.lit(1).cast("bigint")))
+            power = power * F.when(F.shiftright(z, f + j).bitwiseAND(F.lit(1)) == 1, F.lit(1 << (1 << j)).cast("bigint")).otherwise(F.lit(1).cast("bigint"))
         y = F.call_function("div", z.bitwiseAND(F.lit((1 << f) - 1)) * ln2, F.lit(1 << f).cast("bigint"))
 
         def series(y: Column, coef: Column, total: Column, i: int) -> Column:
@@ -165,7 +167,7 @@ def taylor_exp(x: Column, terms: int = 5, f: int = FRACTION) -> Column:
             return let(F.call_function("div", coef * y, F.lit((i + 1) << f).cast("bigint")), lambda c: series(y, c, total, i + 1))
 
         fraction = F.lit(1).cast("bigint") if f == 0 else let(y, lambda y: series(y, F.lit(1 << f).cast("bigint"), F.lit(0).cast("bigint"), 0))
-        up = mul64(fraction, power)
+        up = fraction * power
         down = let(up, lambda u: F.when(z < 0, F.call_function("div", u, F.lit(1 << (1 << top)).cast("bigint"))).otherwise(u))
         return F.when(z >= -10 * (1 << f), down).otherwise(F.lit(0).cast("bigint"))
 

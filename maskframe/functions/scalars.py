@@ -86,7 +86,9 @@ def mul64(a: Column, b: Column) -> Column:
     limb = lambda x, i: F.shiftrightunsigned(x, 21 * i).bitwiseAND(mask) if i < 2 else F.shiftrightunsigned(x, 42)
     a0, a1, a2 = (limb(a, i) for i in range(3))
     b0, b1, b2 = (limb(b, i) for i in range(3))
-    return add64(add64(a0 * b0, F.shiftleft(a0 * b1 + a1 * b0, 21)), F.shiftleft(a0 * b2 + a1 * b1 + a2 * b0, 42))
+    low = add64(a0 * b0, F.shiftleft(a0 * b1 + a1 * b0, 21))
+    high = add64(F.shiftleft(a0 * b2 + a1 * b1 + a2 * b0, 42), F.shiftleft(a1 * b2 + a2 * b1, 63))
+    return add64(low, high)
 
 
 def add(a: Column, b: Column, k: Kind) -> Column:

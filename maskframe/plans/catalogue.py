@@ -367,8 +367,8 @@ query("shard_rows", "SELECT CAST(c_custkey % 7 AS INTEGER) AS _shard, row_number
 query("minimum", f"SELECT min(y) AS v FROM {SQL_O}")(lambda s, d: T.minimum_of(numbers(s, d), "y"))
 query("millionaires", f"SELECT c_custkey, CAST(bal > cents AS INTEGER) AS richer FROM {SQL_A} a JOIN {SQL_B} b ON c_custkey = o_custkey")(lambda s, d: J.join(customers(s, d), order_totals(s, d), "inner", _KEYS).select("c_custkey", B.greater(F.col("bal"), F.col("cents"), S.I64).cast("int").alias("richer")))
 query("psi_count", f"SELECT count(*) AS n FROM {SQL_A} a WHERE c_custkey IN (SELECT o_custkey FROM {SQL_B})")(lambda s, d: J.semi_join(customers(s, d), order_totals(s, d), _KEYS).agg(F.count("*").alias("n")))
-query("csv_rows", f"SELECT CAST(ck AS VARCHAR) AS id, printf('%.2f', bal / 128.0) AS share, CASE WHEN c_nationkey > 12 THEN 'true' ELSE 'false' END AS far FROM {SQL_AM}")(
-    lambda s, d: C.csv_table(masked_customers(s, d), {"id": C.int_cell(F.col("ck")), "share": C.float_cell(F.col("bal"), 7, 2), "far": C.bool_cell((F.col("c_nationkey") > 12).cast("int"))}).select(*(F.when(F.col(c) != "", F.col(c)).alias(c) for c in ("id", "share", "far")))
+query("csv_rows", f"SELECT CAST(ck AS VARCHAR) AS id, printf('%.3f', bal / 8.0) AS share, CASE WHEN c_nationkey > 12 THEN 'true' ELSE 'false' END AS far FROM {SQL_AM}")(
+    lambda s, d: C.csv_table(masked_customers(s, d), {"id": C.int_cell(F.col("ck")), "share": C.float_cell(F.col("bal"), 3, 3), "far": C.bool_cell((F.col("c_nationkey") > 12).cast("int"))}).select(*(F.when(F.col(c) != "", F.col(c)).alias(c) for c in ("id", "share", "far")))
 )
 query("perm_random")(lambda s, d: H.random_permutation(events(s, d), 42, "pos"))
 query("random_values")(lambda s, d: events(s, d).select("pos", H.random_column(42, F.col("pos")).alias("v")))

@@ -16,7 +16,7 @@ def unsigned_cell(x: Column) -> Column:
 
 
 def float_cell(x: Column, fraction_bits: int, decimals: int) -> Column:
-    return F.format_string(f"%.{decimals}f", x.cast("double") / float(1 << fraction_bits))
+    return F.when(x.isNotNull(), F.format_string(f"%.{decimals}f", x.cast("double") / float(1 << fraction_bits)))
 
 
 def bool_cell(x: Column) -> Column:
