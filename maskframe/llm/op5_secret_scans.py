@@ -135,9 +135,9 @@ def redact(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars",
     book.scan(versions, "text", paths)
     found = book.findings().select(F.col("blob").alias(path), F.col("spans").alias(spans))
     rows = docs.withColumn(blob, blob_of(F.col(text))).join(found, F.col(blob) == F.col(path), "left")
-    marked = F.coalesce(spans, F.array().cast(SPANS))
-    changed = F.size(marked) > 0
-    out = {text: redacted(F.col(text), marked)}
+    marked = fresh(docs, "mf_marked")
+    rows = rows.withColumn(marked, redacted(F.col(text), F.coalesce(spans, F.array().cast(SPANS))))
+    out = {text: F.col(marked)}
     if n_chars and n_chars in docs.columns:
-        out[n_chars] = F.when(changed, F.length(redacted(F.col(text), marked)).cast(docs.schema[n_chars].dataType)).otherwise(F.col(n_chars))
+        out[n_chars] = F.when(F.size(spans) > 0, F.length(marked).cast(docs.schema[n_chars].dataType)).otherwise(F.col(n_chars))
     return rows.select(*[out[c].alias(c) if c in out else F.col(c) for c in docs.columns])
