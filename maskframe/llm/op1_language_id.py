@@ -70,10 +70,11 @@ class BitmaskFilter:
     languages: list[str]
     masks: np.ndarray  # (words, slots)
     false_rates: np.ndarray  # of each language
+    own_rates: np.ndarray  # the share of a language's n-grams that the filter has for it
 
     @classmethod
-    def build(cls, languages: list[str], gram: np.ndarray, language: np.ndarray) -> "BitmaskFilter":
-        """gram and language are parallel: the language contains the n-gram."""
+    def build(cls, languages: list[str], gram: np.ndarray, language: np.ndarray, share: np.ndarray) -> "BitmaskFilter":
+        """gram, language and share are parallel: the language contains the n-gram, which is that share of its n-grams."""
         width = next((w for w in (8, 16, 32, 64) if len(languages) <= w), 64)
         words = max(1, -(-len(languages) // 64))
         slots = 1 << max(10, math.ceil(math.log2(max(1, len(np.unique(gram))) * SLOTS_PER_GRAM)))
@@ -84,7 +85,7 @@ class BitmaskFilter:
             for p in at:
                 masks[i // 64, p[mine]] |= bit
         fill = np.array([np.count_nonzero(masks[i // 64] >> np.array(i % 64, masks.dtype) & np.array(1, masks.dtype)) / slots for i in range(len(languages))])
-        return cls(languages, masks, fill**HASHES)
+        return cls(languages, masks, fill**HASHES, np.maximum(np.bincount(language, share, len(languages)), 1e-3))
 
     @staticmethod
     def places(gram: np.ndarray, slots: int) -> list[np.ndarray]:
@@ -101,7 +102,7 @@ class BitmaskFilter:
         return found
 
     def counts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """N-grams of each text, and its corrected count for each language."""
+        """N-grams of each text, and for each language how many it seems to have of them, by the corrected count."""
         data, starts = normal_bytes(texts)
         g, at = grams(data)
         edges = np.searchsorted(at, starts)
@@ -112,7 +113,7 @@ class BitmaskFilter:
             bits = (found[i // 64] >> np.array(i % 64, found.dtype)) & np.array(1, found.dtype)
             run = np.concatenate([[0], np.cumsum(bits, dtype=np.int64)])
             false = self.false_rates[i]
-            out[:, i] = np.maximum((np.diff(run[edges]) - total * false) / (1 - false), 0)
+            out[:, i] = np.maximum((np.diff(run[edges]) - total * false) / (1 - false), 0) / self.own_rates[i]
         return total, out
 
 
@@ -139,7 +140,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", order: Colu
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     languages = sorted(sizes)
     if not languages:
-        return BitmaskFilter([], np.zeros((1, 1024), np.uint8), np.zeros(0))
+        return BitmaskFilter([], np.zeros((1, 1024), np.uint8), np.zeros(0), np.zeros(0))
     table = rows.sparkSession.createDataFrame([(k, i, min(1.0, sample_docs / sizes[k])) for i, k in enumerate(languages)], "lang string, language int, share double")
     sample = rows.join(F.broadcast(table), "lang").where(F.pmod("h", F.lit(1_000_000)) < F.col("share") * 1_000_000).select("language", "text")
     counts = sample.transform(shipped).mapInArrow(_count_grams, "language int, gram long, n long").groupBy("language", "gram").agg(F.sum("n").alias("n"))
@@ -148,7 +149,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", order: Colu
     found = kept.select("language", "gram", (F.col("n") / F.col("total")).alias("share")).toPandas()
     most = found.groupby("gram")["share"].transform("max")
     found = found[found["share"] >= LIKE_THE_MOST * most]
-    return BitmaskFilter.build(languages, found["gram"].to_numpy(np.uint32), found["language"].to_numpy())
+    return BitmaskFilter.build(languages, found["gram"].to_numpy(np.uint32), found["language"].to_numpy(np.int64), found["share"].to_numpy(float))
 
 
 def predict(docs: DataFrame, model: BitmaskFilter, keys: list[Column], text: str = "text") -> DataFrame:

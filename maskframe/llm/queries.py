@@ -18,6 +18,7 @@ from .op6_suffix_dedup import remove_repeats
 from .op7_packing import best_fit_packing
 from .op8_toxicity import toxicity
 from .op9_host_rules import host_rules
+from .oracles import SQL
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,4 +82,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
