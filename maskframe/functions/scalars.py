@@ -67,13 +67,14 @@ def _upper(x: Column) -> Column:
 
 def add64(a: Column, b: Column) -> Column:
     """a + b modulo 2^64 on bit patterns."""
+    a, b = _long(a), _long(b)
     low = a.bitwiseAND(F.lit(LOW32)) + b.bitwiseAND(F.lit(LOW32))
     high = _upper(a) + _upper(b) + _upper(low)
     return F.shiftleft(high, 32).bitwiseOR(low.bitwiseAND(F.lit(LOW32)))
 
 
 def neg64(a: Column) -> Column:
-    return add64(F.bitwise_not(a), F.lit(1).cast("bigint"))
+    return add64(F.bitwise_not(_long(a)), F.lit(1))
 
 
 def sub64(a: Column, b: Column) -> Column:
@@ -82,6 +83,7 @@ def sub64(a: Column, b: Column) -> Column:
 
 def mul64(a: Column, b: Column) -> Column:
     """a * b modulo 2^64, by limbs of 21 bits whose products fit a BIGINT."""
+    a, b = _long(a), _long(b)
     mask = F.lit((1 << 21) - 1).cast("bigint")
     limb = lambda x, i: F.shiftrightunsigned(x, 21 * i).bitwiseAND(mask) if i < 2 else F.shiftrightunsigned(x, 42)
     a0, a1, a2 = (limb(a, i) for i in range(3))
