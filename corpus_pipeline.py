@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from maskframe.llm import op1_language_id, op4_decontamination, op5_secret_scans, op7_packing, op10_simhash
+from maskframe.llm._common import drop_scratch, materialise, written
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -45,10 +46,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each one's result written to the shared folder and read again by the next."""
-    from maskframe.llm._common import materialise
+    """All stages over `documents`, each one's result written to the shared folder and read again by the next.
 
+    What a stage wrote besides its result is dropped, and its input once it is done."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
+        done, previous = len(written), written[-1:] if name != STAGES[0][0] else []
         docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        drop_scratch(spark, done - len(previous), but=written[-1])
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _local: dict[str, str] = {}
+#: Paths of scratch tables that haven't been dropped.
+written: list[str] = []
 
 #: Bytes of text that a Python worker handles at once; work arrays take a small multiple of this.
 CHUNK_BYTES = 1 << 20
@@ -44,7 +46,17 @@ def shipped(df: DataFrame) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    written.append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession, since: int = 0, but: str | None = None) -> None:
+    """Delete this process's scratch tables, from the `since`-th on; what was built from them can't be read any more."""
+    for path in [p for p in written[since:] if p != but]:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+        written.remove(path)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -166,10 +166,11 @@ class Archive:
     def __init__(self, spark: SparkSession, path: str, with_payload: bool):
         self.spark, self.with_payload, self.odd = spark, with_payload, []
         text = spark.read.option("lineSep", END).text(path)
-        self.lines = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.col("_metadata.file_size").alias("size"), F.col("value").cast("binary").alias("value"))
+        self.lines = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.col("value").cast("binary").alias("value"))
         self.segments = materialise(self.scan(), "warc-segments")
         # A split's start inside a run of line ends can make the reader lose or repeat bytes: such a file is read as one.
-        tiled = self.segments.groupBy("file").agg(F.sum("length").alias("length")).join(self.lines.select("file", "size").distinct(), "file")
+        sizes = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"))  # a listing; no content is read
+        tiled = self.segments.groupBy("file").agg(F.sum("length").alias("length")).join(sizes, "file")
         self.odd = [r["file"] for r in tiled.where("length <> size and length <> size + 4").select("file").collect()]
         if self.odd:
             self.segments = materialise(self.scan(), "warc-segments")
@@ -177,9 +178,9 @@ class Archive:
     def scan(self, all_bodies: bool = False) -> DataFrame:
         schema = SEGMENTS.rstrip(", ") if all_bodies else SEGMENTS + RECORD + PAYLOAD * self.with_payload
         lines = self.lines.where(~F.col("file").isin(self.odd)) if self.odd else self.lines
-        found = lines.select("file", "split", "value").transform(shipped).mapInArrow(_scan(self.with_payload, all_bodies), schema)
+        found = lines.transform(shipped).mapInArrow(_scan(self.with_payload, all_bodies), schema)
         if self.odd:
-            whole = self.spark.read.format("binaryFile").load(self.odd).select(F.col("path").alias("file"), F.col("content").alias("value"))
+            whole = self.spark.read.format("binaryFile").load(self.odd).select(F.col("_metadata.file_path").alias("file"), F.col("content").alias("value"))
             found = found.unionByName(whole.transform(shipped).mapInArrow(_scan_whole(self.with_payload, all_bodies), schema))
         return found
 

@@ -111,6 +111,26 @@ def test_warc_splits(spark, sf):
     assert {r["page_id"] for r in got} == set(want) and all(r["intact"] for r in got)
 
 
+@pytest.mark.parametrize("size", ["97", "600"])
+def test_warc_splits_inside_line_ends(spark, size):
+    """Payloads of line ends and of records, cut everywhere."""
+    rng = random.Random(4)
+    parts = ["\r\n", "\r\n\r\n", "\r", "\n", "WARC/1.1\r\nContent-Length: 2\r\n\r\nab\r\n\r\n", "WARC/1.1\r\n", "text", "é"]
+    want = {i: "".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for i in range(16)}
+    path = scratch_path(spark, "warc-test")
+    op3.write_warc(spark.createDataFrame([(i, "u", t) for i, t in want.items()], "page_id long, url string, html string").coalesce(2), path)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = op3.read_warc(spark, path).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted(r["page_id"] for r in got) == sorted(want)
+    assert all(bytes(r["payload"]).decode() == want[r["page_id"]] for r in got if r["record_type"] == "response")
+
+
 def brute_windows(items, size):
     out = {}
     for i, t in items:
