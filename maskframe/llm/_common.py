@@ -11,6 +11,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,15 +88,21 @@ def trainable(doc_id: Column) -> Column:
 def chunks(batches: Iterable[pa.RecordBatch], text: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches with at most `limit` bytes of text (or one row), and their texts; null is empty."""
     for batch in batches:
-        texts = [t or b"" for t in batch.column(text).to_pylist()]
+        column = batch.column(text)
+        lengths = pc.fill_null(pc.binary_length(column), 0).to_pylist()
         start = size = 0
-        for i, t in enumerate(texts):
-            if i > start and size + len(t) > limit:
-                yield batch.slice(start, i - start), texts[start:i]
+        for i, n in enumerate([*lengths, limit]):
+            if i > start and (size + n > limit or i == len(lengths)):
+                yield batch.slice(start, i - start), [t or b"" for t in column.slice(start, i - start).to_pylist()]
                 start, size = i, 0
-            size += len(t)
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
+            size += n
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of a few rows, so that only these become Python objects at once."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -32,13 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import chunks, materialise, mix64, shipped
+from ._common import chunks, materialise, mix64, shipped, slices
 
 LENGTH = 200
 ANCHOR = 64
 HOT_SEGMENTS = 50_000
 #: Segments that a task settles among themselves before it sends them, and that it sorts at once.
-TASK_SEGMENTS = 1 << 20
+TASK_SEGMENTS = 1 << 19
 SORT_SEGMENTS = 20_000
 #: Bytes looked at in one go; longer texts are read in overlapping parts.
 SCAN_BYTES = 1 << 20
@@ -276,7 +276,7 @@ def _sort_open(length: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         last = None
-        for batch in batches:
+        for batch in slices(batches, 1024):
             for r in zip(*(batch.column(c).to_pylist() for c in ("anchor", "blob", "start", "at", "body"))):
                 if r[0] != last and len(held) >= SORT_SEGMENTS:
                     if (out := settle(held)) is not None:
@@ -295,7 +295,7 @@ def _gather(length: int):
     """The bytes of a text's open segments."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for text, blob, parts in zip(*(batch.column(c).to_pylist() for c in ("text", "blob", "parts"))):
                 anchor, start, windows, at = zip(*((p["anchor"], p["start"], p["windows"], p["at"]) for p in parts))
                 body = [text[s : s + w - 1 + length] for s, w in zip(start, windows)]
@@ -360,7 +360,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _removed(length: int, with_text: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for doc_id, text, copies, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "copies", "spans"))):
                 if copies > 1 and len(text) >= length:
