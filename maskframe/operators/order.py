@@ -13,25 +13,44 @@ from pyspark.sql.window import Window
 
 from .table import POS
 
-BUCKETS = 64
+#: Buckets, unless a caller says otherwise: the session's shuffle partitions between these.
+FEWEST, MOST = 16, 4096
+
+
+def bucket_count(df: DataFrame) -> int:
+    return min(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), FEWEST), MOST)
 
 
 def _bounds(df: DataFrame, key: Column, buckets: int) -> list:
     shares = [i / buckets for i in range(1, buckets)]
+    if not shares:
+        return []
     row = df.agg(F.percentile_approx(key, F.array(*map(F.lit, shares)), 10 * buckets).alias("b")).first()
     return sorted(set(row["b"] or []))
 
 
 def _bucket(bounds: list, key: Column) -> Column:
-    """Twice the number of bounds below the key, plus one if it is a bound: a bound's own bucket has one key."""
+    """Twice the number of bounds below the key, plus one if it is a bound: a bound's own bucket has one key.
+
+    The bounds are searched in two levels, so a row looks at about twice the root of their number."""
     if not bounds:
         return F.lit(0)
-    table = F.array(*map(F.lit, bounds))
-    return 2 * F.size(F.filter(table, lambda b: b < key)) + F.array_contains(table, key).cast("int")
+    size = max(1, round(len(bounds) ** 0.5))
+    chunks = [bounds[i : i + size] for i in range(0, len(bounds), size)]
+    last = F.array(*(F.lit(c[-1]) for c in chunks))
+    table = F.array(*(F.array(*map(F.lit, c)) for c in chunks), F.slice(last, F.lit(1), F.lit(0)))  # the last: beyond all bounds
+    pair = F.struct(key.alias("key"), F.size(F.filter(last, lambda b: b < key)).alias("n"))
+
+    def place(p: Column) -> Column:
+        chunk = F.get(table, p["n"])
+        return 2 * (p["n"] * size + F.size(F.filter(chunk, lambda b: b < p["key"]))) + F.array_contains(chunk, p["key"]).cast("int")
+
+    return F.when(key.isNull(), F.lit(-2)).otherwise(F.get(F.transform(F.array(pair), place), F.lit(0)))
 
 
-def bucketed(df: DataFrame, key: str, pos: str | None, buckets: int = BUCKETS) -> DataFrame:
+def bucketed(df: DataFrame, key: str, pos: str | None, buckets: int | None = None) -> DataFrame:
     """df with `_b1` and `_b2`, whose order is that of (key, pos)."""
+    buckets = buckets or bucket_count(df)
     bounds = _bounds(df, F.col(key), buckets)
     first = _bucket(bounds, F.col(key))
     if pos is None or pos == key:
@@ -40,7 +59,7 @@ def bucketed(df: DataFrame, key: str, pos: str | None, buckets: int = BUCKETS) -
     return df.withColumns({"_b1": first, "_b2": F.when(first % 2 == 1, _bucket(places, F.col(pos))).otherwise(F.lit(0))})
 
 
-def running(df: DataFrame, order: str, values: dict[str, Column], pos: str | None = None, partition: list[str] | None = None, buckets: int = BUCKETS) -> DataFrame:
+def running(df: DataFrame, order: str, values: dict[str, Column], pos: str | None = None, partition: list[str] | None = None, buckets: int | None = None) -> DataFrame:
     """df with inclusive running sums (name: value) in the order of (order, pos); by partition columns if given.
 
     Sums are exact decimals, to be wrapped by the caller."""
@@ -57,7 +76,7 @@ def running(df: DataFrame, order: str, values: dict[str, Column], pos: str | Non
     return out.select(*df.columns, *((F.col(n) + F.col(f"_s_{n}")).cast("decimal(38,0)").alias(n) for n in values))
 
 
-def positions(df: DataFrame, order: str, pos: str | None = None, name: str = POS, buckets: int = BUCKETS) -> DataFrame:
+def positions(df: DataFrame, order: str, pos: str | None = None, name: str = POS, buckets: int | None = None) -> DataFrame:
     """df with a place from 0 in the order of (order, pos)."""
     base = df.drop(name) if name in df.columns and name not in (order, pos) else df
     counted = running(base, order, {"_n": F.lit(1)}, pos, buckets=buckets)
@@ -65,7 +84,7 @@ def positions(df: DataFrame, order: str, pos: str | None = None, name: str = POS
     return counted.select(*kept, (F.col("_n") - 1).cast("bigint").alias(name))
 
 
-def stable_sort(df: DataFrame, key: str, pos: str = POS, buckets: int = BUCKETS) -> DataFrame:
+def stable_sort(df: DataFrame, key: str, pos: str = POS, buckets: int | None = None) -> DataFrame:
     """The table in the order of a key, rows with equal keys in the order of their places; `_pos` is the new place."""
     return positions(df.withColumnRenamed(pos, "_old"), key, "_old", pos, buckets).drop("_old")
 
