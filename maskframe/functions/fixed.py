@@ -227,7 +227,8 @@ def approximate(name: str, x: Column, f: int = FRACTION, bucket_bits: int | None
     """A curve at a fixed-point number by a table of lines; the bucket is found by one division toward zero."""
     slopes, offsets, left, width = curve_table(name, f, bucket_bits)
     last = len(slopes) - 1
-    at = F.call_function("div", sub64(x, F.lit(left).cast("bigint")), F.lit(width).cast("bigint"))
-    place = let(at, lambda b: F.when(b < 0, F.lit(0)).otherwise(F.least(b + 1, F.lit(last).cast("bigint"))).cast("int"))
-    table = F.array(*(F.struct(F.lit(s).cast("bigint").alias("s"), F.lit(o).cast("bigint").alias("o")) for s, o in zip(slopes, offsets)))
-    return let(F.get(table, place), lambda line: F.call_function("div", add64(mul64(line["s"], x), line["o"]), F.lit(1 << f).cast("bigint")))
+    at = F.call_function("div", sub64(x, F.lit(left)), F.lit(width).cast("bigint"))
+    place = F.when(at < 0, F.lit(0)).otherwise(F.least(at + 1, F.lit(last).cast("bigint"))).cast("int")
+    # Constant arrays and no lambda: all of it runs in generated code, which computes the place once.
+    slope, offset = (F.get(F.array(*(F.lit(v).cast("bigint") for v in t)), place) for t in (slopes, offsets))
+    return F.call_function("div", add64(mul64(slope, x), offset), F.lit(1 << f).cast("bigint"))
