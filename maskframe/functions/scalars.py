@@ -65,32 +65,36 @@ def _upper(x: Column) -> Column:
     return F.shiftrightunsigned(x, 32)
 
 
-def add64(a: Column, b: Column) -> Column:
-    """a + b modulo 2^64 on bit patterns."""
-    a, b = _long(a), _long(b)
-    low = a.bitwiseAND(F.lit(LOW32)) + b.bitwiseAND(F.lit(LOW32))
-    high = _upper(a) + _upper(b) + _upper(low)
+def sum64(*terms: Column) -> Column:
+    """The sum of a few columns modulo 2^64 on bit patterns. One sum of many terms is smaller than nested ones."""
+    longs = [_long(t) for t in terms]
+    low = reduce(lambda a, b: a + b, [t.bitwiseAND(F.lit(LOW32)) for t in longs])
+    high = reduce(lambda a, b: a + b, [*map(_upper, longs), _upper(low)])
     return F.shiftleft(high, 32).bitwiseOR(low.bitwiseAND(F.lit(LOW32)))
 
 
+def add64(a: Column, b: Column) -> Column:
+    return sum64(a, b)
+
+
 def neg64(a: Column) -> Column:
     return add64(F.bitwise_not(_long(a)), F.lit(1))
 
 
 def sub64(a: Column, b: Column) -> Column:
-    return add64(a, neg64(b))
+    return sum64(a, F.bitwise_not(_long(b)), F.lit(1))
 
 
 def mul64(a: Column, b: Column) -> Column:
-    """a * b modulo 2^64, by limbs of 21 bits whose products fit a BIGINT."""
+    """a * b modulo 2^64: halves of a times quarters of b, whose products and their sums fit a BIGINT."""
     a, b = _long(a), _long(b)
-    mask = F.lit((1 << 21) - 1).cast("bigint")
-    limb = lambda x, i: F.shiftrightunsigned(x, 21 * i).bitwiseAND(mask) if i < 2 else F.shiftrightunsigned(x, 42)
-    a0, a1, a2 = (limb(a, i) for i in range(3))
-    b0, b1, b2 = (limb(b, i) for i in range(3))
-    low = add64(a0 * b0, F.shiftleft(a0 * b1 + a1 * b0, 21))
-    high = add64(F.shiftleft(a0 * b2 + a1 * b1 + a2 * b0, 42), F.shiftleft(a1 * b2 + a2 * b1, 63))
-    return add64(low, high)
+    low16 = lambda x: x.bitwiseAND(F.lit(0xFFFF))
+    a0, a1 = a.bitwiseAND(F.lit(LOW32)), _upper(a)
+    b0, b1, b2, b3 = low16(b), low16(F.shiftrightunsigned(b, 16)), low16(_upper(b)), F.shiftrightunsigned(b, 48)
+    cross = a0 * b1
+    low = a0 * b0 + F.shiftleft(low16(cross), 16)
+    high = _upper(low) + F.shiftrightunsigned(cross, 16) + a0 * b2 + a1 * b0 + F.shiftleft(low16(a0 * b3) + low16(a1 * b1), 16)
+    return F.shiftleft(high, 32).bitwiseOR(low.bitwiseAND(F.lit(LOW32)))
 
 
 def add(a: Column, b: Column, k: Kind) -> Column:
@@ -99,6 +103,10 @@ def add(a: Column, b: Column, k: Kind) -> Column:
     return add64(_long(a), _long(b)) if k.bits == 64 else wrap(_long(a) + _long(b), k)
 
 
+def add_all(terms: list[Column], k: Kind) -> Column:
+    return sum64(*terms) if k.bits == 64 else reduce(lambda a, b: add(a, b, k), terms)
+
+
 def subtract(a: Column, b: Column, k: Kind) -> Column:
     if k.bits == 1:
         return a.bitwiseXOR(b)
@@ -169,7 +177,3 @@ def wrap_decimal(x: Column, k: Kind = I64) -> Column:
         half = F.lit(str(1 << (k.bits - 1))).cast("decimal(38,0)")
         return (F.pmod((x + half).cast("decimal(38,0)"), size) - half).cast("bigint").cast(k.spark)
     return F.pmod(x.cast("decimal(38,0)"), size).cast("bigint").cast(k.spark)
-
-
-def all_of(*bits: Column) -> Column:
-    return reduce(lambda a, b: a.bitwiseAND(b), bits)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import Kind, add, multiply, subtract
+from ..functions.scalars import Kind, add, add_all, multiply, subtract
 from .hashing import random_column
 
 PUBLIC, SHARED = "public", "shared"
@@ -23,7 +23,7 @@ def share(x: Column, kind: Kind, seed: int, pos: Column) -> Column:
 
 
 def reveal(shares: Column, kind: Kind) -> Column:
-    return add(add(shares["s0"], shares["s1"], kind), shares["s2"], kind)
+    return add_all([shares[f"s{i}"] for i in range(3)], kind)
 
 
 def party_view(shares: Column, party: int) -> Column:
@@ -43,10 +43,10 @@ def scale_shares(a: Column, by: Column, kind: Kind) -> Column:
 
 def multiply_shares(a: Column, b: Column, kind: Kind) -> Column:
     """Each party adds the products it can make from what it holds."""
+
     def local(i: int) -> Column:
         j = (i + 1) % 3
-        x = add(multiply(a[f"s{i}"], b[f"s{i}"], kind), multiply(a[f"s{i}"], b[f"s{j}"], kind), kind)
-        return add(x, multiply(a[f"s{j}"], b[f"s{i}"], kind), kind)
+        return add_all([multiply(a[f"s{p}"], b[f"s{q}"], kind) for p, q in ((i, i), (i, j), (j, i))], kind)
 
     return F.struct(*(local(i).alias(f"s{i}") for i in range(3)))
 
