@@ -13,7 +13,8 @@ if there are fewer), and a language keeps n-grams of at least LEAST_SHARE of its
 1 / LEAST_SHARE of them: the filter's size is bounded however large the corpus is.
 
 Defined results. Null texts and texts without letters are `und` with score 0; so is everything if no
-document is labelled. Ties go to the language that sorts first. Repeated rows are judged alike.
+document is labelled. A text with letters but without a known n-gram gets the language with most labelled
+documents, with score 0. Ties go to the language that sorts first. Repeated rows are judged alike.
 """
 
 from __future__ import annotations
@@ -71,6 +72,7 @@ class BitmaskFilter:
     masks: np.ndarray  # (words, slots)
     false_rates: np.ndarray  # of each language
     own_rates: np.ndarray  # the share of a language's n-grams that the filter has for it
+    usual: int = 0  # the language with most labelled documents
 
     @classmethod
     def build(cls, languages: list[str], gram: np.ndarray, language: np.ndarray, share: np.ndarray) -> "BitmaskFilter":
@@ -134,7 +136,8 @@ def _count_grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", order: Column | None = None, sample_docs: int = SAMPLE_DOCS) -> BitmaskFilter:
     """A filter from rows with text and lang; `order` is what the hash sample goes by (the text if not given)."""
-    rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).cast("binary").alias("text"), F.col(lang).alias("lang"), F.xxhash64(order if order is not None else F.col(text)).alias("h"))
+    rows = labelled.where(F.col(lang).isNotNull()).select(F.col(text).cast("binary").alias("text"), F.col(lang).alias("lang"), F.xxhash64(order if order is not None else F.col(text)).alias("h"))
+    # The counts read no texts, so null ones count here; they are left out of the sample.
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
@@ -142,14 +145,16 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", order: Colu
     if not languages:
         return BitmaskFilter([], np.zeros((1, 1024), np.uint8), np.zeros(0), np.zeros(0))
     table = rows.sparkSession.createDataFrame([(k, i, min(1.0, sample_docs / sizes[k])) for i, k in enumerate(languages)], "lang string, language int, share double")
-    sample = rows.join(F.broadcast(table), "lang").where(F.pmod("h", F.lit(1_000_000)) < F.col("share") * 1_000_000).select("language", "text")
+    sample = rows.join(F.broadcast(table), "lang").where(F.pmod("h", F.lit(1_000_000)) < F.col("share") * 1_000_000).where("text is not null").select("language", "text")
     counts = sample.transform(shipped).mapInArrow(_count_grams, "language int, gram long, n long").groupBy("language", "gram").agg(F.sum("n").alias("n"))
     totals = counts.groupBy("language").agg(F.sum("n").alias("total"))
     kept = counts.join(F.broadcast(totals), "language").where(F.col("n") >= F.greatest(F.lit(2), F.col("total") * LEAST_SHARE))
     found = kept.select("language", "gram", (F.col("n") / F.col("total")).alias("share")).toPandas()
     most = found.groupby("gram")["share"].transform("max")
     found = found[found["share"] >= LIKE_THE_MOST * most]
-    return BitmaskFilter.build(languages, found["gram"].to_numpy(np.uint32), found["language"].to_numpy(np.int64), found["share"].to_numpy(float))
+    model = BitmaskFilter.build(languages, found["gram"].to_numpy(np.uint32), found["language"].to_numpy(np.int64), found["share"].to_numpy(float))
+    model.usual = max(range(len(languages)), key=lambda i: sizes[languages[i]])
+    return model
 
 
 def predict(docs: DataFrame, model: BitmaskFilter, keys: list[Column], text: str = "text") -> DataFrame:
@@ -162,13 +167,13 @@ def predict(docs: DataFrame, model: BitmaskFilter, keys: list[Column], text: str
         for part, texts in chunks(batches, "text"):
             best, score = np.full(len(texts), len(m.languages)), np.zeros(len(texts))
             if m.languages:
-                total, counts = m.counts(texts)
+                _, counts = m.counts(texts)
                 two = -np.sort(-counts, axis=1)[:, :2]
                 first, second = two[:, 0], two[:, 1] if two.shape[1] > 1 else 0.0
                 score = np.where(first > 0, first / np.maximum(first + second, 1e-12), 0.0)
-                sure = (total > 0) & np.array([has_letter(t) for t in texts])
-                best = np.where(sure, counts.argmax(axis=1), len(m.languages))
-                score = np.where(sure, score, 0.0)
+                letters = np.array([has_letter(t) for t in texts])
+                best = np.where(letters, np.where(first > 0, counts.argmax(axis=1), m.usual), len(m.languages))
+                score = np.where(letters, score, 0.0)
             kept = part.drop_columns(["text"])
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(names[best].tolist(), pa.string()), pa.array(score, pa.float64())], names=[*kept.schema.names, "lang_pred", "score"])
 

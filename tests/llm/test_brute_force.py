@@ -111,6 +111,17 @@ def test_warc_splits(spark, sf):
     assert {r["page_id"] for r in got} == set(want) and all(r["intact"] for r in got)
 
 
+def test_archives_read_as_one_give_the_same_segments(spark, sf):
+    path = scratch_path(spark, "warc-test")
+    op3.write_warc(spark.read.parquet(f"{sf}/pages.parquet").repartition(2), path)
+    archive = op3.Archive(spark, path, False)
+    place = lambda df: sorted((r["file"], r["split"], r["at"], r["length"], r["next"] or 0) for r in df.collect())
+    split = place(archive.segments)
+    assert archive.odd == []
+    archive.odd = sorted({s[0] for s in split})
+    assert place(archive.scan()) == split
+
+
 @pytest.mark.parametrize("size", ["97", "600"])
 def test_warc_splits_inside_line_ends(spark, size):
     """Payloads of line ends and of records, cut everywhere."""

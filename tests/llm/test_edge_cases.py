@@ -39,6 +39,9 @@ def test_language_id(odd, empty, odd_rows):
     assert by_id[4]["lang_pred"] == "en"
     assert all(0 <= r["score"] <= 1 for r in got)
     assert rows(op1.language_id(empty)) == []
+    short = odd.sparkSession.createDataFrame([(100, "a.", None)], "doc_id long, text string, lang string")
+    known = odd.select("doc_id", "text", "lang").unionByName(short)
+    assert next(r for r in rows(op1.language_id(known)) if r["doc_id"] == 100)["lang_pred"] == "en"
 
 
 def test_language_id_without_labels(spark):
