@@ -36,7 +36,7 @@ from ._common import chunks, materialise, mix64, shipped, slices
 
 LENGTH = 200
 ANCHOR = 64
-HOT_SEGMENTS = 50_000
+HOT_SEGMENTS = 1_000
 #: Segments that a task settles among themselves before it sends them, and that it sorts at once.
 TASK_SEGMENTS = 1 << 19
 SORT_SEGMENTS = 20_000
