@@ -35,6 +35,14 @@ def random_permutation(df: DataFrame, seed: int, pos: str = POS) -> DataFrame:
     return positions(keyed, "_h", "v", pos).select(pos, "v")
 
 
+def permutation_from_prf(df: DataFrame, key: Column, iv: int, pos: str = POS) -> DataFrame:
+    """(pos, v): a permutation of the places by the order of a keyed function's values."""
+    from .order import positions
+
+    keyed = df.select(F.col(pos).cast("bigint").alias("v"), prf(key, iv, F.col(pos).cast("bigint")).alias("_h"))
+    return positions(keyed, "_h", "v", pos).select(pos, "v")
+
+
 def shards(df: DataFrame, n: int, keys: list[str], shard_size: int | None = None, by: Column | None = None, pos: str = POS) -> DataFrame:
     """df with `_shard` (by hash of the keys, or `by` modulo n) and `_slot`, its place there.
 

@@ -138,3 +138,49 @@ def to_cells(df: DataFrame, cells: str = "cells") -> DataFrame:
 
 def minimum_of(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.min(column).alias("v"))
+
+
+def expand_dims(df: DataFrame, at: list[int]) -> DataFrame:
+    """The tensor with axes of length one put in at the given places of the result."""
+    names = iter(axes(df))
+    total = len(axes(df)) + len(at)
+    places = {a % total for a in at}
+    return df.select(*((F.lit(0).cast("bigint") if k in places else F.col(next(names))).alias(f"i{k}") for k in range(total)), "v")
+
+
+def zeros_like(df: DataFrame) -> DataFrame:
+    return df.withColumn("v", F.lit(0).cast(df.schema["v"].dataType))
+
+
+def ones_like(df: DataFrame) -> DataFrame:
+    return df.withColumn("v", F.lit(1).cast(df.schema["v"].dataType))
+
+
+def extend_with_zeros(df: DataFrame, shape: list[int], rows: int) -> DataFrame:
+    """`rows` more zero rows at the end of the first axis."""
+    names, rest = axes(df), prod(shape[1:])
+    more, place = df.sparkSession.range(rows * rest), F.col("id")
+    out = []
+    for n in reversed(shape[1:]):
+        out.append(place % n)
+        place = F.call_function("div", place, F.lit(n).cast("bigint"))
+    out.append(place + shape[0])
+    return df.unionByName(more.select(*(c.alias(n) for n, c in zip(names, reversed(out))), F.lit(0).cast(df.schema["v"].dataType).alias("v")))
+
+
+def pull_out_bits(df: DataFrame, bits: str = "bits") -> DataFrame:
+    """Cells of bits as a tensor of bits whose first axis is the bit's place."""
+    names = [c for c in df.columns if c != bits]
+    return df.select(*names, F.posexplode(bits).alias("_b", "v")).select(F.col("_b").cast("bigint").alias("i0"), *(F.col(c).alias(f"i{k + 1}") for k, c in enumerate(names)), "v")
+
+
+def put_in_bits(df: DataFrame, bits: str = "bits") -> DataFrame:
+    """The inverse: the first axis goes back into cells, in order."""
+    first, *names = axes(df)
+    cells = F.array_sort(F.collect_list(F.struct(F.col(first).alias("p"), "v")))  # as many as an integer has bits
+    return df.groupBy(*names).agg(F.transform(cells, lambda x: x["v"]).alias(bits)).select(*(F.col(c).alias(f"i{k}") for k, c in enumerate(names)), bits)
+
+
+def reduce_rows(df: DataFrame, merge, column: str = "v") -> DataFrame:
+    """One row from an associative aggregate function of Spark (bit_and, bit_xor, max, ...), which combines before it shuffles."""
+    return df.agg(merge(F.col(column)).alias(column))

@@ -232,6 +232,13 @@ query("matmul", f"SELECT i0, j AS i1, CAST(sum(v * w) AS BIGINT) AS v FROM {SQL_
 query("gemm_t", f"SELECT a.i1 AS i0, b.i1 AS i1, CAST(sum(a.v * b.v) AS BIGINT) AS v FROM {SQL_T} a JOIN {SQL_T} b ON a.i0 = b.i0 GROUP BY 1, 2")(lambda s, d: T.gemm(v := vectors(s, d), v, transpose_a=True, small=True))
 query("broadcast_add", f"SELECT i0, i1, v + i1 * 3 AS v FROM {SQL_T}")(lambda s, d: T.elementwise(vectors(s, d), s.range(64).select(F.col("id").alias("i0"), (F.col("id") * 3).alias("v")), S.add))
 
+query("expand_dims", f"SELECT CAST(0 AS BIGINT) AS i0, i0 AS i1, CAST(0 AS BIGINT) AS i2, i1 AS i3, v FROM {SQL_T}")(lambda s, d: T.expand_dims(vectors(s, d), [0, 2]))
+query("zeros_and_ones", f"SELECT i0, i1, CAST(0 AS BIGINT) AS v FROM {SQL_T} UNION ALL SELECT i0, i1, CAST(1 AS BIGINT) FROM {SQL_T}")(lambda s, d: T.zeros_like(v := vectors(s, d)).unionByName(T.ones_like(v)))
+query("extend_with_zeros", f"SELECT i0, i1, v FROM {SQL_T} UNION ALL SELECT (SELECT count(*) FROM embeddings) + r, c, 0 FROM (SELECT unnest(range(3)) AS r), (SELECT unnest(range(64)) AS c)")(lambda s, d: T.extend_with_zeros(vectors(s, d), [table(s, d, "embeddings").count(), 64], 3))
+query("bit_planes", f"SELECT b AS i0, o_orderkey AS i1, CAST((o_orderkey >> b) & 1 AS INTEGER) AS v FROM {SQL_O}, (SELECT unnest(range(32)) AS b)")(lambda s, d: T.pull_out_bits(numbers(s, d).select("o_orderkey", B.a2b(key(), S.U32).array().alias("bits"))).withColumn("v", F.col("v").cast("int")))
+query("bits_in_cells", f"SELECT o_orderkey AS i0, o_orderkey AS v FROM {SQL_O}")(lambda s, d: T.put_in_bits(T.pull_out_bits(numbers(s, d).select("o_orderkey", B.a2b(key(), S.U32).array().alias("bits")))).select("i0", B.b2a(F.col("bits"), S.U32).alias("v")))
+query("reduce_bits", f"SELECT bit_xor(y) AS v FROM {SQL_O}")(lambda s, d: T.reduce_rows(numbers(s, d).select(F.col("y").alias("v")), F.bit_xor))
+
 # Bits -------------------------------------------------------------------------------------------
 
 scalar_query("a2b", {"bits": lambda: F.array_join(B.a2b(y(), S.I64).array().cast("array<string>"), "")}, {"bits": "array_to_string(list_transform(range(0, 64), lambda i: CASE WHEN y >= 0 THEN (y >> i) & 1 ELSE 1 - (((-y - 1) >> i) & 1) END), '')"})
@@ -371,6 +378,7 @@ query("csv_rows", f"SELECT CAST(ck AS VARCHAR) AS id, printf('%.3f', bal / 8.0)
     lambda s, d: C.csv_table(masked_customers(s, d), {"id": C.int_cell(F.col("ck")), "share": C.float_cell(F.col("bal"), 3, 3), "far": C.bool_cell((F.col("c_nationkey") > 12).cast("int"))}).select(*(F.when(F.col(c) != "", F.col(c)).alias(c) for c in ("id", "share", "far")))
 )
 query("perm_random")(lambda s, d: H.random_permutation(events(s, d), 42, "pos"))
+query("perm_prf")(lambda s, d: H.permutation_from_prf(events(s, d), F.lit("key"), 5, "pos"))
 query("random_values")(lambda s, d: events(s, d).select("pos", H.random_column(42, F.col("pos")).alias("v")))
 query("prf")(lambda s, d: events(s, d).select("pos", H.prf(F.lit("key"), 3, F.col("pos")).alias("v")))
 

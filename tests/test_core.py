@@ -345,6 +345,18 @@ def test_shapes(spark):
     assert dense(T.elementwise(tensor(spark, a), tensor(spark, a[0, 0]), S.add), (2, 3, 4)) == (a + a[0, 0]).tolist()
 
 
+def test_more_shapes(spark):
+    a = np.arange(6).reshape(2, 3)
+    assert dense(T.expand_dims(tensor(spark, a), [0, -1]), (1, 2, 3, 1)) == a[None, :, :, None].tolist()
+    assert dense(T.extend_with_zeros(tensor(spark, a), [2, 3], 2), (4, 3)) == [*a.tolist(), [0] * 3, [0] * 3]
+    assert dense(T.ones_like(tensor(spark, a)), (2, 3)) == [[1] * 3] * 2
+    df = column(spark, [5, -2]).select("_pos", B.a2b(F.col("x"), S.I64).array().alias("bits"))
+    planes = T.pull_out_bits(df)
+    assert dense(planes.where("i0 = 0"), (1, 2)) == [[1, 0]]
+    assert [r["bits"] for r in T.put_in_bits(planes).orderBy("i0").collect()] == [r["bits"] for r in df.orderBy("_pos").collect()]
+    assert sorted(r["v"] for r in H.permutation_from_prf(column(spark, [0] * 50), F.lit("k"), 1).collect()) == list(range(50))
+
+
 # Metrics, control, sharing, hashing -------------------------------------------------------------
 
 
