@@ -170,8 +170,8 @@ def _perm(s: SparkSession, d: str) -> DataFrame:
 query("perm_apply", f"SELECT q.pos, e.event_id FROM {_SQL_PERM} q JOIN {SQL_E} e ON e.pos = q.p")(lambda s, d: O.apply_permutation(events(s, d).select("pos", "event_id"), _perm(s, d), pos="pos"))
 query("perm_apply_inverse", f"SELECT q.p AS pos, e.event_id FROM {_SQL_PERM} q JOIN {SQL_E} e ON e.pos = q.pos")(lambda s, d: O.apply_permutation(events(s, d).select("pos", "event_id"), _perm(s, d), True, pos="pos"))
 query("perm_inverse", f"SELECT p AS pos, pos AS v FROM {_SQL_PERM}")(lambda s, d: O.inverse_permutation(_perm(s, d), pos="pos"))
-query("gather", f"SELECT e.pos // 2 AS pos, event_id FROM {SQL_E} e WHERE e.pos % 2 = 0")(
-    lambda s, d: O.gather((e := events(s, d)).select("pos", "event_id"), e.where("pos % 2 = 0").select(div(F.col("pos"), 2).alias("pos"), F.col("pos").alias("v")), pos="pos")
+query("gather", f"SELECT q.pos, e.event_id FROM (SELECT pos, (pos * pos) % (SELECT count(*) FROM events) AS p FROM {SQL_E}) q JOIN {SQL_E} e ON e.pos = q.p")(
+    lambda s, d: O.gather((e := events(s, d)).select("pos", "event_id"), e.select("pos", (F.col("pos") * F.col("pos") % e.count()).alias("v")), pos="pos")
 )
 query("get_row", f"SELECT event_id, user_id, v FROM {SQL_E} WHERE pos = 7")(lambda s, d: O.get_row(events(s, d), 7, "pos"))
 query("slice_step", f"SELECT (pos - 3) // 7 AS pos, event_id FROM {SQL_E} WHERE pos >= 3 AND (pos - 3) % 7 = 0")(lambda s, d: O.take_slice((e := events(s, d)).select("pos", "event_id"), e.count(), 3, None, 7, pos="pos"))
