@@ -83,15 +83,23 @@ class Encoder:
     def __init__(self, path: str):
         import json
 
-        self.slow = tokenizer(path)
-        spec = json.loads(self.slow.to_str())
-        self.special = [t["content"] for t in spec.get("added_tokens", [])]
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        self.path, self._slow = path, None
+        self.special = [t["content"] for t in spec.get("added_tokens") or []]
         self.fast = None
         pre = spec.get("pre_tokenizer") or {}
-        plain = spec["model"]["type"] == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
+        plain = spec["model"].get("type") == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
         if plain:
             self.fast = self._ranks(spec)
 
+    @property
+    def slow(self):
+        """The file's own tokenizer, loaded when a text first needs it."""
+        if self._slow is None:
+            self._slow = tokenizer(self.path)
+        return self._slow
+
     def _ranks(self, spec: dict):
         import tiktoken
 
@@ -126,7 +134,7 @@ def tokenized(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "t
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(path)
-        for part, texts in chunks(batches, "text", 1 << 22):
+        for part, texts in chunks(batches, "text"):
             rows, ids = [], []
             for key, t in zip(part.column("doc_id").to_pylist(), texts):
                 found = np.array([*encode(t.decode("utf-8", "replace")), END_ID], "<u4")
