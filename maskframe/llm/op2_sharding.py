@@ -2,17 +2,20 @@
 
 Groups larger than a fixed share of the total are items of their own, so their number is bounded; all
 smaller ones are bundled by hash into a fixed number of items. The packing itself thus sees a bounded
-list, whatever the size of the input. For a given number of shards the least capacity that best fit
-needs is searched, which makes the shards' sizes near equal.
+list, whatever the size of the input. An item above the even share has a shard of its own. For the
+others and the remaining shards the least capacity that best fit needs is searched, and what coarse
+items leave uneven is levelled, which makes these shards' sizes near equal.
 
 Defined results. A null or empty text has one byte and all such texts are one group each (null apart
-from empty). Repeated rows are members of their group and get slots of their own. A group larger than
-an even share gets a shard that no other item can enter unless room is left. An empty table gives an
-empty result.
+from empty). Repeated rows are members of their group and get slots of their own. A group above
+the even share of its own and all smaller items' bytes over the shards that are left gets a shard
+that nothing else enters. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -119,10 +122,8 @@ def best_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
     return out
 
 
-def pack_into(sizes: list[int], bins: int) -> list[int]:
+def least_capacity(sizes: list[int], bins: int) -> list[int]:
     """Bins 0 to bins-1 by best-fit-decreasing at the least capacity for which that many suffice."""
-    if not sizes:
-        return []
     low, high = max(max(sizes), -(-sum(sizes) // bins)), max(sizes) + -(-sum(sizes) // bins)
     best = best_fit_decreasing(sizes, high)
     while low < high:
@@ -135,6 +136,57 @@ def pack_into(sizes: list[int], bins: int) -> list[int]:
     return best
 
 
+def level(sizes: list[int], where: list[int], bins: int) -> list[int]:
+    """The same bins after moves of single items into the emptiest one, as long as a move leaves both bins below the giver's fill.
+
+    Best fit fills bins to the capacity, so where items are coarse it can leave the last bins empty."""
+    fills, held = [0] * bins, [[] for _ in range(bins)]
+    for i, b in enumerate(where):
+        fills[b] += sizes[i]
+        held[b].append((sizes[i], i))
+    for items in held:
+        items.sort()
+
+    def move() -> bool:
+        low = min(range(bins), key=fills.__getitem__)
+        for b in sorted(range(bins), key=lambda b: -fills[b]):
+            gap = fills[b] - fills[low]
+            at = bisect_right(held[b], (gap // 2, len(sizes)))  # before it, the largest item up to half the gap; else the next one
+            for k in (at - 1, at):
+                if 0 <= k < len(held[b]) and 0 < held[b][k][0] < gap:
+                    item = held[b].pop(k)
+                    insort(held[low], item)
+                    fills[b] -= item[0]
+                    fills[low] += item[0]
+                    return True
+        return False
+
+    while move():
+        pass
+    out = list(where)
+    for b, items in enumerate(held):
+        for _, i in items:
+            out[i] = b
+    return out
+
+
+def pack_into(sizes: list[int], bins: int) -> list[int]:
+    """Bins 0 to bins-1. An item above the even share of what is left has a bin of its own; the others are packed into the remaining bins."""
+    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
+    left, alone = sum(sizes), 0
+    while alone < len(order) and sizes[order[alone]] * (bins - alone) > left:
+        left -= sizes[order[alone]]
+        alone += 1
+    out = [0] * len(sizes)
+    for b, i in enumerate(order[:alone]):
+        out[i] = b
+    if rest := order[alone:]:
+        some = [sizes[i] for i in rest]
+        for i, b in zip(rest, level(some, least_capacity(some, bins - alone), bins - alone)):
+            out[i] = alone + b
+    return out
+
+
 def shards(docs: DataFrame, n_shards: int = 8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every row."""
     spark = docs.sparkSession

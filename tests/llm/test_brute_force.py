@@ -76,6 +76,34 @@ def test_sharding(spark, sf, texts):
         assert slots == list(range(len(slots)))
 
 
+def test_sharding_with_a_third_in_one_group(spark):
+    """The hot group has a shard of its own, and the other seven share the rest evenly."""
+    data = [(i, "hot " * 25) for i in range(1500)] + [(i, f"text {i} " + "x" * (i % 200)) for i in range(1500, 4300)]
+    got = op2.shards(spark.createDataFrame(data, "doc_id long, text string"), 8).collect()
+    assert sorted(r["doc_id"] for r in got) == [i for i, _ in data]
+    hot = {r["shard"] for r in got if r["doc_id"] < 1500}
+    sizes = [sum(r["size"] for r in got if r["shard"] == s) for s in range(8)]
+    assert len(hot) == 1 and all(r["doc_id"] < 1500 for r in got if r["shard"] in hot)
+    assert 0.3 < sizes[hot.pop()] / sum(sizes) < 0.4
+    others = sorted(sizes)[:-1]
+    assert min(others) > 0.99 * max(others)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 60), max_size=60), st.integers(1, 9))
+def test_packing_into_bins_leaves_none_empty(sizes, bins):
+    packed = op2.pack_into(sizes, bins)
+    assert len(packed) == len(sizes) and all(0 <= b < bins for b in packed)
+    assert len(set(packed)) == min(bins, len(sizes))
+    fills, largest = [0] * bins, max(sizes, default=0)
+    for size, b in zip(sizes, packed):
+        fills[b] += size
+    assert max(fills) <= largest + -(-sum(sizes) // bins)
+    # No bin with two items or more could give one to the emptiest bin and both stay below its fill.
+    for size, b in zip(sizes, packed):
+        assert fills[b] - min(fills) <= size
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 60), max_size=60))
 def test_best_fit_decreasing_is_best_fit(sizes):
