@@ -1,6 +1,7 @@
 """Best-fit packing of token pieces into sequences, in rounds.
 
-Tasks pack their own pieces by best fit, decreasing. Bins that are nearly full are done; the others
+Pieces are dealt out evenly, whatever order the files hold them in, so that each task sees the whole mix
+of lengths. Tasks pack their own pieces by best fit, decreasing. Bins that are nearly full are done; the others
 go up a tree of merging tasks as single items, where best fit is repeated.
 
 Defined results. A null text is empty and gives one piece, the end token. Repeated rows are packed as
@@ -27,6 +28,8 @@ END_ID = 2
 SLACK = 0.002
 #: Items that a merging task takes.
 TASK_ITEMS = 100_000
+#: Pieces that a task of the first round takes.
+FIRST_ITEMS = 50_000
 MAX_ROUNDS = 8
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -200,10 +203,13 @@ def _merge_round(capacity: int):
 def residual_packing(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Bins (fill, items with offsets): local best fit, then rounds over the bins that aren't nearly full.
 
+    The pieces, which are read twice, are dealt out in turn before the first round: each task's rows go in order
+    of their hash, one to each task of the next stage, so equal rows don't meet in one either.
     The rounds end when one task takes all that is left, or when a round no longer saves a bin in a
     hundred. Each round's bins are written to the shared folder, so a lost executor costs one round."""
     full = capacity - int(SLACK * capacity)
-    bins = materialise(pieces.transform(shipped).mapInArrow(_first_round(capacity), BIN), "packing-0")
+    spread = pieces.repartition(-(-pieces.count() // FIRST_ITEMS) or 1)
+    bins = materialise(spread.transform(shipped).mapInArrow(_first_round(capacity), BIN), "packing-0")
     done = bins.where(F.col("fill") >= full)
     rest = bins.where(F.col("fill") < full)
     left = rest.count()

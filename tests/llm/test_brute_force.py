@@ -316,6 +316,16 @@ def test_packing_rounds_join_residuals(spark):
     assert len(bins) <= 1.06 * -(-sum(300 + i % 400 for i in range(2000)) // 1024)
 
 
+def test_packing_of_a_table_clustered_by_length(spark):
+    """Short pieces that lie together fill the gaps behind long ones: nearly as few bins as best fit over all pieces."""
+    lengths = [20 + i * 7919 % 181 for i in range(20_000)] + [350 + i * 7919 % 451 for i in range(40_000)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize([(i, 0, 0, n, 0) for i, n in enumerate(lengths)], 6), op7.PIECES)
+    bins = op7.residual_packing(df).select("fill", "items.doc_id", "items.length").collect()
+    assert sorted(i for b in bins for i in b["doc_id"]) == list(range(60_000))
+    assert all(sum(b["length"]) == b["fill"] <= 1024 for b in bins)
+    assert len(bins) <= 1.005 * (op7.pack(np.array(lengths), 1024).max() + 1)
+
+
 def test_encoder_falls_back_for_special_strings():
     encode = op7.Encoder(TOKENIZER)
     assert encode.fast is not None
