@@ -118,6 +118,19 @@ class BitmaskFilter:
             out[:, i] = np.maximum((np.diff(run[edges]) - total * false) / (1 - false), 0) / self.own_rates[i]
         return total, out
 
+    def decide(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The language of each text, or the number of languages where it is unknown, and the score."""
+        best, score = np.full(len(texts), len(self.languages)), np.zeros(len(texts))
+        if self.languages:
+            _, counts = self.counts(texts)
+            two = -np.sort(-counts, axis=1)[:, :2]
+            first, second = two[:, 0], two[:, 1] if two.shape[1] > 1 else 0.0
+            score = np.where(first > 0, first / np.maximum(first + second, 1e-12), 0.0)
+            letters = np.array([has_letter(t) for t in texts])
+            best = np.where(letters, np.where(first > 0, counts.argmax(axis=1), self.usual), len(self.languages))
+            score = np.where(letters, score, 0.0)
+        return best, score
+
 
 def has_letter(text: bytes) -> bool:
     if text.isascii():
@@ -165,15 +178,7 @@ def predict(docs: DataFrame, model: BitmaskFilter, keys: list[Column], text: str
         m = shared.value
         names = np.array([*m.languages, UNKNOWN], object)
         for part, texts in chunks(batches, "text"):
-            best, score = np.full(len(texts), len(m.languages)), np.zeros(len(texts))
-            if m.languages:
-                _, counts = m.counts(texts)
-                two = -np.sort(-counts, axis=1)[:, :2]
-                first, second = two[:, 0], two[:, 1] if two.shape[1] > 1 else 0.0
-                score = np.where(first > 0, first / np.maximum(first + second, 1e-12), 0.0)
-                letters = np.array([has_letter(t) for t in texts])
-                best = np.where(letters, np.where(first > 0, counts.argmax(axis=1), m.usual), len(m.languages))
-                score = np.where(letters, score, 0.0)
+            best, score = m.decide(texts)
             kept = part.drop_columns(["text"])
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(names[best].tolist(), pa.string()), pa.array(score, pa.float64())], names=[*kept.schema.names, "lang_pred", "score"])
 
@@ -183,17 +188,14 @@ def predict(docs: DataFrame, model: BitmaskFilter, keys: list[Column], text: str
 
 
 def keep_known(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """The documents, all columns kept, without those whose language is unknown."""
+    """The documents, all columns kept, without those that `predict` calls unknown; if none is labelled, without those that have no letters."""
     model = fit(docs.where(trainable(F.col(doc_id))), text, lang, order=F.col(doc_id))
     shared, raw = docs.sparkSession.sparkContext.broadcast(model), fresh(docs, "text_bytes")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for part, texts in chunks(batches, raw):
-            known = np.array([has_letter(t) for t in texts])
-            if m.languages:
-                total, counts = m.counts(texts)
-                known &= (total == 0) | (counts.max(axis=1) > 0)
+            known = m.decide(texts)[0] < len(m.languages) if m.languages else np.array([has_letter(t) for t in texts])
             yield part.filter(pa.array(known)).drop_columns([raw])
 
     return docs.withColumn(raw, F.col(text).cast("binary")).transform(shipped).mapInArrow(run, docs.schema)

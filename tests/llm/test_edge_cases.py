@@ -44,6 +44,15 @@ def test_language_id(odd, empty, odd_rows):
     assert next(r for r in rows(op1.language_id(known)) if r["doc_id"] == 100)["lang_pred"] == "en"
 
 
+def test_language_stage_keeps_what_predict_knows(spark, odd):
+    """A script without labelled documents and rare words stay; texts without letters go."""
+    extra = spark.createDataFrame([(100, "Κείμενο χωρίς ετικέτα", None), (101, "zqxj wvkq", None), (102, "42 !?", None)], "doc_id long, text string, lang string")
+    df = odd.select("doc_id", "text", "lang").unionByName(extra)
+    assert ids(op1.keep_known(df)) == ids(op1.language_id(df).where("lang_pred != 'und'"))
+    assert {100, 101} <= set(ids(op1.keep_known(df))) and 102 not in ids(op1.keep_known(df))
+    assert ids(op1.keep_known(extra)) == [100, 101]
+
+
 def test_language_id_without_labels(spark):
     df = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     assert [(r["lang_pred"], r["score"]) for r in op1.language_id(df).collect()] == [("und", 0.0)]
