@@ -1,5 +1,6 @@
-"""Quality rules judged per host: failures of each rule are counted by domain, the rates are
-shrunk with a beta prior fitted to all hosts, and the hosts' verdicts go back to their documents.
+"""Quality rules judged per host: documents that fail any rule are counted by domain, this one combined
+rate of each host is shrunk with a beta prior fitted to all hosts, and the hosts' verdicts go back to
+their documents. There are no rates of single rules.
 
 Defined results. A null or empty text has no words, so it fails the length rule. A null host gets
 no host verdict. Repeated rows count as often as they appear. An empty table gives an empty result.
