@@ -398,8 +398,9 @@ def cuckoo(s, d):
 
 @query("cuckoo_permutation")
 def cuckoo_permutation(s, d):
-    rows = table(s, d, "nation").select(F.lit(0).alias("g"), F.col("n_nationkey").cast("bigint").alias("r"), F.xxhash64("n_nationkey").alias("v"))
-    return H.cuckoo_to_permutation(H.cuckoo_tables(rows, "g", "r", "v", _matrices(3, 6), 6, seed=1))
+    rows = O.positions(table(s, d, "customer").select("c_custkey"), "c_custkey", None, "r").select(F.lit(0).alias("g"), "r", F.xxhash64("c_custkey").alias("v"))
+    m = (2 * (table(s, d, "customer").count() or 1)).bit_length()
+    return H.cuckoo_to_permutation(H.cuckoo_tables(rows, "g", "r", "v", _matrices(3, m), m, seed=1))
 
 
 @query("switching_map", f"SELECT pos, (pos * pos) % (SELECT count(*) FROM events) AS v FROM {SQL_E}")

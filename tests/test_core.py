@@ -20,7 +20,7 @@ from maskframe.operators import order as O
 from maskframe.operators import sharing as P
 from maskframe.operators import tensor as T
 from maskframe.operators.table import POS, VALID, assert_unique, to_compact, to_padded
-from maskframe.plans import graphs, inspect
+from maskframe.plans import catalogue, graphs, inspect
 from maskframe.sources import csv_sink as C
 from maskframe.sources import typed_json as TJ
 
@@ -414,6 +414,15 @@ def test_cuckoo(spark):
     assert sorted(r["row"] for r in p) == sorted(r["slot"] for r in p) == list(range(64))
 
 
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01"])
+def test_cuckoo_permutation_grows_with_the_table(spark, scale):
+    d = f"/root/testdata/{scale}"
+    n = spark.read.parquet(f"{d}/customer.parquet").count()
+    p = catalogue.cuckoo_permutation(spark, d).collect()
+    assert len(p) == 1 << (2 * n).bit_length()
+    assert sorted(r["row"] for r in p) == sorted(r["slot"] for r in p) == list(range(len(p)))
+
+
 def test_switching_map(spark):
     index = [3, 3, 0, 5, 3, 0]
     first, second, third = (dict(listed(d, POS, "v")) for d in H.decompose_switching(column(spark, index, "v"), 8))
