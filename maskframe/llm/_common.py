@@ -1,39 +1,27 @@
-"""Plumbing shared by the corpus operators: scratch tables, column helpers, text buffers."""
+"""Plumbing shared by the corpus operators: column helpers, text buffers."""
 
 from __future__ import annotations
 
 import atexit
 import shutil
 import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.scratch import materialise, scratch_path, sized  # noqa: F401  (used by the operators)
+
 _local: dict[str, str] = {}
-#: Paths of scratch tables that haven't been dropped.
-written: list[str] = []
 
 #: Bytes of text that a Python worker handles at once; work arrays take a small multiple of this.
 CHUNK_BYTES = 1 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if path:
-        return path.rstrip("/")
-    if "path" not in _local:
-        _local["path"] = tempfile.mkdtemp(prefix="maskframe-")
-        atexit.register(shutil.rmtree, _local["path"], ignore_errors=True)
-    return _local["path"]
-
-
 def shipped(df: DataFrame) -> DataFrame:
     """df, after its executors have been given this package (once a session), for functions that run there."""
     context = df.sparkSession.sparkContext
@@ -46,28 +34,6 @@ def shipped(df: DataFrame) -> DataFrame:
     return df
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    written.append(path)
-    return path
-
-
-def drop_scratch(spark: SparkSession, since: int = 0, but: str | None = None) -> None:
-    """Delete this process's scratch tables, from the `since`-th on; what was built from them can't be read any more."""
-    for path in [p for p in written[since:] if p != but]:
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-        written.remove(path)
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet into the shared folder and read it again."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have."""
     taken = {c.lower() for c in df.columns}

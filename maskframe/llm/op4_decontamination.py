@@ -6,10 +6,12 @@ list is as long as a shard at most. A phrase is looked up in every shard by taki
 rarest term there, moved back by the term's place in the phrase, and intersecting it with the moved
 lists of the other terms, rarest first.
 
-Queries are collected in blocks of at most BLOCK_WORDS words, each block broadcast by itself.
+Items reach the driver in blocks of at most BLOCK_WORDS words, each block broadcast by itself and released
+before the next one.
 
 Words are runs of ASCII letters and digits and of all characters beyond ASCII, A-Z in lower case.
-Terms are kept as 64-bit keys of their bytes.
+Terms are kept as 64-bit keys of their bytes: two words of one key, of which a billion distinct words have
+about 0.03 pairs, would be taken for each other.
 
 Defined results. A null or empty text has no words and is clean. Items without words match nothing;
 items without an id are left out; items of one id count as one. Repeated documents are judged alike.
@@ -22,17 +24,19 @@ import uuid
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import chunks, fresh, materialise, mix64, shipped
+from ._common import chunks, fresh, materialise, mix64, shipped, sized
 
 WINDOW = 13
 SHARD_BYTES = 1 << 21
-BLOCK_WORDS = 1 << 21
+BLOCK_WORDS = 1 << 19
 
 INDEX = "shard string, docs array<struct<doc_id:long,first:int,n_words:int>>, terms binary, ends binary, positions binary"
 HITS = "shard string, row int, doc_id long, n_words long, spans array<struct<start:int,stop:int>>, items array<string>"
@@ -175,10 +179,10 @@ class Phrases:
             own = number[end - n : end].tolist()
             for k in range(max(1, n - window + 1) if n else 0):
                 owners[tuple(own[k : k + window])].add(name)
-        rows = np.full((len(owners), window), -1, np.int64)
+        rows = np.full((len(owners), window), -1, np.int32)
         for i, p in enumerate(owners):
             rows[i, : len(p)] = p
-        return cls(term, rows, np.array([len(p) for p in owners], np.int64), [sorted(s) for s in owners.values()])
+        return cls(term, rows, np.array([len(p) for p in owners], np.int16), [sorted(s) for s in owners.values()])
 
 
 def _search_shard(shard: Shard, phrases: Phrases) -> tuple[dict[int, set], dict[int, list]]:
@@ -190,14 +194,14 @@ def _search_shard(shard: Shard, phrases: Phrases) -> tuple[dict[int, set], dict[
     start, stop = shard.lists(phrases.keys)
     count = np.append(stop - start, np.iinfo(np.int64).max)  # the last stands for places beyond a phrase's end
     for i in np.flatnonzero(count[phrases.rows].min(axis=1) > 0).tolist():
-        n = phrases.lengths[i]
+        n = int(phrases.lengths[i])
         term = phrases.rows[i, :n]
         places = shard.phrase(start[term], stop[term])
         if len(places):
             for d, p in zip((np.searchsorted(shard.first, places, side="right") - 1).tolist(), places.tolist()):
                 items[d].update(phrases.items[i])
                 at = p - int(shard.first[d])
-                spans[d].append((at, at + int(n)))
+                spans[d].append((at, at + n))
     return items, spans
 
 
@@ -211,8 +215,8 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _search(index: DataFrame, phrases: Phrases) -> DataFrame:
-    shared = index.sparkSession.sparkContext.broadcast(phrases)  # at most BLOCK_WORDS words
+def _search(index: DataFrame, shared: Broadcast, every: bool) -> DataFrame:
+    """The hits of a block's phrases, at most BLOCK_WORDS of them, in all documents or only in those that have some."""
     span = pa.struct([("start", pa.int32()), ("stop", pa.int32())])
     schema = pa.schema([("shard", pa.string()), ("row", pa.int32()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(span)), ("items", pa.list_(pa.string()))])
 
@@ -221,7 +225,7 @@ def _search(index: DataFrame, phrases: Phrases) -> DataFrame:
             for k in range(batch.num_rows):  # a shard at a time
                 shard = Shard(batch.slice(k, 1).to_pylist()[0])
                 items, spans = _search_shard(shard, shared.value)
-                rows = [{"shard": shard.name, "row": i, "doc_id": d["doc_id"], "n_words": d["n_words"], "spans": [{"start": a, "stop": b} for a, b in merge(spans.get(i, []))], "items": sorted(items.get(i, ()))} for i, d in enumerate(shard.docs)]
+                rows = [{"shard": shard.name, "row": i, "doc_id": d["doc_id"], "n_words": d["n_words"], "spans": [{"start": a, "stop": b} for a, b in merge(spans.get(i, []))], "items": sorted(items.get(i, ()))} for i, d in enumerate(shard.docs) if every or i in spans]
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return index.transform(shipped).mapInArrow(run, HITS)
@@ -241,16 +245,26 @@ def blocks(items: DataFrame, item_id: str, text: str, window: int, block_words:
 
 
 def phrase_matches(index: DataFrame, items: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, n_words, spans (words hit) and items of every indexed document."""
-    found = [_search(index, p) for p in blocks(items, item_id, text, window, block_words)]
-    rows = found[0]
-    if len(found) == 1:
-        return rows.drop("shard", "row")
-    # Several blocks: a document's rows meet again by its shard and its number there.
-    for more in found[1:]:
-        rows = rows.unionByName(more)
-    joined = rows.groupBy("shard", "row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return joined.drop("shard", "row")
+    """doc_id, n_words, spans (words hit) and items of every indexed document.
+
+    Items of one block are looked up as the index is read once. With more blocks each one's hits are
+    written, the block is released, and the hits of all meet the documents in one join."""
+    context = index.sparkSession.sparkContext
+    found, last = [], None
+    for block in blocks(items, item_id, text, window, block_words):
+        if last is not None:
+            found.append(materialise(_search(index, last, False), "phrase-hits"))
+            last.destroy()
+        last = context.broadcast(block)
+    if not found:
+        return _search(index, last, True).drop("shard", "row")
+    found.append(materialise(_search(index, last, False), "phrase-hits"))
+    last.destroy()
+    hits = reduce(DataFrame.unionByName, found).groupBy("shard", "row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    docs = index.select("shard", F.posexplode("docs").alias("row", "d")).select("shard", "row", "d.doc_id", F.col("d.n_words").cast("long").alias("n_words"))
+    joined = docs.join(hits, ["shard", "row"], "left")
+    empty = lambda c: F.coalesce(c, F.array().cast(hits.schema[c].dataType)).alias(c)
+    return joined.select("doc_id", "n_words", empty("spans"), empty("items"))
 
 
 def proximity_matches(index: DataFrame, terms: list[str], within: int) -> DataFrame:
@@ -286,8 +300,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The documents, all columns kept, that aren't contaminated. They are known by their texts, so ids may repeat or lack."""
+    """The documents, all columns kept, in which no phrase of the benchmark occurs, however long the document is.
+
+    `contaminated` would let long documents through with whole items in them. Documents are known by their
+    texts, so ids may repeat or lack."""
     key = fresh(docs, "text_key")
     keyed = docs.withColumn(key, F.xxhash64(F.col(text)))
-    found = decontaminate(keyed, benchmark, key, text).where("contaminated").select(F.col("doc_id").alias(key)).distinct()
-    return keyed.join(materialise(found, "contaminated"), key, "left_anti").select(*docs.columns)
+    index = materialise(build_index(keyed, key, text), "postings")
+    hit = phrase_matches(index, benchmark).where(F.size("spans") > 0).select(F.col("doc_id").alias(key)).distinct()
+    return keyed.join(sized(materialise(hit, "benchmark-hits")), key, "left_anti").select(*docs.columns)

@@ -206,6 +206,17 @@ def test_decontamination_in_blocks(spark, sf, docs):
     assert one == many and len(one) == docs.count()
 
 
+def test_clean_stage_drops_long_documents_with_one_window(spark):
+    item = " ".join(f"item{i}" for i in range(20))
+    filler = " ".join(f"word{i}" for i in range(2000))
+    window = " ".join(item.split()[4:17])
+    rows = [(1, f"{filler} {window} {filler}"), (2, f"{filler} {' '.join(window.split()[:12])} {filler}"), (3, None), (4, item), (4, item)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([("a", item), ("b", None)], "item_id string, text string")
+    assert not any(r["contaminated"] for r in op4.decontaminate(docs, bench).where("doc_id = 1").collect())
+    assert sorted(r["doc_id"] for r in op4.keep_clean(docs, bench).collect()) == [2, 3]
+
+
 def test_proximity(spark):
     df = spark.createDataFrame([(1, "a b c d e"), (2, "a x x x x b"), (3, "b a")], "doc_id long, text string")
     index = op4.build_index(df)
@@ -436,7 +447,10 @@ def test_pipeline(spark, sf, texts):
     least = brute_classes([brute_fingerprint(texts[i]) for i in ids], ids)
     assert set(left) == {i for i in ids if least[i] == i}
     clean = stages["decontaminate"](spark, one, sf)
-    hit = {i for i, r in by_id(Q.op4_decontamination(spark, sf)).items() if r["contaminated"]}
+    windows = brute_windows([(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()], 13)
+    words = {i: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t)) for i, t in texts.items()}
+    hit = {i for i, w in words.items() if any(tuple(w[k : k + n]) in windows for n in {len(x) for x in windows} for k in range(len(w) - n + 1))}
+    assert hit >= {i for i, r in by_id(Q.op4_decontamination(spark, sf)).items() if r["contaminated"]}
     assert {r["doc_id"] for r in clean.collect()} == set(left) - hit
     red = {r["doc_id"]: r["text"] for r in stages["redact_secrets"](spark, clean, sf).collect()}
     spans = {r["doc_id"]: r["spans"] for r in op5.secret_scan(clean).collect()}
