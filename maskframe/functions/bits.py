@@ -22,7 +22,8 @@ class Bits:
     kind: Kind
 
     def array(self) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.lit(self.kind.bits - 1)), lambda i: F.call_function("shiftright", self.value.cast("bigint"), i).bitwiseAND(F.lit(1)).cast("tinyint"))
+        x = self.value.cast("bigint")
+        return F.array(*(F.shiftright(x, i).bitwiseAND(F.lit(1)).cast("tinyint") for i in range(self.kind.bits)))
 
 
 def a2b(x: Column, k: Kind) -> Bits:

@@ -80,3 +80,44 @@ def cell_slice(v: Column, n: int, start: int | None = None, stop: int | None = N
     if not places:
         raise ValueError("empty slice")
     return F.array(*(F.get(v, F.lit(i)) for i in places))
+
+
+#: A container's static type: "x" for a scalar, [n, type] for a vector or array axis, a tuple of types, a dict of named types.
+Shape = object
+
+
+def leaves(value: Column, of: Shape) -> list[Column]:
+    """The scalars of a value in their order."""
+    if isinstance(of, str):
+        return [value]
+    if isinstance(of, list):
+        n, part = of
+        return [leaf for i in range(n) for leaf in leaves(F.get(value, F.lit(i)), part)]
+    names = [f"_{i}" for i in range(len(of))] if isinstance(of, tuple) else list(of)
+    parts = of if isinstance(of, tuple) else of.values()
+    return [leaf for name, part in zip(names, parts) for leaf in leaves(value.getField(name), part)]
+
+
+def _built(rest: list[Column], of: Shape) -> Column:
+    if isinstance(of, str):
+        return rest.pop(0)
+    if isinstance(of, list):
+        n, part = of
+        return F.array(*(_built(rest, part) for _ in range(n)))
+    if isinstance(of, tuple):
+        return F.struct(*(_built(rest, part).alias(f"_{i}") for i, part in enumerate(of)))
+    return F.struct(*(_built(rest, part).alias(name) for name, part in of.items()))
+
+
+def reshape(value: Column, old: Shape, new: Shape) -> Column:
+    """The same scalars in the same order in another container: vectors become tuples, arrays other arrays, and back."""
+    rest = leaves(value, old)
+
+    def count(of: Shape) -> int:
+        if isinstance(of, str):
+            return 1
+        return of[0] * count(of[1]) if isinstance(of, list) else sum(map(count, of if isinstance(of, tuple) else of.values()))
+
+    if count(new) != len(rest):
+        raise ValueError("containers differ in size")
+    return _built(rest, new)

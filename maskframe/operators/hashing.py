@@ -2,29 +2,72 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from math import prod
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.scalars import Kind, wrap
 from .table import POS, VALID, zero_cells
 
 DUMMY = -1  # all bits set: the largest unsigned value
 
 
+def _cut(x: Column, bits: int) -> Column:
+    return x if bits == 64 else x.bitwiseAND(F.lit((1 << bits) - 1))
+
+
 def random_column(seed: int, pos: Column, kind_bits: int = 64) -> Column:
     """Keyed pseudo-random values by place: the same for the same seed, whatever the partitioning."""
-    h = F.xxhash64(F.lit(seed).cast("bigint"), pos)
-    return h if kind_bits == 64 else h.bitwiseAND(F.lit((1 << kind_bits) - 1))
+    return _cut(F.xxhash64(F.lit(seed).cast("bigint"), pos), kind_bits)
 
 
 def prf(key: Column, iv: int, pos: Column, kind_bits: int = 64) -> Column:
-    """A keyed pseudo-random function of a place, from SHA-256: the low bits of its first 15 hexadecimal digits, or of two digests for 64."""
+    """A keyed pseudo-random function of a place: the first 16 hexadecimal digits of a SHA-256 digest, of which fewer bits are the low ones."""
     digest = F.sha2(F.concat_ws("|", key.cast("string"), F.lit(str(iv)), pos.cast("string")), 256)
     number = lambda at: F.conv(F.substring(digest, at, 8), 16, 10).cast("bigint")
-    whole = F.shiftleft(number(1), 32).bitwiseOR(number(9))
-    return whole if kind_bits == 64 else whole.bitwiseAND(F.lit((1 << kind_bits) - 1))
+    return _cut(F.shiftleft(number(1), 32).bitwiseOR(number(9)), kind_bits)
+
+
+def in_kind(x: Column, kind: Kind) -> Column:
+    """A 64-bit pattern's low bits as a value of a kind."""
+    return wrap(_cut(x, kind.bits), kind)
+
+
+def _draw(pos: Column, of: object, name: str, draw: Callable[[Column], Column]) -> Column:
+    """A value of a type: a kind, [n, type] for a vector, a tuple or a dict of types. Parts are drawn by their path."""
+    if isinstance(of, Kind):
+        return in_kind(draw(F.concat_ws("/", pos.cast("string"), F.lit(name))), of)
+    if isinstance(of, list):
+        n, part = of
+        return F.array(*(_draw(pos, part, f"{name}.{i}", draw) for i in range(n)))
+    if isinstance(of, tuple):
+        return F.struct(*(_draw(pos, part, f"{name}.{i}", draw).alias(f"_{i}") for i, part in enumerate(of)))
+    return F.struct(*(_draw(pos, part, f"{name}.{k}", draw).alias(k) for k, part in of.items()))
+
+
+def random_value(seed: int, pos: Column, of: object) -> Column:
+    """A pseudo-random value of any type (see `_draw`) for each place."""
+    return _draw(pos, of, "r", lambda path: F.xxhash64(F.lit(seed).cast("bigint"), path))
+
+
+def prf_value(key: Column, iv: int, pos: Column, of: object) -> Column:
+    """A value of any type by the keyed function."""
+    return _draw(pos, of, "p", lambda path: prf(key, iv, path))
+
+
+def random_tensor(spark: SparkSession, seed: int, shape: list[int], kind: Kind) -> DataFrame:
+    """A coordinate table of pseudo-random values, made in parallel."""
+    place, out = F.col("id"), []
+    for n in reversed(shape):
+        out.append(place % n)
+        place = F.call_function("div", place, F.lit(n).cast("bigint"))
+    names = [c.alias(f"i{k}") for k, c in enumerate(reversed(out))]
+    return spark.range(prod(shape)).select(*names, in_kind(random_column(seed, F.col("id")), kind).alias("v"))
 
 
 def random_permutation(df: DataFrame, seed: int, pos: str = POS) -> DataFrame:
@@ -43,10 +86,14 @@ def permutation_from_prf(df: DataFrame, key: Column, iv: int, pos: str = POS) ->
     return positions(keyed, "_h", "v", pos).select(pos, "v")
 
 
-def shards(df: DataFrame, n: int, keys: list[str], shard_size: int | None = None, by: Column | None = None, pos: str = POS) -> DataFrame:
+def shards(df: DataFrame, n: int, keys: list[str], shard_size: int | None = None, by: Column | None = None, pos: str = POS, cell_masks: bool = False) -> DataFrame:
     """df with `_shard` (by hash of the keys, or `by` modulo n) and `_slot`, its place there.
 
-    With a shard size each shard is filled up with void rows (`_valid` 0, zeros), and more rows are an error."""
+    With a shard size each shard is filled up with void rows, and more rows are an error. Void rows have
+    `_valid` 0 and zeros; with cell masks there is no mask of rows, but one of each cell (`<column>_valid`),
+    which is 0 in void rows and where the cell is NULL."""
+    if not keys or len(set(keys)) != len(keys) or set(keys) - set(df.columns):
+        raise ValueError(f"shard keys must be different columns: {keys}")
     shard = F.pmod(by if by is not None else F.xxhash64(*keys), F.lit(n)).cast("int")
     rows = df.withColumn("_shard", shard)
     # Slots by two levels: parts of a shard number their rows, and the parts' counts are few.
@@ -61,8 +108,10 @@ def shards(df: DataFrame, n: int, keys: list[str], shard_size: int | None = None
         return out
     fits = F.when(F.col("_slot") < shard_size, F.col("_slot")).otherwise(F.raise_error("a shard is too small").cast("bigint"))
     out = out.withColumns({"_slot": fits, VALID: F.lit(1).cast("tinyint")})
-    slots = df.sparkSession.range(n * shard_size).select((F.col("id") / shard_size).cast("int").alias("_shard"), (F.col("id") % shard_size).alias("_slot"))
+    slots = df.sparkSession.range(n * shard_size).select(F.call_function("div", F.col("id"), F.lit(shard_size).cast("bigint")).cast("int").alias("_shard"), (F.col("id") % shard_size).alias("_slot"))
     padded = slots.join(out, ["_shard", "_slot"], "left")
+    if cell_masks:
+        padded = padded.drop(VALID).withColumns({c + VALID: F.col(c).isNotNull().cast("tinyint") for c in df.columns})
     return zero_cells(padded, [c for c in padded.columns if c not in ("_shard", "_slot")])
 
 
@@ -120,18 +169,17 @@ def decompose_switching(index: DataFrame, n: int, pos: str = POS, value: str = "
     from .order import positions
 
     sorted_map = positions(index.select(F.col(pos).alias("_to"), F.col(value).alias("_from")), "_from", "_to", pos)
-    head = F.row_number().over(Window.partitionBy("_from").orderBy(pos)) == 1
-    # A row used by many places is one group of the window; frequent ones spill.
-    marked = sorted_map.withColumn("_head", head)
+    # The first copy of each row by an aggregate; the join back splits a row that many places use.
+    firsts = sorted_map.groupBy("_from").agg(F.min(pos).alias("_first"))
+    marked = sorted_map.join(firsts, "_from").withColumn("_head", F.col(pos) == F.col("_first"))
     m = index.count()
-    used = marked.where("_head").select(F.col(pos), F.col("_from").alias("v"))
+    used = firsts.select(F.col("_first").alias(pos), F.col("_from").alias("v"))
     spare = index.sparkSession.range(n).select(F.col("id").alias("v")).join(used.select("v"), "v", "left_anti")
     spare = positions(spare, "v", None, "_k")
     gaps = positions(marked.where(~F.col("_head")).select(pos), pos, None, "_k")
     first = used.unionByName(gaps.join(spare, "_k").select(pos, "v"))
-    last = F.last(F.when(F.col("_head"), F.col(pos)), ignorenulls=True).over(Window.partitionBy("_from").orderBy(pos))
-    second = marked.select(pos, last.alias("v"), (~F.col("_head")).cast("tinyint").alias("bit"))
+    second = marked.select(pos, F.col("_first").alias("v"), (~F.col("_head")).cast("tinyint").alias("bit"))
     third = marked.select(F.col("_to").alias(pos), F.col(pos).alias("v"))
-    assert m <= n, "an index map can't be longer than its source"
+    if m > n:
+        raise ValueError("an index map can't be longer than its source")
     return first, second, third
-

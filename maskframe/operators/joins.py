@@ -67,7 +67,7 @@ def padded_join(left: DataFrame, right: DataFrame, kind: str, keys: dict[str, st
 
     Inner and left joins have the left side's slots. Union and full joins have the left slots, then the
     right ones. Cell masks (`<column>_valid`) are used if the tables have them: a key with mask 0 never
-    matches. Keys must be unique among the valid rows of the right side."""
+    matches. Of valid rows of a side with equal keys only the one in the last slot is matched by the other side."""
     back = {b: a for a, b in keys.items()}
     masks = {c for c in (*left.columns, *right.columns) if c.endswith(VALID) and c != VALID}
     name = lambda c: back.get(c.removesuffix(VALID), c.removesuffix(VALID)) + VALID if c in masks else back.get(c, c)
@@ -85,7 +85,7 @@ def padded_join(left: DataFrame, right: DataFrame, kind: str, keys: dict[str, st
 
     def matched(df: DataFrame, other: DataFrame, add: list[str]) -> DataFrame:
         """df with `_hit` and the other side's columns."""
-        found = other.where(usable(other)).select(*keys, *add, F.lit(1).alias("_hit"))
+        found = last_of_duplicates(other.where(usable(other)).select(*keys, *add, POS), list(keys)).withColumn("_hit", F.lit(1))
         mine = df.withColumns({f"_k_{k}": F.when(usable(df), F.col(k)) for k in keys})
         found = found.select(*(F.col(k).alias(f"_k_{k}") for k in keys), *add, "_hit")
         return mine.join(found, [f"_k_{k}" for k in keys], "left").drop(*(f"_k_{k}" for k in keys))

@@ -6,6 +6,7 @@ Only integers, strings and arrays of them leave a query, so results can be compa
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ from ..functions import bits as B
 from ..functions import containers as V
 from ..functions import fixed as X
 from ..functions import scalars as S
+from ..functions import wide as L
+from ..functions.typed import Typed
 from ..operators import hashing as H
 from ..operators import iterate as I
 from ..operators import joins as J
@@ -21,10 +24,14 @@ from ..operators import metrics as M
 from ..operators import order as O
 from ..operators import sharing as P
 from ..operators import tensor as T
-from ..operators.table import POS, to_compact, to_padded
+from ..operators.scratch import materialise, scratch_path
+from ..operators.table import POS, VALID, to_compact, to_padded
 from ..sources import csv_sink as C
+from ..sources import numpy_io as N
 from ..sources import read_parquet
+from ..sources import typed_json as Y
 from .graphs import Context
+from .library import Library
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -49,6 +56,10 @@ def div(a, b: int):
     return F.call_function("div", a, F.lit(b).cast("bigint"))
 
 
+def div_columns(a, b):
+    return F.call_function("div", a, b)
+
+
 # Inputs -----------------------------------------------------------------------------------------
 
 SQL_A = "(SELECT c_custkey, c_nationkey, CAST(round(c_acctbal * 100) AS BIGINT) AS bal FROM customer WHERE c_acctbal >= 0)"
@@ -74,8 +85,9 @@ def masked_customers(s: SparkSession, d: str) -> DataFrame:
 
 
 def events(s: SparkSession, d: str) -> DataFrame:
+    """All events with their place by event_id, numbered once: what builds on the places reads the numbered table."""
     e = table(s, d, "events").select("event_id", "user_id", F.round(F.col("value") * 100).cast("bigint").alias("v"))
-    return O.positions(e, "event_id", None, "pos").select("pos", "event_id", "user_id", "v")
+    return materialise(O.positions(e, "event_id", None, "pos").select("pos", "event_id", "user_id", "v"), "events")
 
 
 def numbers(s: SparkSession, d: str) -> DataFrame:
@@ -87,6 +99,10 @@ def vectors(s: SparkSession, d: str) -> DataFrame:
     return T.from_cells(table(s, d, "embeddings").select("vec_id", cells.alias("c")), "vec_id", "c")
 
 
+def _rows(s: SparkSession, d: str) -> int:
+    return table(s, d, "embeddings").count()
+
+
 def sql_wrap(e: str, bits: int = 64, signed: bool = True) -> str:
     m, h = 1 << bits, (1 << (bits - 1)) if signed else 0
     return f"CAST(((((({e})::HUGEINT + {h}::HUGEINT) % {m}::HUGEINT) + {m}::HUGEINT) % {m}::HUGEINT) - {h}::HUGEINT AS BIGINT)"
@@ -162,14 +178,14 @@ _PERM_KEY = "(event_id * 7919) % 10007"
 _SQL_PERM = f"(SELECT pos, row_number() OVER (ORDER BY {_PERM_KEY}, pos) - 1 AS p FROM {SQL_E})"
 
 
-def _perm(s: SparkSession, d: str) -> DataFrame:
-    e = events(s, d).select("pos", (F.col("event_id") * 7919 % 10007).alias("k"))
-    return O.positions(e, "k", "pos", "p").select("pos", F.col("p").alias("v"))
+def _perm(e: DataFrame) -> DataFrame:
+    keyed = e.select("pos", (F.col("event_id") * 7919 % 10007).alias("k"))
+    return O.positions(keyed, "k", "pos", "p").select("pos", F.col("p").alias("v"))
 
 
-query("perm_apply", f"SELECT q.pos, e.event_id FROM {_SQL_PERM} q JOIN {SQL_E} e ON e.pos = q.p")(lambda s, d: O.apply_permutation(events(s, d).select("pos", "event_id"), _perm(s, d), pos="pos"))
-query("perm_apply_inverse", f"SELECT q.p AS pos, e.event_id FROM {_SQL_PERM} q JOIN {SQL_E} e ON e.pos = q.pos")(lambda s, d: O.apply_permutation(events(s, d).select("pos", "event_id"), _perm(s, d), True, pos="pos"))
-query("perm_inverse", f"SELECT p AS pos, pos AS v FROM {_SQL_PERM}")(lambda s, d: O.inverse_permutation(_perm(s, d), pos="pos"))
+query("perm_apply", f"SELECT q.pos, e.event_id FROM {_SQL_PERM} q JOIN {SQL_E} e ON e.pos = q.p")(lambda s, d: O.apply_permutation((e := events(s, d)).select("pos", "event_id"), _perm(e), pos="pos"))
+query("perm_apply_inverse", f"SELECT q.p AS pos, e.event_id FROM {_SQL_PERM} q JOIN {SQL_E} e ON e.pos = q.pos")(lambda s, d: O.apply_permutation((e := events(s, d)).select("pos", "event_id"), _perm(e), True, pos="pos"))
+query("perm_inverse", f"SELECT p AS pos, pos AS v FROM {_SQL_PERM}")(lambda s, d: O.inverse_permutation(_perm(events(s, d)), pos="pos"))
 query("gather", f"SELECT q.pos, e.event_id FROM (SELECT pos, (pos * pos) % (SELECT count(*) FROM events) AS p FROM {SQL_E}) q JOIN {SQL_E} e ON e.pos = q.p")(
     lambda s, d: O.gather((e := events(s, d)).select("pos", "event_id"), e.select("pos", (F.col("pos") * F.col("pos") % e.count()).alias("v")), pos="pos")
 )
@@ -230,7 +246,7 @@ def _weights(s: SparkSession) -> DataFrame:
 
 query("matmul", f"SELECT i0, j AS i1, CAST(sum(v * w) AS BIGINT) AS v FROM {SQL_T} t JOIN {_SQL_W} w ON t.i1 = w.k GROUP BY i0, j")(lambda s, d: T.matmul(vectors(s, d), _weights(s)))
 query("gemm_t", f"SELECT a.i1 AS i0, b.i1 AS i1, CAST(sum(a.v * b.v) AS BIGINT) AS v FROM {SQL_T} a JOIN {SQL_T} b ON a.i0 = b.i0 GROUP BY 1, 2")(lambda s, d: T.gemm(v := vectors(s, d), v, transpose_a=True, small=True))
-query("broadcast_add", f"SELECT i0, i1, v + i1 * 3 AS v FROM {SQL_T}")(lambda s, d: T.elementwise(vectors(s, d), s.range(64).select(F.col("id").alias("i0"), (F.col("id") * 3).alias("v")), S.add))
+query("broadcast_add", f"SELECT i0, i1, v + i1 * 3 AS v FROM {SQL_T}")(lambda s, d: T.elementwise(vectors(s, d), s.range(64).select(F.col("id").alias("i0"), (F.col("id") * 3).alias("v")), S.add, shapes=([_rows(s, d), 64], [64])))
 
 query("expand_dims", f"SELECT CAST(0 AS BIGINT) AS i0, i0 AS i1, CAST(0 AS BIGINT) AS i2, i1 AS i3, v FROM {SQL_T}")(lambda s, d: T.expand_dims(vectors(s, d), [0, 2]))
 query("zeros_and_ones", f"SELECT i0, i1, CAST(0 AS BIGINT) AS v FROM {SQL_T} UNION ALL SELECT i0, i1, CAST(1 AS BIGINT) FROM {SQL_T}")(lambda s, d: T.zeros_like(v := vectors(s, d)).unionByName(T.ones_like(v)))
@@ -377,10 +393,21 @@ query("psi_count", f"SELECT count(*) AS n FROM {SQL_A} a WHERE c_custkey IN (SEL
 query("csv_rows", f"SELECT CAST(ck AS VARCHAR) AS id, printf('%.3f', bal / 8.0) AS share, CASE WHEN c_nationkey > 12 THEN 'true' ELSE 'false' END AS far FROM {SQL_AM}")(
     lambda s, d: C.csv_table(masked_customers(s, d), {"id": C.int_cell(F.col("ck")), "share": C.float_cell(F.col("bal"), 3, 3), "far": C.bool_cell((F.col("c_nationkey") > 12).cast("int"))}).select(*(F.when(F.col(c) != "", F.col(c)).alias(c) for c in ("id", "share", "far")))
 )
-query("perm_random")(lambda s, d: H.random_permutation(events(s, d), 42, "pos"))
-query("perm_prf")(lambda s, d: H.permutation_from_prf(events(s, d), F.lit("key"), 5, "pos"))
-query("random_values")(lambda s, d: events(s, d).select("pos", H.random_column(42, F.col("pos")).alias("v")))
-query("prf")(lambda s, d: events(s, d).select("pos", H.prf(F.lit("key"), 3, F.col("pos")).alias("v")))
+# Random operations are checked by what holds for every draw.
+query("perm_random", f"SELECT pos AS image, 1 AS times FROM {SQL_E}")(lambda s, d: H.random_permutation(events(s, d), 42, "pos").groupBy(F.col("v").alias("image")).agg(F.count("*").cast("int").alias("times")))
+query("perm_prf", f"SELECT pos AS image, 1 AS times FROM {SQL_E}")(lambda s, d: H.permutation_from_prf(events(s, d), F.lit("key"), 5, "pos").groupBy(F.col("v").alias("image")).agg(F.count("*").cast("int").alias("times")))
+
+
+def _drawn(df: DataFrame) -> DataFrame:
+    """Rows, whether values of 64 bits differ, whether half of them are negative (within a twentieth), and the range of bytes."""
+    half = F.abs(F.avg((F.col("v") < 0).cast("int")) - 0.5) < 0.05
+    return df.agg(F.count("*").alias("n"), F.count_distinct("v").alias("different"), half.cast("int").alias("balanced"), F.min("b").cast("int").alias("low"), F.max("b").cast("int").alias("high"), F.max(F.size("cells")).alias("cells"))
+
+
+_SQL_DRAWN = "SELECT count(*) AS n, count(*) AS different, 1 AS balanced, 0 AS low, 255 AS high, 3 AS cells FROM events"
+query("random_values", _SQL_DRAWN)(lambda s, d: _drawn(events(s, d).select(H.random_column(42, F.col("pos")).alias("v"), H.random_value(7, F.col("pos"), S.U8).alias("b"), H.random_value(7, F.col("pos"), [3, S.I32]).alias("cells"))))
+query("prf", _SQL_DRAWN)(lambda s, d: _drawn(events(s, d).select(H.prf(F.lit("key"), 3, F.col("pos")).alias("v"), H.prf_value(F.lit("key"), 4, F.col("pos"), S.U8).alias("b"), H.prf_value(F.lit("key"), 5, F.col("pos"), [3, S.I32]).alias("cells"))))
+query("random_tensor", "SELECT i0, count(*) AS n, 1 AS in_range FROM (SELECT unnest(range(50)) AS i0), (SELECT unnest(range(40)) AS i1) GROUP BY i0")(lambda s, d: H.random_tensor(s, 3, [50, 40], S.U16).groupBy("i0").agg(F.count("*").alias("n"), F.min(F.col("v").between(0, 65535).cast("int")).alias("in_range")))
 
 
 def _matrices(h: int, m: int) -> list[list[int]]:
@@ -388,19 +415,32 @@ def _matrices(h: int, m: int) -> list[list[int]]:
     return [[((i * m + j + 1) * 0x9E3779B97F4A7C15) & ((1 << 64) - 1) for j in range(m)] for i in range(h)]
 
 
-@query("cuckoo")
+def _hash_slots(v, matrices: list[list[int]]):
+    """The slots of a key as an array, by the parity of its bits under each mask."""
+    signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
+    slot = lambda masks: reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(F.bit_count(v.bitwiseAND(F.lit(signed(m)))).bitwiseAND(F.lit(1)).cast("bigint"), k) for k, m in enumerate(masks)])
+    return F.array(*map(slot, matrices))
+
+
+@query("cuckoo", "SELECT c_nationkey, c_custkey, 1 AS own_slots FROM customer")
 def cuckoo(s, d):
+    """Every key's row stands in one slot of its set's table, and that is one of its hash slots."""
     rows = table(s, d, "customer").select("c_nationkey", "c_custkey", F.xxhash64("c_custkey").alias("v"))
     most = rows.groupBy("c_nationkey").count().agg(F.max("count")).first()[0] or 1
     m = (2 * most).bit_length()
-    return H.cuckoo_tables(rows, "c_nationkey", "c_custkey", "v", _matrices(3, m), m, seed=1)
+    placed = H.cuckoo_tables(rows, "c_nationkey", "c_custkey", "v", _matrices(3, m), m, seed=1).where(F.col("row") != H.DUMMY)
+    found = rows.join(placed.select("c_nationkey", F.col("row").alias("c_custkey"), "slot"), ["c_nationkey", "c_custkey"], "left")
+    own = F.array_contains(_hash_slots(F.col("v"), _matrices(3, m)), F.col("slot"))
+    return found.groupBy("c_nationkey", "c_custkey").agg(F.sum(own.cast("int")).cast("int").alias("own_slots"))
 
 
-@query("cuckoo_permutation")
+@query("cuckoo_permutation", "SELECT unnest(range(CAST(1 AS BIGINT) << length(bin(2 * (SELECT count(*) FROM customer))))) AS image, 1 AS times")
 def cuckoo_permutation(s, d):
+    """The filled table has every index below its size once."""
     rows = O.positions(table(s, d, "customer").select("c_custkey"), "c_custkey", None, "r").select(F.lit(0).alias("g"), "r", F.xxhash64("c_custkey").alias("v"))
     m = (2 * (table(s, d, "customer").count() or 1)).bit_length()
-    return H.cuckoo_to_permutation(H.cuckoo_tables(rows, "g", "r", "v", _matrices(3, m), m, seed=1))
+    filled = H.cuckoo_to_permutation(materialise(H.cuckoo_tables(rows, "g", "r", "v", _matrices(3, m), m, seed=1), "cuckoo"))
+    return filled.groupBy(F.col("row").alias("image")).agg(F.count("*").cast("int").alias("times"))
 
 
 @query("switching_map", f"SELECT pos, (pos * pos) % (SELECT count(*) FROM events) AS v FROM {SQL_E}")
@@ -413,6 +453,150 @@ def switching_map(s, d):
     return third.select("pos", F.col("v").alias("p2")).join(b, "p2").join(a, "p1").select("pos", F.col("source").alias("v"))
 
 
+# Axes, ranks and containers -------------------------------------------------------------------
+
+query("broadcast_axes", f"SELECT i0, i1, v + i1 * 3 + i0 * 1000 AS v FROM {SQL_T}")(
+    lambda s, d: T.elementwise(
+        T.elementwise(s.range(64).select(F.lit(0).cast("bigint").alias("i0"), F.col("id").alias("i1"), (F.col("id") * 3).alias("v")), v := vectors(s, d), S.add, shapes=([1, 64], [n := _rows(s, d), 64])),
+        v.where("i1 = 0").select("i0", "i1", (F.col("i0") * 1000).alias("v")), S.add, shapes=([n, 64], [n, 1]),
+    )
+)
+query("broadcast_outer", "SELECT i0, i1, i0 * 10 + i1 AS v FROM (SELECT unnest(range(40)) AS i0), (SELECT unnest(range(30)) AS i1)")(
+    lambda s, d: T.elementwise(s.range(40).select(F.col("id").alias("i0"), F.lit(0).cast("bigint").alias("i1"), (F.col("id") * 10).alias("v")), s.range(30).select(F.col("id").alias("i0"), F.col("id").alias("v")), S.add)
+)
+_SQL_CUBE = f"(SELECT i0, i1 // 8 AS i1, i1 % 8 AS i2, v FROM {SQL_T})"
+_SQL_8 = "(SELECT k, j, (k * 31 + j * 17) % 101 - 50 AS w FROM (SELECT unnest(range(8)) AS k), (SELECT unnest(range(8)) AS j))"
+
+
+def _cube(s: SparkSession, d: str) -> DataFrame:
+    return vectors(s, d).select("i0", div(F.col("i1"), 8).alias("i1"), (F.col("i1") % 8).alias("i2"), "v")
+
+
+def _eight(s: SparkSession) -> DataFrame:
+    return s.range(64).select(div(F.col("id"), 8).alias("i0"), (F.col("id") % 8).alias("i1")).withColumn("v", (F.col("i0") * 31 + F.col("i1") * 17) % 101 - 50)
+
+
+_SQL_PRODUCT = f"SELECT i0, i1, j AS i2, CAST(sum(v * w) AS BIGINT) AS v FROM {_SQL_CUBE} c JOIN {_SQL_8} w ON i2 = k GROUP BY 1, 2, 3"
+query("dot_nd", _SQL_PRODUCT)(lambda s, d: T.dot_product(_cube(s, d), _eight(s)))
+query("dot_scalar", f"SELECT i0, i1, v * 7 AS v FROM {SQL_T}")(lambda s, d: T.dot_product(s.range(1).select(F.lit(7).cast("bigint").alias("v")), vectors(s, d)))
+query("matmul_batch", _SQL_PRODUCT)(lambda s, d: T.matmul(_cube(s, d), _eight(s).select(F.lit(0).cast("bigint").alias("i0"), F.col("i0").alias("i1"), F.col("i1").alias("i2"), "v"), small=True, shapes=([_rows(s, d), 8, 8], [1, 8, 8])))
+query("matmul_vector", f"SELECT i0, CAST(sum(v * (i1 - 30)) AS BIGINT) AS v FROM {SQL_T} GROUP BY i0")(lambda s, d: T.matmul(vectors(s, d), s.range(64).select(F.col("id").alias("i0"), (F.col("id") - 30).alias("v"))))
+query("slice_axes", f"SELECT (i0 - 1) // 2 AS i0, (63 - i1) // 5 AS i1, v FROM {SQL_T} WHERE i0 % 2 = 1 AND (63 - i1) % 5 = 0 AND i1 > 10")(lambda s, d: T.take(vectors(s, d), [_rows(s, d), 64], slice(1, None, 2), slice(None, 10, -5)))
+query("slice_ellipsis", f"SELECT i0, i1 - 2 AS i1, v FROM {_SQL_CUBE} WHERE i2 = 5 AND i1 >= 2")(lambda s, d: T.take(_cube(s, d), [_rows(s, d), 8, 8], Ellipsis, slice(2, None), -3))
+query("get_index", f"SELECT i2 AS i0, v FROM {_SQL_CUBE} WHERE i0 = 7 AND i1 = 3")(lambda s, d: T.get(_cube(s, d), [_rows(s, d), 8, 8], [7, 3]))
+query("gather_axis", f"SELECT i0, x AS i1, y AS i2, v FROM {SQL_T} t JOIN (SELECT x, y, (x * 37 + y * 11) % 64 AS at FROM (SELECT unnest(range(4)) AS x), (SELECT unnest(range(3)) AS y)) w ON t.i1 = w.at")(
+    lambda s, d: T.gather(vectors(s, d), s.range(12).select(div(F.col("id"), 3).alias("i0"), (F.col("id") % 3).alias("i1")).withColumn("v", (F.col("i0") * 37 + F.col("i1") * 11) % 64), 1, 64, [4, 3])
+)
+query("concat_axis", f"SELECT i0, i1, v FROM {SQL_T} UNION ALL SELECT i0, i1 + 64, v * 2 FROM {SQL_T}")(lambda s, d: T.concatenate([(v := vectors(s, d), 64), (v.withColumn("v", F.col("v") * 2), 64)], 1))
+query("stack_outer", "SELECT a // 2 AS i0, a % 2 AS i1, i AS i2, CASE a WHEN 0 THEN i WHEN 1 THEN 5 WHEN 2 THEN i * i ELSE -1 END AS v FROM (SELECT unnest(range(4)) AS a), (SELECT unnest(range(100)) AS i)")(
+    lambda s, d: T.stack([(r := s.range(100)).select(F.col("id").alias("i0"), F.col("id").alias("v")), s.range(1).select(F.lit(5).cast("bigint").alias("v")), r.select(F.col("id").alias("i0"), (F.col("id") * F.col("id")).alias("v")), s.range(1).select(F.col("id").alias("i0"), F.lit(-1).cast("bigint").alias("v"))], [2, 2], [[100], [], [100], [1]])
+)
+_SQL_SEGR = f"(SELECT CAST(0 AS BIGINT) AS i0, g AS i1, g AS v, 0 AS b FROM (SELECT unnest(range(64)) AS g) UNION ALL SELECT i0 + 1, i1, v, CASE WHEN i0 % 5 = 0 THEN 0 ELSE 1 END FROM {SQL_T})"
+query("segment_cumsum_rows", f"SELECT i0, i1, CAST(sum(v) OVER (PARTITION BY i1, g ORDER BY i0) AS BIGINT) AS v FROM (SELECT i0, i1, v, sum(1 - b) OVER (PARTITION BY i1 ORDER BY i0) AS g FROM {_SQL_SEGR})")(
+    lambda s, d: T.segment_cumsum_rows(vectors(s, d), table(s, d, "embeddings").select(F.col("vec_id").alias("i0"), (F.col("vec_id") % 5 != 0).cast("int").alias("v")), s.range(64).select(F.col("id").alias("i0"), F.col("id").alias("v")))
+)
+query("running_null_partition", f"SELECT pos, CAST(sum(v) OVER (PARTITION BY part ORDER BY pos) AS BIGINT) AS total FROM (SELECT pos, v, CASE WHEN user_id % 3 > 0 THEN user_id % 3 END AS part FROM {SQL_E})")(
+    lambda s, d: O.running(events(s, d).select("pos", "v", F.when(F.col("user_id") % 3 > 0, F.col("user_id") % 3).alias("part")), "pos", {"total": F.col("v")}, partition=["part"]).select("pos", F.col("total").cast("bigint").alias("total"))
+)
+query("sort_unsigned", f"SELECT event_id, row_number() OVER (ORDER BY k + CASE WHEN k < 0 THEN 18446744073709551616::HUGEINT ELSE 0::HUGEINT END, pos) - 1 AS pos FROM (SELECT event_id, pos, (v - 5000)::HUGEINT AS k FROM {SQL_E})")(
+    lambda s, d: O.stable_sort(events(s, d).withColumn("k", F.col("v") - 5000), "k", "pos", kind=S.U64).select("event_id", "pos")
+)
+query("sort_bits_wide", f"SELECT event_id, row_number() OVER (ORDER BY reverse(right(concat(repeat('0', 40), bin(user_id)), 40)), reverse(right(concat(repeat('0', 40), bin(event_id)), 40)), pos) - 1 AS pos FROM {SQL_E}")(
+    lambda s, d: O.sort_by_bits(events(s, d).withColumn("b", F.concat(*(F.slice(B.a2b(F.col(c), S.I64).array(), 1, 40) for c in ("user_id", "event_id")))), "b", "pos", 80).select("event_id", "pos")
+)
+
+
+@query("padded_join_last", f"SELECT c_custkey, bal, o_orderkey FROM {SQL_A} a JOIN (SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM orders GROUP BY 1) b ON c_custkey = o_custkey")
+def padded_join_last(s, d):
+    """Of valid right rows with one key the one in the last slot is joined; the result has the left side's slots."""
+    left = to_padded(table(s, d, "customer").select("c_custkey", F.round(F.col("c_acctbal") * 100).cast("bigint").alias("bal")), F.col("bal") >= 0, F.col("c_custkey"))
+    right = to_padded(table(s, d, "orders").select("o_custkey", "o_orderkey"), F.lit(1), F.col("o_orderkey"))
+    return to_compact(J.padded_join(left, right, "inner", _KEYS)).select("c_custkey", "bal", "o_orderkey")
+
+
+def _sql_halves(e: str, name: str) -> str:
+    m = "18446744073709551616::HUGEINT"
+    low = f"(((({e}) % {m}) + {m}) % {m})"
+    return f"CAST((({e}) - {low}) // {m} AS BIGINT) AS {name}_hi, {sql_wrap(e)} AS {name}_lo"
+
+
+def _wide_pair(s: SparkSession, d: str) -> DataFrame:
+    a, b = L.multiply64(x(), x()), L.from_signed(y())
+    return numbers(s, d).select("o_orderkey", L.multiply(a, b).alias("a"), L.from_signed(y() * 7 + 3).alias("b"))
+
+
+_WIDE = {"sum": L.add, "difference": L.subtract, "product": lambda a, b: L.multiply(L.truncate(a, 1 << 60), b), "q": lambda a, b: L.floor_divide(a, b)["q"], "r": lambda a, b: L.floor_divide(a, b)["r"], "bits": lambda a, b: L.from_bits(L.bits(a))}
+_WA, _WB = "x::HUGEINT * x * y", "(y * 7 + 3)::HUGEINT"
+_OFF = f"(({_WA}) % {_WB} <> 0 AND (({_WA}) < 0) <> ({_WB} < 0))"
+_SQL_WIDE = {"sum": f"{_WA} + {_WB}", "difference": f"{_WA} - {_WB}", "product": f"(({_WA}) // 1152921504606846976) * {_WB}", "q": f"({_WA}) // {_WB} - CASE WHEN {_OFF} THEN 1 ELSE 0 END", "r": f"({_WA}) % {_WB} + CASE WHEN {_OFF} THEN {_WB} ELSE 0::HUGEINT END", "bits": _WA}
+for _names in (("sum", "difference", "bits"), ("product",), ("q", "r")):
+    query(f"wide_{_names[0]}", f"SELECT o_orderkey, {', '.join(_sql_halves(_SQL_WIDE[n], n) for n in _names)} FROM {SQL_O}")(
+        lambda s, d, names=_names: _wide_pair(s, d).select("o_orderkey", *(_WIDE[n](F.col("a"), F.col("b")).alias(n) for n in names)).select("o_orderkey", *(F.col(n)[h].alias(f"{n}_{h}") for n in names for h in ("hi", "lo")))
+    )
+query("wide_compare", f"SELECT o_orderkey, CAST({_WA} < {_WB} * 1000000000000 AS INTEGER) AS less, CAST({_WA} = {_WB} AS INTEGER) AS equal FROM {SQL_O}")(
+    lambda s, d: _wide_pair(s, d).select("o_orderkey", L.less(F.col("a"), L.multiply(F.col("b"), L.literal(10**12))).cast("int").alias("less"), L.equal(F.col("a"), F.col("b")).cast("int").alias("equal"))
+)
+
+scalar_query("cumulative_or", {"bits": lambda: F.array_join(B.cumulative_or(F.slice(B.a2b(key(), S.I64).array(), 1, 8)).cast("array<string>"), "")}, {"bits": "array_to_string(list_transform(range(0, 8), lambda i: CASE WHEN (o_orderkey & 255) >> i > 0 THEN 1 ELSE 0 END), '')"})
+scalar_query("reduce_mul", {"every": lambda: B.reduce_mul(F.slice(B.a2b(key(), S.I64).array(), 1, 3)).cast("int")}, {"every": "CAST(o_orderkey % 8 = 7 AS INTEGER)"})
+scalar_query("precise_divide", {"close": lambda: (F.abs(X.precise_divide(F.abs(y()), _small()) - div_columns(F.abs(y()), _small())) <= 1).cast("int")}, {"close": "1"})
+_FAR = sql_wrap("x::HUGEINT * 3000000019")
+scalar_query("bin_add_64", {"total": lambda: B.binary_add(S.mul64(x(), F.lit(3000000019)), y(), S.U64)[0], "carry": lambda: B.binary_add(S.mul64(x(), F.lit(3000000019)), y(), S.U64)[1].cast("int")}, {"total": sql_wrap(f"({_FAR})::HUGEINT + y"), "carry": f"CAST({_U.format(f'({_FAR})')} + {_U.format('y')} >= 18446744073709551616::HUGEINT AS INTEGER)"})
+scalar_query("longdiv_unsigned", {"q": lambda: X.floor_divide(y(), key() % 11 + 1, S.U64)[0], "r": lambda: X.floor_divide(y(), key() % 11 + 1, S.U64)[1]}, {"q": sql_wrap(f"{_U.format('y')} // (o_orderkey % 11 + 1)"), "r": f"CAST({_U.format('y')} % (o_orderkey % 11 + 1) AS BIGINT)"})
+
+
+@query("library_operations", f"SELECT o_orderkey, least(y, o_orderkey * 1000) AS least, CAST(y > o_orderkey * 1000 AS INTEGER) AS more, y // 8 AS eighth, least(greatest(y, 0), 1048576) AS clipped FROM {SQL_O}")
+def library_operations(s, d):
+    """Operations taken from the registry by name and kinds."""
+    ops, other = Library(), key() * 1000
+    return numbers(s, d).select("o_orderkey", ops.instance("min", "i64", "i64")(y(), other).alias("least"), ops.instance("greater", "i64", "i64")(y(), other).cast("int").alias("more"), ops.instance("truncate(scale=8)", "i64")(y()).alias("eighth"), ops.instance("clip_2k(k=20)", "i64")(y()).alias("clipped"))
+
+
+@query("typed_operators", f"SELECT o_orderkey, {sql_wrap('x::HUGEINT * y - x')} AS v, CAST(x <> y AS INTEGER) AS differs, CAST({_U.format('x')} < {_U.format('y')} AS INTEGER) AS below, {sql_wrap('x::HUGEINT * y + y::HUGEINT * x')} AS dot, greatest(x, y) AS most FROM {SQL_O}")
+def typed_operators(s, d):
+    """Python's operators on columns that carry their kind."""
+    a, b = Typed(x(), S.I64), Typed(y(), S.I64)
+    v, w = Typed(F.array(x(), y()), S.I64, 2), Typed(F.array(y(), x()), S.I64, 2)
+    return numbers(s, d).select("o_orderkey", (a * b - a).column.alias("v"), (a != b).column.cast("int").alias("differs"), (Typed(x(), S.U64) < Typed(y(), S.U64)).column.cast("int").alias("below"), (v @ w).column.alias("dot"), v[0].max(v[1]).column.alias("most"))
+
+
+query("regroup", f"SELECT o_orderkey, x AS a, y AS b, concat(o_orderkey, ',', x + 1) AS c FROM {SQL_O}")(
+    lambda s, d: numbers(s, d).select("o_orderkey", V.reshape(F.array(F.array(x(), y()), F.array(key(), x() + 1)), [2, [2, "i64"]], ("i64", "i64", [2, "i64"])).alias("t")).select("o_orderkey", V.tuple_get(F.col("t"), 0).alias("a"), V.tuple_get(F.col("t"), 1).alias("b"), F.array_join(V.tuple_get(F.col("t"), 2).cast("array<string>"), ",").alias("c"))
+)
+_SQL_PAD = "SELECT CAST(c_nationkey % 5 AS INTEGER) AS _shard, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS keys FROM customer GROUP BY 1"
+
+
+def _shard_size(s: SparkSession, d: str) -> int:
+    return table(s, d, "customer").groupBy((F.col("c_nationkey") % 5).alias("k")).count().agg(F.max("count")).first()[0] or 1
+
+
+query("shard_padded", f"SELECT _shard, n, keys, (SELECT max(n) FROM ({_SQL_PAD})) AS slots FROM ({_SQL_PAD})")(
+    lambda s, d: H.shards(table(s, d, "customer").select("c_nationkey", "c_custkey"), 5, ["c_nationkey"], _shard_size(s, d), F.col("c_nationkey"), "c_custkey").groupBy("_shard").agg(F.sum(VALID).alias("n"), F.sum("c_custkey").alias("keys"), F.count("*").alias("slots"))
+)
+query("shard_cell_masks", f"SELECT CAST(c_nationkey % 5 AS INTEGER) AS _shard, count(*) AS n_keys, count(bal) AS n_bal, CAST(coalesce(sum(bal), 0) AS BIGINT) AS bal, (SELECT max(n) FROM ({_SQL_PAD})) AS slots FROM (SELECT c_custkey, c_nationkey, CASE WHEN c_acctbal >= 0 THEN CAST(round(c_acctbal * 100) AS BIGINT) END AS bal FROM customer) GROUP BY 1")(
+    lambda s, d: H.shards(table(s, d, "customer").select("c_nationkey", "c_custkey", F.when(F.col("c_acctbal") >= 0, F.round(F.col("c_acctbal") * 100).cast("bigint")).alias("bal")), 5, ["c_nationkey"], _shard_size(s, d), F.col("c_nationkey"), "c_custkey", cell_masks=True)
+    .groupBy("_shard").agg(F.sum("c_custkey" + VALID).alias("n_keys"), F.sum("bal" + VALID).alias("n_bal"), F.sum("bal").alias("bal"), F.count("*").alias("slots"))
+)
+
+
+@query("json_rows", f"SELECT pos AS _pos, event_id, v FROM {SQL_E}")
+def json_rows(s, d):
+    """A table written as JSON rows and read again."""
+    path = scratch_path(s, "json")
+    Y.write_table(events(s, d).select(F.col("pos").alias(POS), "event_id", "v"), path)
+    return Y.read_rows(s, path, {"event_id": S.I64, "v": S.I64})
+
+
+@query("numpy_arrays", "SELECT i0, i1, (i0 * 65537 + i1 * 257) % 65536 AS v FROM (SELECT unnest(range(200)) AS i0), (SELECT unnest(range(30)) AS i1)")
+def numpy_arrays(s, d):
+    """An array in, out and in again."""
+    import numpy as np
+
+    made = ((np.arange(200)[:, None] * 65537 + np.arange(30)[None, :] * 257) % 65536).astype(np.uint16)
+    back = N.to_numpy(N.from_numpy(s, made), [200, 30], S.U16)
+    return N.from_numpy(s, back).withColumn("v", F.col("v").cast("bigint"))
+
+
 @query(
     "flagship",
     f"SELECT c_mktsegment, CAST(sum(fx) AS BIGINT) AS total FROM (SELECT c_custkey, c_mktsegment FROM customer WHERE c_acctbal >= 0) a JOIN (SELECT o_custkey, CAST(sum(CAST(round(o_totalprice * 32768) AS BIGINT)) AS BIGINT) AS fx FROM orders GROUP BY o_custkey) b ON c_custkey = o_custkey GROUP BY c_mktsegment",

@@ -80,6 +80,13 @@ def write_table(df: DataFrame, path: str, pos: str = POS) -> None:
     df.orderBy(pos).write.json(path) if pos in df.columns else df.write.json(path)
 
 
+def read_rows(spark: SparkSession, path: str, columns: dict[str, Kind], cells: dict[str, int] | None = None, pos: str = POS) -> DataFrame:
+    """What `write_table` wrote, read in parallel: kinds by column, and how deep the arrays are in those with array cells."""
+    deep = lambda c: (cells or {}).get(c, 0)
+    schema = f"`{pos}` bigint, " + ", ".join(f"`{c}` {'array<' * deep(c)}{k.spark}{'>' * deep(c)}" for c, k in columns.items())
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
 def zero_inputs(types: list[tuple[str, list[int]]]) -> list[dict]:
     """Documents of zeros for (kind name, shape)."""
     fill = lambda shape: [fill(shape[1:]) for _ in range(shape[0])] if shape else 0
