@@ -1,6 +1,9 @@
-"""Quality rules judged per host: documents that fail any rule are counted by domain, this one combined
-rate of each host is shrunk with a beta prior fitted to all hosts, and the hosts' verdicts go back to
-their documents. There are no rates of single rules.
+"""Quality rules judged per host and rule.
+
+Documents that fail are counted by domain for each rule. Each rule has a beta prior, fitted to the rates of
+all hosts; a host's rate is shrunk towards it, and a host fails a rule if even the lower bound of its
+shrunk rate is HOST_TIMES the corpus's rate and HOST_LEAST. The verdicts go back to the documents: the base
+rules hold for every document, and a soft rule holds for those of hosts that fail it, or that fail a base rule.
 
 Defined results. A null or empty text has no words, so it fails the length rule. A null host gets
 no host verdict. Repeated rows count as often as they appear. An empty table gives an empty result.
@@ -10,23 +13,34 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import chunks, materialise, shipped
+from ._common import chunks, materialise, shipped, sized
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: Rules that only documents of a failing host have to pass.
+#: Limits of the soft rules.
 MAX_SYMBOLS_PER_WORD = 0.1
 MAX_DUP_LINES_PER_WORD = 0.05
 WORD_LENGTHS = (2.0, 12.0)
-#: A host fails if the lower bound of its shrunk failure rate passes this.
-HOST_RATE = 0.5
+#: A host fails a rule if its shrunk rate, less so many deviations, passes both: a share, and so many times the corpus's rate.
+HOST_LEAST = 0.1
+HOST_TIMES = 2.0
 HOST_Z = 2.0
 
+#: The rules, the base ones first; a document fails one where its condition holds (in SQL that Spark and others share).
+BASE_RULES = {"length": f"n_words < {MIN_WORDS}", "repeats": f"100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words"}
+SOFT_RULES = {
+    "symbols": f"n_symbols > {MAX_SYMBOLS_PER_WORD}D * n_words",
+    "dup_lines": f"n_dup_lines > {MAX_DUP_LINES_PER_WORD}D * n_words",
+    "word_width": f"NOT (CAST(word_chars AS DOUBLE) / greatest(n_words, 1) BETWEEN {WORD_LENGTHS[0]}D AND {WORD_LENGTHS[1]}D)",
+}
+RULES = BASE_RULES | SOFT_RULES
+
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 _SPACE = b" \t\n\r\x0b\x0c"
 _SYMBOLS = b"#*$%&|<>"
@@ -78,26 +92,32 @@ def host_of(source: Column) -> Column:
     return F.lower(F.regexp_extract(source, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://)?([^/:?#]*)", 1))
 
 
+def host_verdicts(judged: DataFrame) -> DataFrame:
+    """host and failed_rules of every host, from documents with their host and a flag `fails_<rule>` of each rule."""
+    hosts = judged.where("host is not null").groupBy("host").agg(F.count("*").alias("n"), *(F.sum(F.col(f"fails_{r}").cast("long")).alias(f"k_{r}") for r in RULES))
+    rate = lambda r: F.col(f"k_{r}") / F.col("n")
+    # One row: what the moments of each rule's prior need.
+    fit = hosts.agg(F.sum("n").alias("n"), F.count("*").alias("hosts"), *(F.sum(f"k_{r}").alias(f"k_{r}") for r in RULES), *(F.sum(F.col("n") * rate(r) * rate(r)).alias(f"q_{r}") for r in RULES)).first()
+    failed = []
+    for r in RULES:
+        n, k = fit["n"] or 0, fit[f"k_{r}"] or 0
+        a, b = beta_prior(n, k, fit[f"q_{r}"] or 0.0, fit["hosts"])
+        total = F.col("n") + (a + b)
+        mean = (F.col(f"k_{r}") + a) / total
+        bound = mean - HOST_Z * F.sqrt(mean * (1 - mean) / (total + 1))
+        failed.append(F.when(bound > max(HOST_LEAST, HOST_TIMES * k / max(n, 1)), F.lit(r)))
+    return hosts.select("host", F.array_compact(F.array(*failed)).alias("failed_rules"))
+
+
 def host_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """doc_id, host, the counts, base_failed, host_rate, host_failed and kept, one row a document."""
+    """doc_id, host, the counts, base_failed, failed_rules (of the host) and kept, one row a document."""
     stats = materialise(with_stats(docs, text, [F.col(doc_id).alias("doc_id"), host_of(F.col(source)).alias("host")]), "quality-stats")
-    n = F.col("n_words")
-    failed = (n < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * n)
-    width = F.col("word_chars") / F.greatest(n, F.lit(1))
-    soft = (F.col("n_symbols") > MAX_SYMBOLS_PER_WORD * n) | (F.col("n_dup_lines") > MAX_DUP_LINES_PER_WORD * n) | ~width.between(*WORD_LENGTHS)
-    stats = stats.withColumns({"base_failed": failed, "any_failed": failed | soft})
-    hosts = stats.where("host is not null").groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("any_failed").cast("long")).alias("k"))
-    rate = F.col("k") / F.col("n")
-    # One row: the weighted mean and variance of the hosts' rates, for the moments of the beta prior.
-    fit = hosts.agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.sum(F.col("n") * rate * rate).alias("q"), F.count("*").alias("hosts")).first()
-    a, b = beta_prior(fit["n"] or 0, fit["k"] or 0, fit["q"] or 0.0, fit["hosts"])
-    total = F.col("n") + (a + b)
-    mean = (F.col("k") + a) / total
-    bound = mean - HOST_Z * F.sqrt(mean * (1 - mean) / (total + 1))
-    verdicts = hosts.select("host", mean.alias("host_rate"), (bound > HOST_RATE).alias("host_failed"))
-    out = stats.join(verdicts, "host", "left")
-    bad = F.coalesce("host_failed", F.lit(False))
-    return out.select("doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rate", bad.alias("host_failed"), (~F.col("base_failed") & ~(bad & F.col("any_failed"))).alias("kept"))
+    judged = stats.withColumns({f"fails_{r}": F.expr(c) for r, c in RULES.items()})
+    out = judged.join(sized(materialise(host_verdicts(judged), "host-verdicts")), "host", "left").withColumn("failed_rules", F.coalesce("failed_rules", F.array().cast("array<string>")))
+    base = reduce(lambda x, y: x | y, (F.col(f"fails_{r}") for r in BASE_RULES))
+    strict = F.arrays_overlap("failed_rules", F.array(*map(F.lit, BASE_RULES)))
+    soft = reduce(lambda x, y: x | y, (F.col(f"fails_{r}") & (strict | F.array_contains("failed_rules", r)) for r in SOFT_RULES))
+    return out.select("doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "failed_rules", (~base & ~soft).alias("kept"))
 
 
 def beta_prior(n: int, k: int, q: float, hosts: int) -> tuple[float, float]:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 from .op5_secret_scans import KINDS, RULE_SETS
-from .op9_host_rules import HOST_RATE, HOST_Z, MAX_DUP_LINES_PER_WORD, MAX_REPEAT_PERCENT, MAX_SYMBOLS_PER_WORD, MIN_WORDS, WORD_LENGTHS
+from .op9_host_rules import BASE_RULES, HOST_LEAST, HOST_TIMES, HOST_Z, RULES, SOFT_RULES
 
 WARC = """
 WITH q AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
@@ -58,7 +60,21 @@ FROM documents d LEFT JOIN n USING (doc_id)
 
 SECRETS = _secrets()
 
-HOST_RULES = rf"""
+
+
+def _host_rules() -> str:
+    sql = {r: re.sub(r"(\d)D\b", r"\1::DOUBLE", c) for r, c in RULES.items()}
+    flags = ", ".join(f"{c} AS fails_{r}" for r, c in sql.items())
+    counts = ", ".join(f"sum(fails_{r}::INTEGER)::DOUBLE AS k_{r}" for r in RULES)
+    moments = ", ".join(f"sum(k_{r}) AS k_{r}, sum(k_{r} * k_{r} / n) AS q_{r}, (sum(k_{r}) + 0.5) / (sum(n) + 1) AS m_{r}" for r in RULES)
+    size = "least(greatest(m_{0} * (1 - m_{0}) / greatest(greatest(q_{0} / n - (k_{0} / n) * (k_{0} / n), 0) - m_{0} * (1 - m_{0}) * hosts / n, 0.0001 * m_{0} * (1 - m_{0})) - 1, 2), 10000) AS s_{0}, greatest({1}::DOUBLE, {2} * k_{0} / n) AS top_{0}, m_{0}"
+    sizes = ", ".join(size.format(r, HOST_LEAST, HOST_TIMES) for r in RULES)
+    shrunk = ", ".join(f"(k_{r} + m_{r} * s_{r}) / (n + s_{r}) AS r_{r}, n + s_{r} AS t_{r}, top_{r}" for r in RULES)
+    bad = ", ".join(f"r_{r} - {HOST_Z} * sqrt(r_{r} * (1 - r_{r}) / (t_{r} + 1)) > top_{r} AS bad_{r}" for r in RULES)
+    base = " OR ".join(f"fails_{r}" for r in BASE_RULES)
+    strict = " OR ".join(f"coalesce(bad_{r}, false)" for r in BASE_RULES)
+    soft = " OR ".join(f"(fails_{r} AND (coalesce(bad_{r}, false) OR {strict}))" for r in SOFT_RULES)
+    return rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, source, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
 lines AS (SELECT doc_id, sum(n - 1) AS dup FROM (SELECT doc_id, line, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id, line) GROUP BY doc_id),
 grams AS (SELECT doc_id, k, w[k : k + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS k FROM d WHERE len(w) > 2)),
@@ -68,15 +84,17 @@ s AS (SELECT d.doc_id, CASE WHEN source IS NOT NULL THEN lower(regexp_extract(so
       CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars, CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
       CAST(coalesce(dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(reps.n, 0) AS BIGINT) AS n_repeat_words
       FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN reps USING (doc_id)),
-t AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM s),
-u AS (SELECT *, base_failed OR n_symbols > {MAX_SYMBOLS_PER_WORD} * n_words OR n_dup_lines > {MAX_DUP_LINES_PER_WORD} * n_words OR NOT (word_chars / greatest(n_words, 1) BETWEEN {WORD_LENGTHS[0]} AND {WORD_LENGTHS[1]}) AS any_failed FROM t),
-h AS (SELECT host, count(*)::DOUBLE AS n, sum(any_failed::INTEGER)::DOUBLE AS k FROM u WHERE host IS NOT NULL GROUP BY host),
-m AS (SELECT sum(n) AS n, sum(k) AS k, sum(k * k / n) AS q, count(*) AS hosts, (sum(k) + 0.5) / (sum(n) + 1) AS mean FROM h),
-p AS (SELECT mean, least(greatest(mean * (1 - mean) / greatest(greatest(q / n - (k / n) * (k / n), 0) - mean * (1 - mean) * hosts / n, 0.0001 * mean * (1 - mean)) - 1, 2), 10000) AS size FROM m),
-v AS (SELECT host, (k + mean * size) / (n + size) AS r, n + size AS total FROM h, p),
-bad AS (SELECT host, r - {HOST_Z} * sqrt(r * (1 - r) / (total + 1)) > {HOST_RATE} AS failed FROM v)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (coalesce(failed, false) AND any_failed) AS kept
-FROM u LEFT JOIN bad USING (host)
+u AS (SELECT *, {flags} FROM s),
+h AS (SELECT host, count(*)::DOUBLE AS n, {counts} FROM u WHERE host IS NOT NULL GROUP BY host),
+m AS (SELECT sum(n) AS n, count(*) AS hosts, {moments} FROM h),
+p AS (SELECT {sizes} FROM m),
+v AS (SELECT host, {shrunk} FROM h, p),
+b AS (SELECT host, {bad} FROM v)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {base} AS base_failed, NOT ({base}) AND NOT ({soft}) AS kept
+FROM u LEFT JOIN b USING (host)
 """
 
+
+HOST_RULES = _host_rules()
+
 SQL = {"op3_warc": WARC, "op4_decontamination": DECONTAMINATION, "op5_secret_scans": SECRETS, "op9_host_rules": HOST_RULES}

@@ -28,6 +28,7 @@ from maskframe.llm import op9_host_rules as op9
 from maskframe.llm import op10_simhash as op10
 from maskframe.llm import queries as Q
 from maskframe.llm._common import scratch_path
+from maskframe.llm.oracles import HOST_RULES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -376,12 +377,44 @@ def test_host_rules(spark, sf, texts):
         assert r["kept"] <= (not r["base_failed"])
 
 
-def test_bad_host_takes_its_doubtful_documents(spark):
-    good = " ".join(f"word{i}" for i in range(80))
-    odd = " ".join(f"w#{i}" for i in range(80))
-    rows = [(i, "junk", "bad.example") for i in range(300)] + [(1000, odd, "bad.example"), (1001, good, "bad.example"), (1002, odd, "good.example")] + [(2000 + i, good, "good.example") for i in range(300)]
-    kept = {r["doc_id"]: r["kept"] for r in op9.host_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
-    assert not kept[1000] and kept[1001] and kept[1002] and not kept[0]
+GOOD, SYMBOLS = " ".join(f"word{i}" for i in range(80)), " ".join(f"w#{i}" for i in range(80))
+LINES = "\n".join(["line one of many"] * 9 + [f"word{i} more" for i in range(40)])
+#: Hosts: one with junk, one with symbols, and a good one with a little of each.
+HOSTS = [(i, "junk", "https://Junk.example/a") for i in range(300)] + [(300, SYMBOLS, "junk.example:80"), (301, GOOD, "junk.example"), (302, LINES, "junk.example")]
+HOSTS += [(400 + i, SYMBOLS if i % 2 else GOOD, "symbols.example") for i in range(200)] + [(600, LINES, "symbols.example"), (601, "junk", "symbols.example")]
+HOSTS += [(1000 + i, SYMBOLS if i % 50 == 0 else LINES if i % 50 == 1 else GOOD, "good.example") for i in range(900)] + [(2000, SYMBOLS, None), (2001, GOOD, None)]
+
+
+def test_hosts_are_judged_rule_by_rule(spark):
+    got = {r["doc_id"]: r for r in op9.host_rules(spark.createDataFrame(HOSTS, "doc_id long, text string, source string")).collect()}
+    assert {h: r["failed_rules"] for r in got.values() for h in [r["host"]]} == {"junk.example": ["length"], "symbols.example": ["symbols"], "good.example": [], None: []}
+    assert [i for i in (0, 300, 301, 302) if got[i]["kept"]] == [301]
+    assert all(got[400 + i]["kept"] == (i % 2 == 0) for i in range(200)) and got[600]["kept"] and not got[601]["kept"]
+    assert all(got[1000 + i]["kept"] for i in range(900)) and got[2000]["kept"] and got[2001]["kept"]
+
+
+def test_host_verdicts_in_sql(spark):
+    """The SQL twin on hosts that fail."""
+    import duckdb
+    import pandas as pd
+
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(HOSTS, columns=["doc_id", "text", "source"]))
+    want = {r[0]: r[-1] for r in con.execute(HOST_RULES).fetchall()}
+    got = {r["doc_id"]: r["kept"] for r in op9.host_rules(spark.createDataFrame(HOSTS, "doc_id long, text string, source string")).collect()}
+    assert got == want and len(set(want.values())) == 2
+
+
+def test_beta_prior_by_moments():
+    """The prior's mean is the corpus's rate, and its size grows as the hosts' rates differ less."""
+    counts = [(100, 10), (100, 12), (100, 8)], [(100, 0), (100, 30), (100, 0)]
+    sizes = []
+    for hosts in counts:
+        n, k = sum(n for n, _ in hosts), sum(k for _, k in hosts)
+        a, b = op9.beta_prior(n, k, sum(k * k / n for n, k in hosts), len(hosts))
+        assert abs(a / (a + b) - k / n) < 0.01
+        sizes.append(a + b)
+    assert sizes[0] > 10 * sizes[1]
 
 
 def brute_fingerprint(text):
