@@ -12,11 +12,13 @@ Empty tables give empty results. Overlapping spans of different kinds all count.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.fixed import let
 from ._common import fresh, materialise, scratch_path
 
 # The patterns of the base kinds (the last number is the least length, of the group named before it).
@@ -24,11 +26,16 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{32,}"
 
-#: Rule sets by version: kind, pattern, group whose length counts, least length, and a string that every match has (or none).
-#: A change to a set must change its version; only then are blobs scanned again, and only for that set.
-RULE_SETS: dict[str, list[tuple[str, str, int, int, str | None]]] = {
-    "base-1": [("assign", ASSIGN, 2, 8, None), ("access", ACCESS, 0, 16, "AKIA"), ("hex", HEX, 0, 32, None)],
-    "keys-1": [("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, "PRIVATE KEY-----"), ("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 40, "gh"), ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, 1, "eyJ")],
+#: Rule sets by version: kind, pattern, group whose length counts, least length, a string that every match has (or none), and the
+#: group that is the span and ends the match. A change to a set must change its version; only then are blobs scanned again, and only for that set.
+#: Patterns take time in proportion to the text: a run of characters is entered at its beginning only, or ends where the next match may begin.
+RULE_SETS: dict[str, list[tuple[str, str, int, int, str | None, int]]] = {
+    "base-1": [("assign", ASSIGN, 2, 8, None, 0), ("access", ACCESS, 0, 16, "AKIA", 0), ("hex", HEX, 0, 32, None, 0)],
+    "keys-2": [
+        ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, "PRIVATE KEY-----", 0),
+        ("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 40, "gh", 0),
+        ("jwt", r"(?:^|[^A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+)", 1, 1, "eyJ", 1),
+    ],
 }
 BASE_KINDS = ("assign", "access", "hex")
 #: Kinds in the order in which they are listed at one place.
@@ -39,24 +46,45 @@ LEDGER = f"blob binary, rules string, spans {SPANS}"
 MARK = "[SECRET]"
 
 
-def rule_spans(text: Column, kind: str, pattern: str, group: int, least: int, has: str | None) -> Column:
+#: Values that a running total copies at once; one more level takes the blocks' totals.
+BLOCK = 128
+
+
+def running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """Inclusive running totals of an array of INT by an associative function that 0 leaves as it is.
+
+    A fold that appends copies what it has for each value, so it runs over blocks of BLOCK values, and once over the blocks."""
+    last = lambda a: F.coalesce(F.get(a, F.size(a) - 1), F.lit(0))
+    ints = F.array().cast("array<int>")
+    fold = lambda part: F.aggregate(part, ints, lambda acc, x: F.concat(acc, F.array(combine(last(acc), x))))
+
+    def blocks(v: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(v) - 1, F.lit(0)), F.lit(BLOCK))
+        return F.transform(starts, lambda s: fold(F.slice(v, s + 1, F.lit(BLOCK))))
+
+    def joined(parts: Column) -> Column:
+        return let(fold(F.transform(parts, last)), lambda ends: F.flatten(F.transform(parts, lambda part, i: let(F.coalesce(F.get(ends, i - 1), F.lit(0)), lambda before: F.transform(part, lambda x: combine(before, x))))))
+
+    return let(values, lambda v: let(blocks(v), joined))
+
+
+def rule_spans(text: Column, kind: str, pattern: str, group: int, least: int, has: str | None, span: int) -> Column:
     """The spans (code points, end exclusive) of one rule: matches from the left, none overlapping, those too short dropped."""
     rank = KINDS.index(kind)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gauge = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
+    of = lambda g: F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) if g else found
     gaps = F.split(text, pattern, -1)  # what stands before, between and behind the matches
-    parts = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("match"), gauge.alias("gauge"))
-    empty = F.array().cast(SPANS)
+    sizes = lambda strings: F.transform(strings, lambda s: F.length(s))
+    facts = F.struct(sizes(gaps).alias("gap"), sizes(found).alias("match"), sizes(of(group)).alias("gauge"), sizes(of(span)).alias("span"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["match"])
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(F.length(x["gauge"]) >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+    def spans(f: Column) -> Column:
+        ends = running(F.zip_with(F.slice(f["gap"], F.lit(1), F.size(f["match"])), f["match"], lambda g, m: g + m), lambda a, b: a + b)
+        every = F.zip_with(F.zip_with(f["gauge"], f["span"], lambda g, n: F.struct(g.alias("gauge"), n.alias("n"))), ends, lambda x, e: F.struct((e - x["n"]).alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), e.alias("end"), x["gauge"].alias("gauge")))
+        long = F.filter(every, lambda x: x["gauge"] >= least)
+        return F.transform(long, lambda x: F.struct(x["start"], x["rank"], x["kind"], x["end"]))
 
-    spans = F.aggregate(parts, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
     matches = text.rlike(pattern)
-    return F.when(F.contains(text, F.lit(has)) & matches if has else matches, spans).otherwise(empty)
+    return F.when(F.contains(text, F.lit(has)) & matches if has else matches, let(facts, spans)).otherwise(F.array().cast(SPANS))
 
 
 def set_spans(text: Column, version: str) -> Column:
@@ -94,8 +122,8 @@ class Ledger:
     def findings(self) -> DataFrame:
         """blob and spans of the current rule sets, for blobs with any."""
         current = self.rows().where(F.col("rules").isin(*RULE_SETS) & (F.size("spans") > 0))
-        # A path that repeats may have been read more than once, with the same outcome.
-        return current.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("spans")))).alias("spans"))
+        # A path that repeats may have been read more than once, with the same outcome, which a set holds once.
+        return current.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_set("spans"))).alias("spans"))
 
 
 def secret_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ledger: str | None = None) -> DataFrame:
@@ -114,16 +142,24 @@ def listed(spans: Column) -> Column:
 
 
 def redacted(text: Column, spans: Column) -> Column:
-    """The text with a mark in place of each stretch that spans cover."""
+    """The text with a mark in place of each stretch that spans (sorted) cover.
+
+    Pieces are cut from an encoding of fixed width, where a place is found without counting characters from the text's start."""
+    mark = F.unhex(F.lit("0000FEFF"))  # says how to read the four bytes that follow; it is no part of the text
+
+    def pieces(x: Column) -> Column:
+        def cut(start: Column, end: Column) -> Column:
+            return F.decode(F.concat(mark, F.substring(x["wide"], 4 * start + 1, F.greatest(4 * (end - start), F.lit(0)))), "UTF-32")
+
+        def one(s: Column, i: Column) -> Column:
+            before = F.coalesce(F.get(x["upto"], i - 1), F.lit(0))
+            return F.when(s["start"] >= before, F.concat(cut(before, s["start"]), F.lit(MARK))).otherwise(F.lit(""))
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(MARK))).otherwise(acc["out"])
-        return F.struct(out.alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
+        tail = cut(F.get(x["upto"], F.size(x["upto"]) - 1), F.length(text))
+        return F.concat(F.array_join(F.transform(spans, one), ""), tail)
 
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    whole = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+    held = F.struct(F.encode(text, "UTF-32").alias("wide"), running(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b)).alias("upto"))
+    return F.when(F.size(spans) > 0, let(held, pieces)).otherwise(text)
 
 
 def redact(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars", ledger: str | None = None) -> DataFrame:

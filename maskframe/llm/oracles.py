@@ -33,19 +33,19 @@ FROM d LEFT JOIN places USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
 
-def _rule_sql(kind: str, pattern: str, group: int, least: int) -> str:
+def _rule_sql(kind: str, pattern: str, group: int, least: int, span: int) -> str:
     pattern = pattern.replace("'", "''")
     return f"""
 SELECT doc_id, {KINDS.index(kind)} AS rank, '{kind}' AS kind,
-       CAST(sum(length(gap)) OVER w + sum(length(m)) OVER w - length(m) AS BIGINT) AS a, CAST(sum(length(gap)) OVER w + sum(length(m)) OVER w AS BIGINT) AS b, length(g) >= {least} AS long
-FROM (SELECT doc_id, unnest(range(1, len(m) + 1)) AS k, unnest(s[1 : len(m)]) AS gap, unnest(m) AS m, unnest(g) AS g
-      FROM (SELECT doc_id, string_split_regex(text, '{pattern}') AS s, regexp_extract_all(text, '{pattern}') AS m, regexp_extract_all(text, '{pattern}', {group}) AS g FROM documents WHERE regexp_matches(text, '{pattern}')))
+       CAST(sum(length(gap)) OVER w + sum(length(m)) OVER w - length(p) AS BIGINT) AS a, CAST(sum(length(gap)) OVER w + sum(length(m)) OVER w AS BIGINT) AS b, length(g) >= {least} AS long
+FROM (SELECT doc_id, unnest(range(1, len(m) + 1)) AS k, unnest(s[1 : len(m)]) AS gap, unnest(m) AS m, unnest(g) AS g, unnest(p) AS p
+      FROM (SELECT doc_id, string_split_regex(text, '{pattern}') AS s, regexp_extract_all(text, '{pattern}') AS m, regexp_extract_all(text, '{pattern}', {group}) AS g, regexp_extract_all(text, '{pattern}', {span}) AS p FROM documents WHERE regexp_matches(text, '{pattern}')))
 WINDOW w AS (PARTITION BY doc_id ORDER BY k)
 """
 
 
 def _secrets() -> str:
-    rules = [(k, p, g, n) for rules in RULE_SETS.values() for k, p, g, n, _ in rules]
+    rules = [(k, p, g, n, span) for rules in RULE_SETS.values() for k, p, g, n, _, span in rules]
     every = " UNION ALL ".join(f"({_rule_sql(*r)})" for r in rules)
     count = ", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in KINDS[:3])
     sums = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in KINDS[:3])
