@@ -2,7 +2,13 @@
 
 Pieces are dealt out evenly, whatever order the files hold them in, so that each task sees the whole mix
 of lengths. Tasks pack their own pieces by best fit, decreasing. Bins that are nearly full are done; the others
-go up a tree of merging tasks as single items, where best fit is repeated.
+go up a tree of merging tasks, FAN to one, as single items, and best fit is repeated until one task is left.
+
+Best fit leaves a task at most one bin that is half full or less, and of two fuller ones neither takes the
+other. So on the whole way up a task's bins can meet at most FAN - 1 small ones a level, and a task passes
+on only that many bins of each fill. Those it keeps back find nothing later that those it passes on
+wouldn't take, so the result is as if all had gone up, while a merging task holds a bounded number of bins
+whatever the size of the input: nothing is left out, and no two bins of the result that were sent up fit together.
 
 Defined results. A null text is empty and gives one piece, the end token. Repeated rows are packed as
 often as they appear. An empty table gives an empty result. A document longer than a sequence is cut
@@ -24,16 +30,14 @@ from ._common import chunks, materialise, shipped
 
 CAPACITY = 1024
 END_ID = 2
-#: A bin with at most this share of room left is done before the last round.
+#: A bin with at most this share of room left is done.
 SLACK = 0.002
-#: Items that a merging task takes.
-TASK_ITEMS = 100_000
-#: Pieces that a task of the first round takes.
+#: Pieces that a task of the first round takes, and tasks whose bins meet in one of the next round.
 FIRST_ITEMS = 50_000
-MAX_ROUNDS = 8
+FAN = 8
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-BIN = "fill int, items array<struct<doc_id:long,piece:int,start:long,length:long,ids_crc32:long,offset:long>>"
+BIN = "node int, up boolean, fill int, items array<struct<doc_id:long,piece:int,start:long,length:long,ids_crc32:long,offset:long>>"
 
 
 class BestFit:
@@ -157,73 +161,69 @@ def tokenized(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "t
     return df.transform(shipped).mapInArrow(run, PIECES + (", ids array<int>" if with_ids else ""))
 
 
-def _bins(fills: list[int], contents: list[list[dict]], capacity: int, slack: int) -> pa.RecordBatch:
-    """Packs items (each a list of pieces with offsets) into bins."""
+_PIECE = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("offset", pa.int64())])
+
+
+def passed_on(fills: np.ndarray, capacity: int, small_ones: int) -> np.ndarray:
+    """Whether a bin goes up: it isn't nearly full, and is among the first `small_ones` of its fill if it is more than half full."""
+    order = np.argsort(fills, kind="stable")
+    ordered = fills[order]
+    first = np.searchsorted(ordered, ordered)
+    up = np.empty(len(fills), bool)
+    up[order] = (np.arange(len(fills)) - first < small_ones) | (2 * ordered <= capacity)
+    return up & (fills < capacity - int(SLACK * capacity))
+
+
+def _packed(node: int, fills: list[int], contents: list[list[dict]], capacity: int, small_ones: int) -> pa.RecordBatch:
+    """A task's items (each a list of pieces with offsets) packed into bins, and which of these go up."""
     where = pack(np.array(fills, np.int64), capacity)
     n = int(where.max()) + 1 if len(where) else 0
-    fill, items = [0] * n, [[] for _ in range(n)]
+    fill, items = np.zeros(n, np.int64), [[] for _ in range(n)]
     for b, size, pieces in zip(where.tolist(), fills, contents):
-        for p in pieces:
-            items[b].append(p | {"offset": p["offset"] + fill[b]})
+        at = int(fill[b])
+        items[b] += [p | {"offset": p["offset"] + at} for p in pieces]
         fill[b] += size
-    piece = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("offset", pa.int64())])
-    return pa.RecordBatch.from_arrays([pa.array(fill, pa.int32()), pa.array(items, pa.list_(piece))], names=["fill", "items"])
+    arrays = [pa.array(np.full(n, node), pa.int32()), pa.array(passed_on(fill, capacity, small_ones)), pa.array(fill, pa.int32()), pa.array(items, pa.list_(_PIECE))]
+    return pa.RecordBatch.from_arrays(arrays, names=["node", "up", "fill", "items"])
 
 
-def _first_round(capacity: int):
+def _first_round(capacity: int, small_ones: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[dict] = []
-        for batch in batches:
-            rows += [r | {"offset": 0} for r in batch.to_pylist()]
-            while len(rows) >= TASK_ITEMS:
-                yield _bins([r["length"] for r in rows[:TASK_ITEMS]], [[r] for r in rows[:TASK_ITEMS]], capacity, 0)
-                rows = rows[TASK_ITEMS:]
-        if rows:
-            yield _bins([r["length"] for r in rows], [[r] for r in rows], capacity, 0)
+        from pyspark import TaskContext
+
+        rows = [r | {"offset": 0} for batch in batches for r in batch.to_pylist()]  # about FIRST_ITEMS
+        yield _packed(TaskContext.get().partitionId(), [r["length"] for r in rows], [[r] for r in rows], capacity, small_ones)
 
     return run
 
 
-def _merge_round(capacity: int):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fills: list[int] = []
-        items: list[list[dict]] = []
-        for batch in batches:
-            fills += batch.column("fill").to_pylist()
-            items += batch.column("items").to_pylist()
-            if len(fills) >= 2 * TASK_ITEMS:
-                yield _bins(fills, items, capacity, 0)
-                fills, items = [], []
-        if fills:
-            yield _bins(fills, items, capacity, 0)
+def _merge_round(capacity: int, small_ones: int):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        packed = _packed(key[0].as_py(), table.column("fill").to_pylist(), table.column("items").to_pylist(), capacity, small_ones)
+        return pa.Table.from_batches([packed])
 
     return run
 
 
-def residual_packing(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Bins (fill, items with offsets): local best fit, then rounds over the bins that aren't nearly full.
+def residual_packing(pieces: DataFrame, capacity: int = CAPACITY, first_items: int = FIRST_ITEMS, fan: int = FAN) -> DataFrame:
+    """Bins (fill, items with offsets): local best fit, then rounds over the bins that are passed on.
 
     The pieces, which are read twice, are dealt out in turn before the first round: each task's rows go in order
     of their hash, one to each task of the next stage, so equal rows don't meet in one either.
-    The rounds end when one task takes all that is left, or when a round no longer saves a bin in a
-    hundred. Each round's bins are written to the shared folder, so a lost executor costs one round."""
-    full = capacity - int(SLACK * capacity)
-    spread = pieces.repartition(-(-pieces.count() // FIRST_ITEMS) or 1)
-    bins = materialise(spread.transform(shipped).mapInArrow(_first_round(capacity), BIN), "packing-0")
-    done = bins.where(F.col("fill") >= full)
-    rest = bins.where(F.col("fill") < full)
-    left = rest.count()
-    for k in range(1, MAX_ROUNDS + 1):
-        if left < 2:
-            break
-        tasks = -(-left // TASK_ITEMS)
-        merged = materialise(rest.coalesce(tasks).transform(shipped).mapInArrow(_merge_round(capacity), BIN), f"packing-{k}")
-        done = done.unionByName(merged.where(F.col("fill") >= full))
-        rest, before = merged.where(F.col("fill") < full), left
-        left = rest.count()
-        if tasks == 1 or left > 0.99 * before:
-            break
-    return done.unionByName(rest)
+    Each round's bins are written to the shared folder, so a lost executor costs one round."""
+    tasks = -(-pieces.count() // first_items) or 1
+    levels = 0
+    while fan**levels < tasks:
+        levels += 1
+    small_ones = (fan - 1) * levels  # that a bin can meet on its way up
+    spread = pieces.repartition(tasks).transform(shipped).mapInArrow(_first_round(capacity, small_ones), BIN)
+    bins = materialise(spread, "packing-0")
+    done = bins.where(~F.col("up") | F.lit(levels == 0))
+    for k in range(1, levels + 1):
+        groups = bins.where("up").select((F.col("node") / fan).cast("int").alias("parent"), "fill", "items").groupBy("parent")
+        bins = materialise(groups.applyInArrow(_merge_round(capacity, small_ones), BIN), f"packing-{k}")
+        done = done.unionByName(bins.where(~F.col("up") | F.lit(k == levels)))
+    return done.select("fill", "items")
 
 
 def best_fit_packing(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:

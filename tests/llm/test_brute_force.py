@@ -364,11 +364,32 @@ def test_packing(spark, sf, texts):
     assert len(bins) <= 1.02 * -(-sum(r["length"] for r in rows) // 1024) + 1
 
 
-def test_packing_rounds_join_residuals(spark):
-    df = spark.createDataFrame([(i, 0, 0, 300 + i % 400, 0) for i in range(2000)], op7.PIECES).repartition(40)
-    bins = op7.residual_packing(df, 1024).collect()
-    assert sum(len(b["items"]) for b in bins) == 2000 and all(b["fill"] <= 1024 for b in bins)
-    assert len(bins) <= 1.06 * -(-sum(300 + i % 400 for i in range(2000)) // 1024)
+@pytest.mark.parametrize("first_items,fan", [(2000, 2), (100, 2), (37, 3), (10, 8)])
+def test_packing_rounds_leave_nothing_to_merge(spark, first_items, fan):
+    """Whatever the number of tasks and levels, no piece is lost and no two bins of the result fit together."""
+    rng = random.Random(first_items)
+    lengths = [rng.choice([5, 40, 300, 520, 700]) + rng.randint(0, 90) for _ in range(2000)]
+    df = spark.createDataFrame([(i, 0, 0, n, 0) for i, n in enumerate(lengths)], op7.PIECES).repartition(7)
+    bins = op7.residual_packing(df, 1024, first_items, fan).collect()
+    assert sorted(p["doc_id"] for b in bins for p in b["items"]) == list(range(2000))
+    for b in bins:
+        at = 0
+        for p in sorted(b["items"], key=lambda p: p["offset"]):
+            assert p["offset"] == at and p["length"] == lengths[p["doc_id"]]
+            at += p["length"]
+        assert at == b["fill"] <= 1024
+    two = sorted(b["fill"] for b in bins)[:2]
+    assert sum(two) > 1024
+    assert len(bins) <= (1.03 if first_items > 10 else 1.25) * (op7.pack(np.array(lengths), 1024).max() + 1)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 64), max_size=200), st.integers(1, 5))
+def test_bins_that_go_up(fills, small_ones):
+    got = op7.passed_on(np.array(fills, np.int64), 64, small_ones)
+    for fill in set(fills):
+        n = int(sum(u for u, f in zip(got, fills) if f == fill))
+        assert n == (0 if fill == 64 else fills.count(fill) if 2 * fill <= 64 else min(fills.count(fill), small_ones))
 
 
 def test_packing_of_a_table_clustered_by_length(spark):
@@ -388,6 +409,18 @@ def test_encoder_falls_back_for_special_strings():
         assert encode(text) == encode.slow.encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_gives_the_ids_of_the_file_s_own_tokenizer(docs):
+    """Every word of the vocabulary by itself and joined to others, all documents, and random strings."""
+    encode, rng = op7.Encoder(TOKENIZER), random.Random(8)
+    own = encode.slow
+    words = [own.decode([i]) for i in range(own.get_vocab_size())]
+    words = [w for w in words if "\ufffd" not in w and w not in encode.special]
+    texts = words + [a + b for a, b in zip(words, rng.sample(words, len(words)))] + [r["text"] for r in docs.collect() if r["text"]]
+    texts += ["".join(rng.choice("aeiounrstl 'A1.\n\t\u00e9\u65e5") for _ in range(rng.randint(0, 40))) for _ in range(20_000)]
+    want = own.encode_batch(texts, add_special_tokens=False)
+    assert [encode(t) for t in texts] == [e.ids for e in want]
+
+
 def test_toxicity_on_held_out_labels(spark, sf):
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     got = by_id(Q.op8_toxicity(spark, sf))
