@@ -6,8 +6,14 @@ The number of blocks grows with the number of fingerprints, which holds the shar
 is a BK-tree (children keyed by their integer distance to the parent), built and searched in one task
 level by level; a search follows only the edges within the radius of the distance at hand.
 
-A shard of more than HOT_SHARD fingerprints is not put into one task: its members meet by the points
-within half the radius of each, which links the same fingerprints exactly in steps that spread.
+A shard of more than HOT_SHARD fingerprints is not put into one task: its members are dealt again by more
+blocks, so that more bits have to agree. What still crowds a shard lies in a small ball, and meets by the
+points within half the radius of each: two fingerprints are near if and only if some point is within the
+smaller half of the radius of one and the larger half of the other. That links the same fingerprints
+exactly, for odd radii too, in steps that spread.
+
+Trees aren't broadcast to the fingerprints, as the method's name has it: every tree would go to every task.
+A shard's fingerprints and its tree meet in one task instead, and each is searched by its shard alone.
 
 Linked fingerprints become classes by alternating star contraction, each round written to the shared
 folder. Neither fingerprints nor links come to the driver.
@@ -27,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import chunks, fresh, materialise, shipped
+from ._common import chunks, fresh, materialise, shipped, sized
 
 RADIUS = 4
 SHINGLE = 4
@@ -188,9 +194,13 @@ def _forest_stars(radius: int):
     return run
 
 
+#: Blocks beyond the radius at most; the choices of blocks grow fast with them.
+MOST_BLOCKS = 5
+
+
 def _blocks_for(n: int, radius: int) -> int:
     """Blocks to cut the bits into, so that a fingerprint meets about MEET others."""
-    for blocks in range(radius + 1, radius + 6):
+    for blocks in range(radius + 1, radius + MOST_BLOCKS + 1):
         tables = len(list(combinations(range(blocks), radius)))
         if n * tables / 2.0 ** (64 * (blocks - radius) / blocks) <= MEET:
             break
@@ -213,32 +223,41 @@ def shard_keys(fp: Column, blocks: int, radius: int) -> Column:
 
 def near_links(fps: DataFrame, radius: int = RADIUS, hot_shard: int = HOT_SHARD) -> DataFrame:
     """Links a, b whose classes are those of all pairs of the distinct column fp at most `radius` bits apart."""
-    spark = fps.sparkSession
     n = fps.count()
-    keyed = fps.select("fp", F.explode(shard_keys(F.col("fp"), _blocks_for(n, radius), radius)).alias("s")).select("s.table", "s.key", "fp")
+    blocks = _blocks_for(n, radius)
+    links, members = _dealt_links(fps, n, blocks, radius, hot_shard)
+    if members is None:
+        return links
+    if blocks < radius + MOST_BLOCKS:
+        members = materialise(members, "hot-fingerprints")
+        more, members = _dealt_links(members, members.count(), radius + MOST_BLOCKS, radius, hot_shard)
+        links = links.unionByName(more)
+    return links if members is None else links.unionByName(_midpoint_links(members, radius))
+
+
+def _dealt_links(fps: DataFrame, n: int, blocks: int, radius: int, hot_shard: int) -> tuple[DataFrame, DataFrame | None]:
+    """The links that BK-trees find in shards of up to `hot_shard` fingerprints, and the fingerprints of larger shards, if any."""
+    keyed = fps.select("fp", F.explode(shard_keys(F.col("fp"), blocks, radius)).alias("s")).select("s.table", "s.key", "fp")
     # At most (tables * n / hot_shard) shards are hot; each of the others fits a task.
-    hot = keyed.groupBy("table", "key").count().where(F.col("count") > hot_shard).select("table", "key")
-    hot = materialise(hot, "hot-shards")
+    hot = materialise(keyed.groupBy("table", "key").count().where(F.col("count") > hot_shard).select("table", "key"), "hot-shards")
     some = not hot.isEmpty()
-    cool = keyed.join(hot, ["table", "key"], "left_anti") if some else keyed
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    side = sized(hot)
+    cool = keyed.join(side, ["table", "key"], "left_anti") if some else keyed
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = cool.repartition(max(parts, -(-n // FOREST_ROWS)), "table", "key").sortWithinPartitions("table", "key")
     links = dealt.transform(shipped).mapInArrow(_forest_stars(radius), "a long, b long")
-    if some:
-        members = keyed.join(hot, ["table", "key"], "left_semi").select("fp").distinct()
-        links = links.unionByName(_midpoint_links(members, radius))
-    return links
+    return links, keyed.join(side, ["table", "key"], "left_semi").select("fp").distinct() if some else None
 
 
 def _midpoint_links(fps: DataFrame, radius: int) -> DataFrame:
-    """Links by shared points within half the radius; exact for an even radius, as any two so linked are near."""
-    flips = [0]
-    for k in range(1, radius // 2 + 1):
-        flips += [sum(1 << b for b in c) for c in combinations(range(64), k)]
-    signed = np.array(flips, np.uint64).view(np.int64).tolist()
-    table = fps.sparkSession.createDataFrame([(x,) for x in signed], "flip long")  # 2081 rows for a radius of 4
-    around = fps.join(F.broadcast(table)).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"))
-    least = around.groupBy("point").agg(F.min("fp").alias("b"))
+    """Links by shared points. All fingerprints within the larger half of the radius of a point are linked to the least one within
+    the smaller half: each such link is near, and two near fingerprints have such a point between them."""
+    inner, outer = radius // 2, radius - radius // 2
+    flips = [(sum(1 << b for b in c), k <= inner) for k in range(outer + 1) for c in combinations(range(64), k)]
+    signed = np.array([f for f, _ in flips], np.uint64).view(np.int64).tolist()
+    table = fps.sparkSession.createDataFrame([(x, near) for x, (_, near) in zip(signed, flips)], "flip long, inner boolean")  # 2081 rows for a radius of 4
+    around = fps.join(F.broadcast(table)).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"), "inner")
+    least = around.groupBy("point").agg(F.min(F.when(F.col("inner"), F.col("fp"))).alias("b")).where("b is not null")
     return around.join(least, "point").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
 
 

@@ -527,19 +527,27 @@ def test_simhash(spark, sf, texts):
     assert {i: got[i]["component_id"] for i in ids} == brute_classes(fps, ids)
 
 
-@pytest.mark.parametrize("hot", [20_000, 3])
-def test_near_links_on_clusters(spark, hot):
+def test_two_fingerprints_at_an_odd_radius(spark):
+    df = spark.createDataFrame([(0,), (0b111,)], "fp long")
+    for hot in (20_000, 1):
+        assert {frozenset(r) for r in op10.near_links(df, 3, hot).collect()} == {frozenset((0, 7))}
+        assert op10.near_links(df, 2, hot).collect() == []
+
+
+@pytest.mark.parametrize("radius", [1, 2, 3, 4, 5])
+@pytest.mark.parametrize("hot", [20_000, 100, 3])
+def test_near_links_on_clusters(spark, hot, radius):
     rng = random.Random(9)
     fps = set()
     for _ in range(6):
         center = rng.getrandbits(64)
-        for _ in range(40):
-            fps.add(center ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 6))))
+        for _ in range(40 if radius < 5 else 6):
+            fps.add(center ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, radius + 2))))
     fps = sorted(fps)
     signed = [f - (1 << 64) if f >= 1 << 63 else f for f in fps]
     df = spark.createDataFrame([(f,) for f in signed], "fp long")
-    roots = {r["node"]: r["root"] for r in op10.star_contraction(op10.near_links(df, hot_shard=hot)).collect()}
-    got, want = {f: roots.get(f, f) for f in signed}, brute_classes(fps, signed)
+    roots = {r["node"]: r["root"] for r in op10.star_contraction(op10.near_links(df, radius, hot)).collect()}
+    got, want = {f: roots.get(f, f) for f in signed}, brute_classes(fps, signed, radius)
     groups = lambda m: sorted(sorted(k for k in m if m[k] == v) for v in set(m.values()))
     assert groups(got) == groups(want)
 
