@@ -6,11 +6,12 @@ are counted per language; the counts are corrected for the filter's false positi
 and the largest corrected count decides.
 
 N-grams are four bytes of UTF-8 inside a lower-cased word with one space at either side. A language
-contains an n-gram that is at least half as frequent there as in any other language.
+contains an n-gram that makes up LEAST_SHARE of its n-grams, whatever others contain.
 
 The filter is fitted on a hash sample of about SAMPLE_DOCS labelled documents of each language (fewer
-if there are fewer), and a language keeps n-grams of at least LEAST_SHARE of its n-grams, so at most
-1 / LEAST_SHARE of them: the filter's size is bounded however large the corpus is.
+if there are fewer), and has at most 1 / LEAST_SHARE n-grams of a language: its size depends on the number
+of languages, not on the corpus. There may be any number of languages; the driver and each worker hold the
+filter, a bit a slot and language, and n-grams reach the driver 64 languages at a time.
 
 Defined results. Null texts and texts without letters are `und` with score 0; so is everything if no
 document is labelled. A text with letters but without a known n-gram gets the language with most labelled
@@ -28,14 +29,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import chunks, fresh, held_out, mix64, shipped, trainable
+from ._common import chunks, fresh, held_out, materialise, mix64, shipped, trainable
 
 SAMPLE_DOCS = 2000
-LEAST_SHARE = 2e-5
-LIKE_THE_MOST = 0.5
+LEAST_SHARE = 1e-4
 SLOTS_PER_GRAM = 16
 HASHES = 3
-MAX_LANGUAGES = 1024
+#: Languages whose n-grams are collected at once: as many as a mask word has bits.
+WORD_BITS = 64
 UNKNOWN = "und"
 
 _SPACE = 0x20
@@ -151,9 +152,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", order: Colu
     """A filter from rows with text and lang; `order` is what the hash sample goes by (the text if not given)."""
     rows = labelled.where(F.col(lang).isNotNull()).select(F.col(text).cast("binary").alias("text"), F.col(lang).alias("lang"), F.xxhash64(order if order is not None else F.col(text)).alias("h"))
     # The counts read no texts, so null ones count here; they are left out of the sample.
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
     languages = sorted(sizes)
     if not languages:
         return BitmaskFilter([], np.zeros((1, 1024), np.uint8), np.zeros(0), np.zeros(0))
@@ -162,10 +161,10 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", order: Colu
     counts = sample.transform(shipped).mapInArrow(_count_grams, "language int, gram long, n long").groupBy("language", "gram").agg(F.sum("n").alias("n"))
     totals = counts.groupBy("language").agg(F.sum("n").alias("total"))
     kept = counts.join(F.broadcast(totals), "language").where(F.col("n") >= F.greatest(F.lit(2), F.col("total") * LEAST_SHARE))
-    found = kept.select("language", "gram", (F.col("n") / F.col("total")).alias("share")).toPandas()
-    most = found.groupby("gram")["share"].transform("max")
-    found = found[found["share"] >= LIKE_THE_MOST * most]
-    model = BitmaskFilter.build(languages, found["gram"].to_numpy(np.uint32), found["language"].to_numpy(np.int64), found["share"].to_numpy(float))
+    held = materialise(kept.select("language", "gram", (F.col("n") / F.col("total")).alias("share")), "language-grams")
+    parts = [held.where(F.col("language").between(low, low + WORD_BITS - 1)).toPandas() for low in range(0, len(languages), WORD_BITS)]
+    gram, language, share = (np.concatenate([p[c].to_numpy(kind) for p in parts]) for c, kind in (("gram", np.uint32), ("language", np.int64), ("share", float)))
+    model = BitmaskFilter.build(languages, gram, language, share)
     model.usual = max(range(len(languages)), key=lambda i: sizes[languages[i]])
     return model
 

@@ -52,6 +52,66 @@ def test_language_id_on_held_out_rows(spark, sf, docs):
     assert sum(got[i]["lang_pred"] == want[i] for i in held) >= 0.95 * len(held)
 
 
+def brute_grams(text):
+    """Four-byte n-grams of a text, letter by letter."""
+    plain = []
+    for c in f" {text} ":
+        if c.isascii():
+            plain.append(c.lower() if c.isalpha() else " ")
+        else:
+            plain.append(c.lower() if "\u00c0" <= c <= "\u00de" and c != "\u00d7" else c)
+    raw = "".join(plain).encode()
+    return [raw[i : i + 4] for i in range(len(raw) - 3) if b" " not in raw[i + 1 : i + 3]]
+
+
+def brute_mix(x):
+    for shift, by in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
+        x = (x ^ x >> shift) * by % (1 << 64)
+    return x ^ x >> 33
+
+
+def test_language_id_by_sets_and_loops(spark, sf, docs):
+    """Counts, masks, correction and decision in plain Python, from the labelled rows on."""
+    rows = docs.collect()
+    learn = [(r["text"], r["lang"]) for r in rows if r["text"] and r["lang"] and zlib.crc32(str(r["doc_id"]).encode()) % 5]
+    langs = sorted({lang for _, lang in learn})
+    assert max(Counter(lang for _, lang in learn).values()) <= op1.SAMPLE_DOCS  # so the sample is all of them
+    counts = {lang: Counter(g for t, k in learn if k == lang for g in brute_grams(t)) for lang in langs}
+    total = {lang: sum(c.values()) for lang, c in counts.items()}
+    contained = {lang: {g: n / total[lang] for g, n in c.items() if n >= max(2, total[lang] * op1.LEAST_SHARE)} for lang, c in counts.items()}
+    slots = 1 << max(10, (len(set().union(*contained.values())) * 16 - 1).bit_length())
+
+    def places(g):
+        h = brute_mix(int.from_bytes(g, "little"))
+        return [(h + k * (h >> 32 | 1)) % slots for k in range(3)]
+
+    table = {lang: {p for g in own for p in places(g)} for lang, own in contained.items()}
+    false = {lang: (len(s) / slots) ** 3 for lang, s in table.items()}
+    for r in by_id(Q.op1_language_id(spark, sf)).values():
+        text = next(d["text"] for d in rows if d["doc_id"] == r["doc_id"]) or ""
+        found = brute_grams(text)
+        value = {}
+        for lang in langs:
+            hits = sum(all(p in table[lang] for p in places(g)) for g in found)
+            assert hits >= sum(g in contained[lang] for g in found)  # no language of an n-gram is missed
+            value[lang] = max((hits - len(found) * false[lang]) / (1 - false[lang]), 0) / sum(contained[lang].values())
+        first, second = sorted(value.values(), reverse=True)[:2]
+        if not any(c.isalpha() for c in text):
+            assert (r["lang_pred"], r["score"]) == ("und", 0)
+        elif first:
+            assert abs(value[r["lang_pred"]] - first) < 1e-6 * first and abs(r["score"] - first / (first + second)) < 1e-9
+
+
+def test_any_number_of_languages(spark):
+    """More languages than a mask word has bits, each with words of its own."""
+    word = lambda k: "".join(chr(97 + k // 26**i % 26) for i in range(4)) * 2
+    n = 150
+    df = spark.createDataFrame([(i * n + k, f"{word(k * 7919)} " * 3 + word(k * 7919 + 1), f"l{k:03}") for i in range(3) for k in range(n)], "doc_id long, text string, lang string")
+    got = by_id(op1.language_id(df))
+    known = {i % n for i in got if zlib.crc32(str(i).encode()) % 5}
+    assert all(got[i]["lang_pred"] == f"l{i % n:03}" for i in got if i % n in known)
+
+
 def test_bloom_masks_hold_all_languages_of_a_gram():
     rng = np.random.default_rng(1)
     gram = rng.integers(0, 1 << 32, 500, dtype=np.uint64).astype(np.uint32)
