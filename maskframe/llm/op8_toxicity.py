@@ -1,20 +1,23 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A clause is a sequence of word classes: insult, threat, target, negation, report, other. Small
-transducers each mark what follows from one of them: negation marks the next words, reported speech the
-rest of the clause, a target the whole clause. They are composed into one machine, whose output tells
-for each insult or threat in which context it stands. A text's score is a logistic function of the
-weights so gathered over its clauses that match; words outside a match count for nothing.
-
-Target, negation, report and threat words are fixed. Insults are word beginnings learned from labels:
-those that toxic texts have and clean ones don't, chosen greedily until the toxic texts are covered
-several times. Copies and near copies count as one text in learning.
+A clause is read as a sequence of word classes: insult, harm, intent, target, negation, report, other.
+Five small transducers mark the words: insult tells the first insult of a clause from those that follow it,
+threat tells harm that is announced within a few words from harm that is only mentioned, target marks
+clauses that address somebody, negation the next words, reported speech the rest of the clause. They are
+composed into one machine, and a clause is one run of it; its output tells for each insult or threat in
+which context it stands. A text's score is a logistic function of the weights so gathered over its clauses
+that match; words outside a match count for nothing.
+
+The words of the other classes are fixed. Insults are word beginnings learned from labels: those that
+toxic texts have and clean ones don't, chosen greedily until the toxic texts are covered several times.
+Copies and near copies count as one text in learning. One automaton finds the places of insults and harm
+in a text, and only the clauses around them are cut into words.
 
 Learning sees a hash sample of about SAMPLE_TOXIC toxic and SAMPLE_CLEAN clean labelled documents, and
 at most LEXICON insults; so its size is bounded. Scoring sees every whole text.
 
 Defined results. Null and empty texts have no clauses and get the score of no match. Without labels of
-both kinds nothing is learned and all scores are 0. Repeated rows are scored alike. Documents labelled
+both kinds nothing is learned and all scores are that of no match, about 1e-13. Repeated rows are scored alike. Documents labelled
 more than once are toxic if any label says so.
 """
 
@@ -22,9 +25,11 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +49,7 @@ SUPPORT = 0.004
 PREFIX = range(3, 9)
 
 # Words of the grammar's classes in the four languages.
+INTENTS = frozenset("will shall gonna going must should wanna want let i'll we'll werde werden will wollen muss soll vais va vont allons veux dois voy vas va vamos quiero debo".split())
 TARGETS = frozenset("you your yours yourself u he she him her his they them their these those du dich dir dein deine ihr euch euer sie ihn ihm tu te toi ton ta tes vous votre vos il elle lui eux leur tú ti tus usted ustedes él ella ellos ellas vosotros".split())
 NEGATIONS = frozenset("not no never none nobody neither nor without isn't aren't wasn't don't doesn't didn't nicht kein keine keinen nie niemals ohne weder ne pas jamais aucun aucune sans ni no nunca jamás ningún ninguna sin tampoco".split())
 REPORTS = frozenset("said says say saying called calls claimed claims wrote writes reported quoted told according sagte sagt sagen nannte nennt schrieb laut behauptet dit disait appelle appelait selon écrit prétend dijo dice decía llamó llama según escribió afirma".split())
@@ -52,7 +58,9 @@ THREATS = frozenset("kill hurt destroy beat punch stab shoot burn töten schlage
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 _CLAUSE = re.compile(r"[.!?;:\n|,()\"«»“”]+")
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+CLASSES = OTHER, INSULT, HARM, INTENT, TARGET, NEGATION, REPORT = range(7)
+#: Words that negation and an intention reach.
+NEGATION_REACH, INTENT_REACH = 3, 4
 
 
 # Transducers ------------------------------------------------------------------------------------
@@ -62,13 +70,13 @@ OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 class Transducer:
     """A deterministic transducer over word classes that adds a mark to each word: arcs[state][class] is (state, mark)."""
 
-    arcs: list[dict[int, tuple[int, int]]]
-    marks: int = 2
+    arcs: list[list[tuple[int, int]]]
+    marks: int
 
     def compose(self, other: "Transducer") -> "Transducer":
-        """Both side by side on the same words; marks are pairs, as one number."""
+        """Both on the same words; states and marks are pairs, each as one number."""
         n = len(other.arcs)
-        arcs = [{c: (a[c][0] * n + b[c][0], a[c][1] * other.marks + b[c][1]) for c in range(6)} for a in self.arcs for b in other.arcs]
+        arcs = [[(a[c][0] * n + b[c][0], a[c][1] * other.marks + b[c][1]) for c in CLASSES] for a in self.arcs for b in other.arcs]
         return Transducer(arcs, self.marks * other.marks)
 
     def run(self, classes: list[int], state: int = 0) -> list[int]:
@@ -79,20 +87,29 @@ class Transducer:
         return out
 
 
+def insult() -> Transducer:
+    """1 for the first insult of a clause, 2 for each that follows it."""
+    return Transducer([[(1, 1 + seen) if c == INSULT else (seen, 0) for c in CLASSES] for seen in (0, 1)], 3)
+
+
+def threat(reach: int) -> Transducer:
+    """1 for harm, 2 for harm at most `reach` words after an intention."""
+    return Transducer([[(reach if c == INTENT else max(left - 1, 0), 0 if c != HARM else 1 + (left > 0)) for c in CLASSES] for left in range(reach + 1)], 3)
+
+
 def after(trigger: int, reach: int | None) -> Transducer:
     """Marks words after a word of class `trigger`: the next `reach` ones, or all to the end."""
     last = 1 if reach is None else reach
-    arcs = []
-    for state in range(last + 1):
-        left = last if reach is None and state else max(state - 1, 0)
-        arcs.append({c: (last if c == trigger else left, int(state > 0)) for c in range(6)})
-    return Transducer(arcs)
+    fade = lambda left: left if reach is None else max(left - 1, 0)
+    return Transducer([[(last if c == trigger else fade(left), int(left > 0)) for c in CLASSES] for left in range(last + 1)], 2)
 
 
-#: negation for three words, reported speech to the clause's end, a target anywhere before.
-GRAMMAR = after(NEGATION, 3).compose(after(REPORT, None)).compose(after(TARGET, None))
-#: Features: an insult or a threat by context; the strongest clause; clauses that match.
-FEATURES = 2 * GRAMMAR.marks + 2
+PARTS = [insult(), threat(INTENT_REACH), after(TARGET, None), after(NEGATION, NEGATION_REACH), after(REPORT, None)]
+GRAMMAR = reduce(Transducer.compose, PARTS)
+#: The state in which only a target has been seen: clauses with one begin there, as it may follow the insult.
+ADDRESSED = math.prod(len(t.arcs) for t in PARTS[3:])
+#: Features: matches by mark; the strongest clause; clauses that match.
+FEATURES = GRAMMAR.marks + 2
 
 
 @dataclass
@@ -110,35 +127,39 @@ class Grammar:
         a.make_automaton()
         return a
 
-    def word(self, w: str) -> tuple[int, float]:
-        best = max((self.insults.get(w[:k], 0.0) for k in PREFIX if k <= len(w)), default=0.0)
-        if best:
-            return INSULT, best
-        return THREAT if w in THREATS else TARGET if w in TARGETS else NEGATION if w in NEGATIONS else REPORT if w in REPORTS else OTHER, 1.0
+    def symbol(self, word: str, insulting: float) -> int:
+        """The class of a word, of which the automaton knows whether it begins like an insult."""
+        if insulting:
+            return INSULT
+        return next((c for c, words in ((HARM, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (INTENT, INTENTS)) if word in words), OTHER)
 
     def features(self, text: str, automaton) -> np.ndarray | None:
         """What the grammar gathers from a text; None if nothing in it matches."""
         text = text.lower()
-        if next((1 for end, w in automaton.iter(text) if not (b := end - len(w)) + 1 or not text[b].isalpha()), None) is None:
+        places: dict[int, float] = {}
+        for end, w in automaton.iter(text):
+            begin = end - len(w) + 1
+            if not begin or not text[begin - 1].isalpha():
+                places[begin] = max(places.get(begin, 0.0), self.insults.get(w, 0.0))
+        if not places:
             return None
+        edges = [0, *(x for m in _CLAUSE.finditer(text) for x in m.span()), len(text)]
         out, strongest, clauses = np.zeros(FEATURES), 0.0, 0
-        for clause in _CLAUSE.split(text):
-            found = [self.word(w) for w in _WORD.findall(clause)]
-            classes = [c for c, _ in found]
-            hits = [i for i, c in enumerate(classes) if c in (INSULT, THREAT)]
-            if not hits:
+        for k in sorted({bisect_right(edges, p) - 1 for p in places}):
+            words = list(_WORD.finditer(text, edges[k], edges[k + 1]))
+            weights = [places.get(m.start(), 0.0) for m in words]
+            classes = [self.symbol(m[0], w) for m, w in zip(words, weights)]
+            if INSULT not in classes and HARM not in classes:
                 continue
-            # The target may follow: the machine begins where it has seen one.
-            marks = GRAMMAR.run(classes, 1 if TARGET in classes else 0)
             total = 0.0
-            for i in hits:
-                kind = 0 if classes[i] == INSULT else 1
-                out[kind * GRAMMAR.marks + marks[i]] += found[i][1]
-                total += found[i][1]
+            for c, weight, mark in zip(classes, weights, GRAMMAR.run(classes, ADDRESSED if TARGET in classes else 0)):
+                if c in (INSULT, HARM):
+                    out[mark] += weight or 1.0
+                    total += weight or 1.0
             strongest, clauses = max(strongest, total), clauses + 1
         if not clauses:
             return None
-        out[: 2 * GRAMMAR.marks] = np.log1p(out[: 2 * GRAMMAR.marks])
+        out[: GRAMMAR.marks] = np.log1p(out[: GRAMMAR.marks])
         out[-2:] = math.log1p(strongest), math.log1p(clauses)
         return out
 
