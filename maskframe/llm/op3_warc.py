@@ -8,6 +8,14 @@ reaches, in a number of rounds that is the logarithm of the splits per file. Onl
 magic inside a payload is never reached. Records cut by a split or by a false candidate are put together
 from their segments.
 
+A split that begins within a run of line ends can make the text source lose or repeat some of them. A file
+whose segments don't add up to its size, or whose chain breaks before its end, is read once more by single
+line feeds, at which no split is ambiguous; its lines are sorted by place and go through one task as a stream,
+so neither such a file nor a record's splits have to fit into memory as a whole. A broken file is cut
+off at the break in both readings.
+
+Tables that grow with the records are joined by sorting; others are broadcast only if counted to be few.
+
 Defined results. A null payload is empty. Null page ids are kept; a page without an id is a response
 unless a page with one has the same payload. Repeated rows are repeated records; all rows with the
 least id of a payload are responses. What follows a broken record in a file can't be reached and is left
@@ -26,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import materialise, shipped
+from ._common import materialise, shipped, sized, slices
 
 LEAST_REVISIT = 100
 DATE = "2024-01-01T00:00:00Z"
@@ -52,7 +60,7 @@ def write_warc(pages: DataFrame, path: str, page_id: str = "page_id", url: str =
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.regexp_replace(F.col(url), r"[\r\n]", "").alias("url"), raw.alias("html"), F.octet_length(raw).alias("n"), F.sha2(raw.cast("binary"), 256).alias("digest"))
     # Only payloads that repeat are looked up; a frequent one is a key on the side that adaptive execution splits.
     firsts = rows.where(F.col("n") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1 and first is not null").select(F.col("digest").alias("first_digest"), "first")
-    firsts = materialise(firsts, "warc-firsts")  # its size is then known when the join is planned
+    firsts = sized(materialise(firsts, "warc-firsts"))
     joined = rows.join(firsts, F.col("digest") == F.col("first_digest"), "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n").cast("string"), F.lit(END))
@@ -149,46 +157,78 @@ def _scan(with_payload: bool, all_bodies: bool):
     return run
 
 
-def _scan_whole(with_payload: bool, all_bodies: bool):
-    def pieces(batches: Iterable[pa.RecordBatch]):
-        for b in batches:
-            for f, content in zip(b.column("file").to_pylist(), b.column("value").to_pylist()):
-                parts = content.split(_END)
-                for p in parts[:-1] if parts[-1] == b"" else parts:
-                    yield f, 0, p
+def _pieces(lines: Iterable[tuple[str, bytes]]) -> Iterator[tuple[str, int, bytes]]:
+    """The pieces between record terminators of files that come as lines, in order, without their line feeds."""
+    file, held = None, []
+
+    def piece(upto: int) -> tuple[str, int, bytes]:
+        return file, 0, b"\n".join(held[:upto])
 
-    return lambda batches: _batches(_cut(pieces(batches)), with_payload, all_bodies)
+    for f, line in lines:
+        if f != file:
+            if held:
+                yield piece(len(held))
+            file, held = f, []
+        held.append(line)
+        # A terminator: a line that ends with a carriage return, and one that is nothing else.
+        if len(held) > 1 and line == b"\r" and held[-2].endswith(b"\r"):
+            held[-2:] = [held[-2][:-1]]
+            yield piece(len(held))
+            held = []
+    if held and held != [b""]:
+        yield piece(len(held))
+
+
+def _scan_lines(with_payload: bool, all_bodies: bool):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lines = ((f, v) for batch in slices(batches, 1024) for f, v in zip(batch.column("file").to_pylist(), batch.column("value").to_pylist()))
+        return _batches(_cut(_pieces(lines)), with_payload, all_bodies)
+
+    return run
 
 
 class Archive:
     """The bytes of archives as segments, cut at candidates."""
 
     def __init__(self, spark: SparkSession, path: str, with_payload: bool):
-        self.spark, self.with_payload, self.odd = spark, with_payload, []
-        text = spark.read.option("lineSep", END).text(path)
-        self.lines = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.col("value").cast("binary").alias("value"))
+        self.spark, self.path, self.with_payload = spark, path, with_payload
+        self.odd: list[str] = []
+        self.sizes = materialise(spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size")), "warc-files")  # a listing; no content is read
         self.segments = materialise(self.scan(), "warc-segments")
-        # A split's start inside a run of line ends can make the reader lose or repeat bytes: such a file is read as one.
-        sizes = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"))  # a listing; no content is read
-        tiled = self.segments.groupBy("file").agg(F.sum("length").alias("length")).join(sizes, "file")
-        self.odd = [r["file"] for r in tiled.where("length <> size and length <> size + 4").select("file").collect()]
-        if self.odd:
+        tiled = self.segments.groupBy("file").agg(F.sum("length").alias("length")).join(sized(self.sizes), "file")
+        self.read_by_lines(tiled.where("length <> size").select("file"))
+
+    def text(self, separator: str, paths: str | list[str]) -> DataFrame:
+        lines = self.spark.read.option("lineSep", separator).text(paths)
+        return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.col("value").cast("binary").alias("value"))
+
+    def read_by_lines(self, files: DataFrame) -> bool:
+        """Read these files once more, by lines; whether there are any that weren't read so yet.
+
+        Their names come to the driver, whose index of the path's files has them all."""
+        found = sorted({r["file"] for r in files.collect()} - set(self.odd))
+        if found:
+            self.odd += found
             self.segments = materialise(self.scan(), "warc-segments")
+        return bool(found)
 
     def scan(self, all_bodies: bool = False) -> DataFrame:
         schema = SEGMENTS.rstrip(", ") if all_bodies else SEGMENTS + RECORD + PAYLOAD * self.with_payload
-        lines = self.lines.where(~F.col("file").isin(self.odd)) if self.odd else self.lines
-        found = lines.transform(shipped).mapInArrow(_scan(self.with_payload, all_bodies), schema)
-        if self.odd:
-            whole = self.spark.read.format("binaryFile").load(self.odd).select(F.col("_metadata.file_path").alias("file"), F.col("content").alias("value"))
-            found = found.unionByName(whole.transform(shipped).mapInArrow(_scan_whole(self.with_payload, all_bodies), schema))
-        return found
+        lines = self.text(END, self.path)
+        if not self.odd:
+            return lines.transform(shipped).mapInArrow(_scan(self.with_payload, all_bodies), schema)
+        names = self.spark.createDataFrame([(f,) for f in self.odd], "file string")
+        found = lines.join(sized(names), "file", "left_anti").select(*lines.columns).transform(shipped).mapInArrow(_scan(self.with_payload, all_bodies), schema)
+        single = self.text("\n", self.odd).withColumn("line", F.monotonically_increasing_id())  # rises within a split
+        parts = min(len(self.odd), int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        ordered = single.repartition(parts, "file").sortWithinPartitions("file", "split", "line").select("file", "value")
+        return found.unionByName(ordered.transform(shipped).mapInArrow(_scan_lines(self.with_payload, all_bodies), schema))
 
     def bodies(self, pieces: DataFrame) -> DataFrame:
         """The pieces' bodies; a second scan if one of them looked like a record of its own."""
-        place = ["file", "split", "at"]
-        found = self.segments.select(*place, "body").join(pieces, place)
-        return self.scan(all_bodies=True).select(*place, "body").join(pieces, place) if not found.where("body is null").isEmpty() else found
+        place, side = ["file", "split", "at"], sized(pieces)
+        found = self.segments.select(*place, "body").join(side, place)
+        return self.scan(all_bodies=True).select(*place, "body").join(side, place) if not found.where("body is null").isEmpty() else found
 
 
 # Chains -----------------------------------------------------------------------------------------
@@ -216,29 +256,29 @@ def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.loc[pdf["off"].isin(passed), ["file", "split", "at", "off", "next"]]
 
 
-def reachable(meta: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The segments' places in their files, and the candidates that chains from the files' starts reach.
+def reachable(meta: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The splits' places in their files, the segments' places, and the candidates that chains from the files' starts reach.
 
     meta: file, split, at, length and next of all segments."""
-    splits = meta.groupBy("file", "split").agg(F.sum("length").alias("total"))  # a row a split
-    by_file = Window.partitionBy("file").orderBy("split")
+    splits = meta.groupBy("file", "split").agg(F.sum("length").alias("total"))
+    by_file = Window.partitionBy("file").orderBy("split")  # a row a split
     splits = splits.withColumns({"stop": F.sum("total").over(by_file), "rank": F.row_number().over(by_file)})
     splits = materialise(splits.withColumn("base", F.col("stop") - F.col("total")), "warc-splits")
-    placed = meta.join(splits.drop("total", "rank"), ["file", "split"]).withColumns({"off": F.col("base") + F.col("at"), "next": F.col("base") + F.col("next")})
+    placed = meta.join(sized(splits.drop("total", "rank")), ["file", "split"]).withColumns({"off": F.col("base") + F.col("at"), "next": F.col("base") + F.col("next")})
     cands = materialise(placed.where("next is not null").select("file", "split", "at", "off", "next", "stop"), "warc-candidates")
     most = splits.agg(F.max("rank")).first()[0] or 1
     reach = splits.select("file", F.lit(0).cast("long").alias("off")).distinct()
     if most > 1:
         jumps = materialise(cands.transform(shipped).groupBy("file", "split").applyInPandas(_exits, "file string, off long, exit long").where("exit >= 0"), "warc-jumps")
         for k in range(math.ceil(math.log2(most))):
-            ahead = reach.join(jumps, ["file", "off"]).select("file", F.col("exit").alias("off"))
+            ahead = reach.hint("merge").join(jumps, ["file", "off"]).select("file", F.col("exit").alias("off"))
             reach = materialise(reach.unionByName(ahead).distinct(), f"warc-reach-{k}")
-            twice = jumps.select("file", F.col("off").alias("from"), F.col("exit").alias("off")).join(jumps, ["file", "off"])
+            twice = jumps.select("file", F.col("off").alias("from"), F.col("exit").alias("off")).join(jumps.hint("merge"), ["file", "off"])
             jumps = materialise(twice.select("file", F.col("from").alias("off"), "exit"), f"warc-jumps-{k}")
-    entries = reach.withColumn("entry", F.lit(True))
-    marked = cands.join(entries, ["file", "off"], "left").withColumn("entry", F.coalesce("entry", F.lit(False)))
+    entries = materialise(reach.withColumn("entry", F.lit(True)), "warc-entries")  # about one a split
+    marked = cands.join(sized(entries), ["file", "off"], "left").withColumn("entry", F.coalesce("entry", F.lit(False)))
     passed = marked.transform(shipped).groupBy("file", "split").applyInPandas(_walk, "file string, split long, at long, off long, next long")
-    return placed, materialise(passed, "warc-reached")
+    return splits, placed, materialise(passed, "warc-reached")
 
 
 # Records ----------------------------------------------------------------------------------------
@@ -284,18 +324,28 @@ def _joined(parts: Column) -> Column:
 def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """One row a record: page_id, url, record_type, refers_to, payload_bytes, payload_digest, intact and, if asked for, the payload."""
     archive = Archive(spark, path, with_payload)
-    meta = archive.segments.select("file", "split", "at", "length", "next")
-    placed, reached = reachable(meta)
     place = ["file", "split", "at"]
-    # Records in one segment need no join but with the few candidates that aren't records.
-    false = materialise(meta.where("next is not null").select(*place).join(reached, place, "left_anti"), "warc-false")
+    while True:
+        meta = archive.segments.select("file", "split", "at", "length", "next")
+        splits, placed, reached = reachable(meta)
+        # A chain has to end where its file does; one that doesn't is followed once more by lines.
+        ends = splits.groupBy("file").agg(F.max("stop").alias("stop")).join(reached.groupBy("file").agg(F.max("next").alias("upto")), "file", "left")
+        if not archive.read_by_lines(ends.where("upto is null or upto < stop").select("file")):
+            break
+    # Records in one segment need no join but with the candidates that aren't records, which are few but in odd archives.
+    false = materialise(meta.where("next is not null").select(*place).join(reached.hint("merge"), place, "left_anti"), "warc-false")
     fields = [n for n, _ in _fields(with_payload)]
-    plain = archive.segments.where((F.col("next").isNotNull()) & F.col("body").isNull()).join(false, place, "left_anti").select(fields)
-    # The others: a segment belongs to the last record that begins before it.
-    flagged = placed.join(reached.select(*place, F.col("off").alias("record")), place, "left")
-    size = F.when(F.col("record").isNotNull(), F.struct(F.col("record"), (F.col("next") - F.col("off") > F.col("length")).alias("cut"), F.col("next").alias("upto")))
-    owned = flagged.withColumn("owner", F.last(size, ignorenulls=True).over(Window.partitionBy("file").orderBy("off")))
+    plain = archive.segments.where((F.col("next").isNotNull()) & F.col("body").isNull()).join(sized(false), place, "left_anti").select(fields)
+    # The others: a segment belongs to the last record that begins before it, in its split or else in those before.
+    record = F.struct(F.col("off").alias("record"), (F.col("next") - F.col("off") > F.col("length")).alias("cut"), F.col("next").alias("upto"))
+    known = materialise(placed.join(reached.select(*place).withColumn("_true", F.lit(True)).hint("merge"), place, "left").select(*place, "off", F.when(F.col("_true"), record).alias("own")), "warc-owned")
+    last = known.where("own is not null").groupBy("file", "split").agg(F.max_by("own", "off").alias("last"))
+    carried = F.last("last", ignorenulls=True).over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1))  # a row a split
+    carry = materialise(splits.select("file", "split").join(last, ["file", "split"], "left").select("file", "split", carried.alias("before")), "warc-carried")
+    within = F.last("own", ignorenulls=True).over(Window.partitionBy("file", "split").orderBy("off"))
+    owned = known.withColumn("within", within).join(sized(carry), ["file", "split"]).withColumn("owner", F.coalesce("within", "before"))
     pieces = owned.where("owner.cut and off < owner.upto").select(*place, "off", F.col("owner.record").alias("record"), (F.col("owner.upto") - F.col("owner.record")).alias("size"))
     glued = archive.bodies(materialise(pieces, "warc-pieces")).groupBy("file", "record", "size").agg(F.collect_list(F.struct("off", "body")).alias("parts"))  # as large as one record
+    # The text source gives no terminator at a file's end, where it is counted all the same.
     glued = glued.select("size", _joined(F.col("parts")).alias("body")).where(F.octet_length("body") >= F.col("size")).select("body")
     return plain.unionByName(glued.transform(shipped).mapInArrow(_parsed(with_payload), RECORD + PAYLOAD * with_payload))

@@ -203,7 +203,7 @@ def test_warc_splits(spark, sf):
     assert {r["page_id"] for r in got} == set(want) and all(r["intact"] for r in got)
 
 
-def test_archives_read_as_one_give_the_same_segments(spark, sf):
+def test_archives_read_by_lines_give_the_same_segments(spark, sf):
     path = scratch_path(spark, "warc-test")
     op3.write_warc(spark.read.parquet(f"{sf}/pages.parquet").repartition(2), path)
     archive = op3.Archive(spark, path, False)
@@ -214,6 +214,47 @@ def test_archives_read_as_one_give_the_same_segments(spark, sf):
     assert place(archive.scan()) == split
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from([b"\r\n", b"\r", b"\n", b"a", b"WARC/1.1"]), max_size=20))
+def test_pieces_of_lines_are_those_between_terminators(parts):
+    content = b"".join(parts)
+    if content.endswith(b"\r\n\r"):
+        content += b"\n"  # the source doesn't tell these apart
+    lines = content.split(b"\n")
+    if lines[-1] == b"":
+        lines.pop()  # as the text source does
+    *want, rest = content.split(b"\r\n\r\n")
+    if rest := rest.removesuffix(b"\n"):  # the source doesn't tell whether the last line is ended
+        want.append(rest)
+    assert [p for _, _, p in op3._pieces(("f", x) for x in lines)] == want
+
+
+def test_warc_without_a_last_terminator_and_broken_files(spark, tmp_path):
+    """Unterminated files, a file cut within a record, one with a broken head, and one with text behind its records."""
+    record = lambda i, body: f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:maskframe:page:{i}>\r\nContent-Length: {len(body) + 19}\r\n\r\nHTTP/1.1 200 OK\r\n\r\n{body}\r\n\r\n"
+    files = {
+        "whole": record(1, "one") + record(2, "two\r\n\r\n\r\n"),
+        "open": record(3, "three") + record(4, "four")[:-4],
+        "cut": record(5, "five") + record(6, "six" * 40)[:-50],
+        "bad": record(7, "seven") + record(8, "eight").replace("Content-Length: 24", "Content-Length: 20") + record(9, "nine"),
+        "tail": record(10, "ten") + "something else\r\n\r\n",
+        "runs": record(11, "\r\n" * 9) + record(12, "\r\n\r\n" + record(99, "inner") + "\r\n") + record(13, ""),
+    }
+    for name, text in files.items():
+        (tmp_path / name).write_bytes(text.encode())
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("64", "1000000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            got = {r["page_id"]: bytes(r["payload"]).decode() for r in op3.read_warc(spark, str(tmp_path)).collect()}
+            assert {i: got[i] for i in (1, 2, 3, 4, 5, 7, 10, 11, 12, 13)} == {1: "one", 2: "two\r\n\r\n\r\n", 3: "three", 4: "four", 5: "five", 7: "seven", 10: "ten", 11: "\r\n" * 9, 12: "\r\n\r\n" + record(99, "inner") + "\r\n", 13: ""}
+            assert set(got) <= {*range(1, 9), *range(10, 14)} and 6 not in got
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 @pytest.mark.parametrize("size", ["97", "600"])
 def test_warc_splits_inside_line_ends(spark, size):
     """Payloads of line ends and of records, cut everywhere."""
