@@ -14,9 +14,11 @@ and the rest is induced from it, as in induced suffix sorting, but the sample is
    (byte, rank of the suffix to the right), and their common-prefix values from the least value between
    the ranks; so on to the segments' starts. A value of LENGTH or more to a neighbour marks a window.
 
-The spilling sorts of steps 2 and 3 take the place of disk-backed queues: a task holds one bounded group
-of anchors at a time. An anchor with more than HOT_SEGMENTS open segments is settled by window hashes,
-which spread.
+The spilling sorts of steps 2 and 3 take the place of disk-backed queues: a task holds one group of anchors
+at a time. What a group may hold is settled by counts before the sort: an anchor with more than
+HOT_SEGMENTS segments, such as that of a line that very many documents have, doesn't go to one task. Its
+segments are counted by their bytes with partial sums; equal ones are settled so, and one of each of the
+others goes on by the hashes of its windows, which spread. Both ways mark the same windows.
 
 Defined results. A null text has no bytes. Texts under LENGTH bytes lose nothing. Repeated rows are
 copies and lose all bytes if they have LENGTH or more. Null ids are kept. Empty tables give empty results.
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import chunks, materialise, mix64, shipped, slices
+from ._common import chunks, materialise, mix64, shipped, sized, slices
 
 LENGTH = 200
 ANCHOR = 64
@@ -46,7 +48,8 @@ _PLACE_BITS = np.uint64(26)
 
 SPAN, SEGMENT = 1, 0
 ROWS = "kind int, anchor long, sup long, multi boolean, blob binary, start int, windows int, at int"
-OPEN = "kind int, anchor long, ref boolean, blob binary, start int, windows int, at int"
+OPEN = "kind int, anchor long, blob binary, start int, windows int, at int"
+BODIES = "anchor long, hot boolean, blob binary, start int, at int, body binary"
 
 _VALUE = mix64(np.arange(1, 257, dtype=np.uint64))
 _STEP = 0x9E3779B97F4A7C15 | 1
@@ -156,9 +159,9 @@ def _scan(length: int, anchor: int):
 
 
 def _resolve(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted by anchor, then bytes: spans of repeated segments, and the open ones (one of each if repeated, as a reference)."""
+    """Sorted by anchor, then bytes: spans of repeated segments, and the open ones, one of each if repeated."""
     kept = ("anchor", "sup", "multi", "blob", "start", "windows", "at")
-    names = ["kind", "anchor", "ref", "blob", "start", "windows", "at"]
+    names = ["kind", "anchor", "blob", "start", "windows", "at"]
 
     def settle(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         anchor, sup, multi, blob, start, windows, at = cols
@@ -174,11 +177,9 @@ def _resolve(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top = np.append(True, ~same_anchor)[first]  # the anchor's first group
         variants = np.bincount(np.cumsum(top) - 1)[np.cumsum(top) - 1]
         span = many[group] & ~twin
-        opened = first[variants > 1]
-        for kind, rows, ref in ((SPAN, np.flatnonzero(span), None), (SEGMENT, opened, many[variants > 1])):
+        for kind, rows in ((SPAN, np.flatnonzero(span)), (SEGMENT, first[variants > 1])):
             if len(rows):
-                flags = np.zeros(len(rows), bool) if ref is None else ref
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), kind, np.int32)), pa.array(anchor[rows]), pa.array(flags), pa.array(blob[rows], pa.binary()), *(pa.array(c[rows].astype(np.int32)) for c in (start, windows, at))], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), kind, np.int32)), pa.array(anchor[rows]), pa.array(blob[rows], pa.binary()), *(pa.array(c[rows].astype(np.int32)) for c in (start, windows, at))], names=names)
 
     held: list[list[np.ndarray]] = []
     for batch in batches:
@@ -297,9 +298,9 @@ def _gather(length: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             for text, blob, parts in zip(*(batch.column(c).to_pylist() for c in ("text", "blob", "parts"))):
-                anchor, start, windows, at = zip(*((p["anchor"], p["start"], p["windows"], p["at"]) for p in parts))
+                anchor, hot, start, windows, at = zip(*((p["anchor"], p["hot"], p["start"], p["windows"], p["at"]) for p in parts))
                 body = [text[s : s + w - 1 + length] for s, w in zip(start, windows)]
-                yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array([blob] * len(body), pa.binary()), pa.array(start, pa.int32()), pa.array(at, pa.int32()), pa.array(body, pa.binary())], names=["anchor", "blob", "start", "at", "body"])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(hot, pa.bool_()), pa.array([blob] * len(body), pa.binary()), pa.array(start, pa.int32()), pa.array(at, pa.int32()), pa.array(body, pa.binary())], names=["anchor", "hot", "blob", "start", "at", "body"])
 
     return run
 
@@ -325,23 +326,35 @@ def repeated_spans(docs: DataFrame, copies: DataFrame, length: int = LENGTH, anc
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = materialise(docs.select("text", "blob").transform(shipped).mapInArrow(_scan(length, anchor), ROWS), "segments")
-    by_anchor = rows.where(F.col("kind") == SEGMENT).repartition(parts, "anchor").sortWithinPartitions("anchor", "sup", "blob", "start")
+    place = ["blob", "start", "windows"]
+    every = rows.where(F.col("kind") == SEGMENT)
+    hot = materialise(every.groupBy("anchor").count().where(F.col("count") > hot_segments).select("anchor"), "hot-anchors")
+    side = sized(hot)
+    by_anchor = every.join(side, "anchor", "left_anti").repartition(parts, "anchor").sortWithinPartitions("anchor", "sup", "blob", "start")
     settled = materialise(by_anchor.transform(shipped).mapInArrow(_resolve, OPEN), "settled-segments")
-    spans = rows.where(F.col("kind") == SPAN).select("blob", "start", "windows").unionByName(settled.where(F.col("kind") == SPAN).select("blob", "start", "windows"))
-    opened = settled.where(F.col("kind") == SEGMENT)
-    by_text = opened.groupBy("blob").agg(F.collect_list(F.struct("anchor", "start", "windows", "at")).alias("parts"))  # as long as the text at most
+    spans = rows.where(F.col("kind") == SPAN).select(place).unionByName(settled.where(F.col("kind") == SPAN).select(place))
+    opened = settled.where(F.col("kind") == SEGMENT).select("anchor", F.lit(False).alias("hot"), *place, "at")
+    some = not hot.isEmpty()
+    if some:
+        crowd = every.join(side, "anchor", "left_semi")
+        groups = crowd.groupBy("anchor", "sup").agg(F.min(F.struct("blob", "start", "windows", "at")).alias("first"), F.max(F.struct("blob", "start", "windows", "at")).alias("last"), F.bool_or("multi").alias("multi"))
+        groups = materialise(groups.select("anchor", "sup", "first", (F.col("multi") | (F.col("first") != F.col("last"))).alias("many")), "hot-segments")
+        spans = spans.unionByName(crowd.join(sized(groups.where("many").select("anchor", "sup")), ["anchor", "sup"]).select(place))
+        differing = groups.groupBy("anchor").count().where(F.col("count") > 1).select("anchor")  # no more than there are hot anchors
+        more = groups.join(sized(materialise(differing, "open-anchors")), "anchor", "left_semi").select("anchor", F.lit(True).alias("hot"), "first.*")
+        opened = opened.unionByName(more)
+    by_text = opened.groupBy("blob").agg(F.collect_list(F.struct("anchor", "hot", "start", "windows", "at")).alias("parts"))  # as long as the text at most
     by_text = by_text.join(copies.select("blob", "least"), "blob")
     # One copy of each text; rows that repeat an id give equal segments, which count once.
     held = docs.select("doc_id", "text", F.col("blob").alias("held")).join(by_text, (F.col("held") == F.col("blob")) & F.col("doc_id").eqNullSafe(F.col("least"))).select("text", "blob", "parts")
-    bodies = materialise(held.transform(shipped).mapInArrow(_gather(length), "anchor long, blob binary, start int, at int, body binary"), "open-segments")
-    hot = materialise(opened.groupBy("anchor").count().where(F.col("count") > hot_segments).select("anchor"), "hot-anchors")
-    some = not hot.isEmpty()
-    cool = bodies.join(hot, "anchor", "left_anti") if some else bodies
+    bodies = materialise(held.transform(shipped).mapInArrow(_gather(length), BODIES), "open-segments")
+    cool = bodies.where(~F.col("hot")).drop("hot")
     found = cool.repartition(parts, "anchor").sortWithinPartitions("anchor", "blob", "start").transform(shipped).mapInArrow(_sort_open(length), "blob binary, start int, windows int")
     spans = spans.unionByName(found)
     if some:
-        each = bodies.join(hot, "anchor", "left_semi").transform(shipped).mapInArrow(_window_hashes(length), "anchor long, back int, hash long, blob binary, start int").distinct()
-        shared = each.groupBy("anchor", "back", "hash").count().where(F.col("count") > 1).drop("count")
+        each = bodies.where("hot").drop("hot").transform(shipped).mapInArrow(_window_hashes(length), "anchor long, back int, hash long, blob binary, start int")
+        # Rows that repeat an id give equal places, so a window is shared if it has two different ones.
+        shared = each.groupBy("anchor", "back", "hash").agg(F.min(F.struct("blob", "start")).alias("a"), F.max(F.struct("blob", "start")).alias("b")).where("a <> b").select("anchor", "back", "hash")
         spans = spans.unionByName(each.join(shared, ["anchor", "back", "hash"]).select("blob", "start", F.lit(1).alias("windows")))
     return spans
 

@@ -418,7 +418,7 @@ def test_suffix_dedup(spark, sf, texts):
         assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == want
 
 
-@pytest.mark.parametrize("hot", [1_000, 2])
+@pytest.mark.parametrize("hot", [1_000, 5, 2, 1])
 def test_suffix_dedup_on_dense_repeats(spark, hot):
     rng = random.Random(5)
     parts = ["".join(rng.choice("ab") for _ in range(rng.randint(5, 60))) for _ in range(12)]
@@ -429,6 +429,33 @@ def test_suffix_dedup_on_dense_repeats(spark, hot):
         assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == want
 
 
+def test_one_line_in_very_many_documents(spark, monkeypatch):
+    """A passage in different surroundings has an anchor with a segment a document; no task of its sort gets them all."""
+    rng = random.Random(6)
+    line = "this is the text of a licence that very many documents have in common " * 4
+    around = lambda: "".join(rng.choice("abcdefgh ") for _ in range(120))
+    n = 6000
+    texts = [f"{around()}{line}{around()}" for _ in range(n)] + [f"{around()}{line}{around()}" * (i % 2) for i in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    # What goes to the sort by anchor: the rows of each task.
+    sorts, real = [], type(df).sortWithinPartitions
+
+    def watched(self, *columns, **named):
+        out = real(self, *columns, **named)
+        sorts.append(out)
+        return out
+
+    monkeypatch.setattr(type(df), "sortWithinPartitions", watched)
+    got = by_id(op6.remove_repeats(df, with_text=False))
+    monkeypatch.undo()
+    assert op6.HOT_SEGMENTS < n and len(sorts) == 2
+    for rows in sorts:
+        per_task = [r["count"] for r in rows.groupBy("anchor").count().collect()]
+        assert max(per_task, default=0) <= op6.HOT_SEGMENTS
+    for i, want in enumerate(brute_repeats([t.encode() for t in texts], 200)):
+        assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == want
+
+
 def test_long_texts_are_scanned_in_parts(monkeypatch):
     monkeypatch.setattr(op6, "SCAN_BYTES", 100)
     rng = random.Random(3)
