@@ -196,6 +196,7 @@ def shards(docs: DataFrame, n_shards: int = 8, doc_id: str = "doc_id", text: str
         (F.coalesce(F.octet_length(raw), F.lit(0)) + 1).cast("long").alias("size"),
         F.coalesce(F.crc32(raw), F.lit(0)).cast("long").alias("text_crc32"),
         F.xxhash64(F.col(text), F.col(text).isNull()).alias("group"),  # two groups that collide stay together, which harms nothing
+        F.monotonically_increasing_id().alias("row"),  # written, so it stays; null or repeated ids don't crowd a part
     )
     rows = materialise(rows, "shard-rows")
     groups = rows.groupBy("group").agg(F.sum("size").alias("size"))
@@ -209,14 +210,14 @@ def shards(docs: DataFrame, n_shards: int = 8, doc_id: str = "doc_id", text: str
     large = spark.createDataFrame([(r["group"], s) for r, s in zip(items, where) if r["group"] is not None], "`group` long, own_shard int")
     small = spark.createDataFrame([(r["bundle"], s) for r, s in zip(items, where) if r["bundle"] is not None], "bundle long, bundle_shard int")
     placed = (
-        rows.withColumns({"bundle": F.pmod("group", F.lit(BUNDLES)), "part": F.pmod(F.xxhash64("doc_id"), F.lit(SLOT_PARTS))})
+        rows.withColumns({"bundle": F.pmod("group", F.lit(BUNDLES)), "part": F.pmod(F.xxhash64("row"), F.lit(SLOT_PARTS))})
         .join(F.broadcast(large), "group", "left")
         .join(F.broadcast(small), "bundle", "left")
         .withColumn("shard", F.coalesce("own_shard", "bundle_shard"))
     )
     counts = placed.groupBy("shard", "part").agg(F.count("*").alias("n"))
     before = counts.select("shard", "part", (F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")).alias("before"))  # n_shards * SLOT_PARTS rows
-    within = F.row_number().over(Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32"))
+    within = F.row_number().over(Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32", "row"))
     return (
         placed.select("doc_id", "size", "text_crc32", "shard", "part", within.alias("within"))
         .join(F.broadcast(before), ["shard", "part"])
