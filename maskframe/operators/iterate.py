@@ -51,3 +51,12 @@ def checked(value: Column, condition: Column, message: str) -> Column:
 def observed(df: DataFrame, name: str, *metrics: Column) -> DataFrame:
     """df itself; metrics are reported when it has run."""
     return df.observe(name, *(metrics or (F.count("*").alias("rows"),)))
+
+
+def annotated(value: Column, name: str, **notes: object) -> Column:
+    """The value itself under a name, with notes that travel with the column as its metadata."""
+    return value.alias(name, metadata=notes)
+
+
+def notes_of(df: DataFrame, column: str) -> dict:
+    return dict(df.schema[column].metadata)

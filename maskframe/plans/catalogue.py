@@ -17,6 +17,7 @@ from ..functions import fixed as X
 from ..functions import scalars as S
 from ..functions import wide as L
 from ..functions.typed import Typed
+from ..operators import cipher as E
 from ..operators import hashing as H
 from ..operators import iterate as I
 from ..operators import joins as J
@@ -563,6 +564,22 @@ def typed_operators(s, d):
 query("regroup", f"SELECT o_orderkey, x AS a, y AS b, concat(o_orderkey, ',', x + 1) AS c FROM {SQL_O}")(
     lambda s, d: numbers(s, d).select("o_orderkey", V.reshape(F.array(F.array(x(), y()), F.array(key(), x() + 1)), [2, [2, "i64"]], ("i64", "i64", [2, "i64"])).alias("t")).select("o_orderkey", V.tuple_get(F.col("t"), 0).alias("a"), V.tuple_get(F.col("t"), 1).alias("b"), F.array_join(V.tuple_get(F.col("t"), 2).cast("array<string>"), ",").alias("c"))
 )
+
+
+@query("cipher_join", f"SELECT c_custkey, n_orders FROM {SQL_A} a JOIN {SQL_B} b ON c_custkey = o_custkey")
+def cipher_join(s, d):
+    """A join of keyed images of the keys: equal keys, and only they, have equal images."""
+    left, right = (E.encrypt(df, k, 0x0123456789ABCDEF0123456789ABCDEF, "image") for df, k in ((customers(s, d).select("c_custkey"), "c_custkey"), (order_totals(s, d).select("o_custkey", "n_orders"), "o_custkey")))
+    return left.join(right.select("image", "n_orders"), "image").select("c_custkey", "n_orders")
+
+
+@query("annotations", f"SELECT o_orderkey, x AS v, 'shared' AS note FROM {SQL_O}")
+def annotations(s, d):
+    """A column with a note, which is read back from the schema."""
+    df = numbers(s, d).select("o_orderkey", I.annotated(x(), "v", status="shared"))
+    return df.withColumn("note", F.lit(I.notes_of(df, "v")["status"]))
+
+
 _SQL_PAD = "SELECT CAST(c_nationkey % 5 AS INTEGER) AS _shard, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS keys FROM customer GROUP BY 1"
 
 

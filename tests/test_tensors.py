@@ -8,12 +8,15 @@ from maskframe.functions import containers as V
 from maskframe.functions import scalars as S
 from maskframe.functions import wide as L
 from maskframe.functions.typed import Typed
+from maskframe.operators import cipher
 from maskframe.operators import hashing as H
+from maskframe.operators import iterate as I
 from maskframe.operators import joins as J
 from maskframe.operators import order as O
 from maskframe.operators import scratch
 from maskframe.operators import tensor as T
 from maskframe.operators.table import POS, VALID
+from maskframe.plans import graphs, inspect
 from maskframe.plans.library import Library
 from maskframe.sources import numpy_io as N
 from maskframe.sources import typed_json as Y
@@ -290,3 +293,43 @@ def test_scratch_tables_belong_to_scopes(spark):
     assert not os.path.exists(outer[1])
     assert "BroadcastHashJoin" in df.sparkSession.range(9).join(scratch.sized(spark.range(3)), "id")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in spark.range(9).join(scratch.sized(spark.range(3), 2), "id")._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("block,boxes,rounds", [(128, 10, 20), (128, 42, 11), (80, 5, 3)])
+def test_lowmc(block, boxes, rounds):
+    """Against a bit-by-bit reading of the published rounds, and back."""
+    c = cipher.LowMC(boxes, rounds, block, 5)
+    key, x = 0xFEDCBA98765432100123456789ABCDEF, RNG.integers(0, 2, (6, block), dtype=np.uint8)
+    got = c.encrypt_bits(x, key)
+    assert (c.decrypt_bits(got.copy(), key) == x).all() and len({r.tobytes() for r in got}) == 6
+    keys = [[sum(int(c.key_matrices[r][i][j]) & key >> i & 1 for i in range(128)) % 2 for j in range(block)] for r in range(rounds + 1)]
+    for row, want in zip(x[:2], got):
+        s = [int(b) ^ k for b, k in zip(row, keys[0])]
+        for r in range(rounds):
+            for t in range(0, 3 * boxes, 3):
+                p, q, u = s[t : t + 3]
+                s[t : t + 3] = p ^ q & u, p ^ q ^ p & u, p ^ q ^ u ^ p & q
+            s = [(sum(int(m) & b for m, b in zip(line, s)) + int(k) + e) % 2 for line, k, e in zip(c.linear[r], c.constants[r], keys[r + 1])]
+        assert s == want.tolist()
+    with pytest.raises(ValueError):
+        cipher.LowMC(50)
+
+
+def test_images_of_keys(spark):
+    df = spark.createDataFrame([(5, "a"), (None, "b"), (5, "c"), (-6, "d")], "k int, n string")
+    r = {x["n"]: x["i"] for x in cipher.encrypt(df, "k", 7, "i").collect()}
+    assert r["b"] is None and r["a"] == r["c"] != r["d"] and len(r["a"]) == 16
+
+
+def test_notes_and_plans(spark):
+    df = spark.range(20).select(I.annotated(F.col("id"), "v", owner="party 1"), (F.col("id") % 3).alias("k"))
+    assert I.notes_of(df, "v") == {"owner": "party 1"}
+    joined = df.groupBy("k").agg(F.sum("v").alias("t")).join(spark.range(3).withColumnRenamed("id", "k").hint("merge"), "k")
+    facts = inspect.summary(joined)
+    assert facts["exchanges"] >= 2 and facts["joins"] == 1 and facts["python"] == 0
+    dot = graphs.to_dot(joined)
+    assert dot.startswith("digraph plan {") and dot.count("->") >= 4
+    assert inspect.propagate("matmul", ["shared", "public"]) == "shared" and inspect.propagate("anything", ["public"]) == "public"
+    for f in (lambda: inspect.propagate("vector_get", ["shared", "shared"]), lambda: inspect.propagate("sum_of_squares", ["shared"])):
+        with pytest.raises(ValueError):
+            f()
