@@ -193,9 +193,9 @@ class Archive:
     def __init__(self, spark: SparkSession, path: str, with_payload: bool):
         self.spark, self.path, self.with_payload = spark, path, with_payload
         self.odd: list[str] = []
-        self.sizes = materialise(spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size")), "warc-files")  # a listing; no content is read
         self.segments = materialise(self.scan(), "warc-segments")
-        tiled = self.segments.groupBy("file").agg(F.sum("length").alias("length")).join(sized(self.sizes), "file")
+        sizes = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"))  # a listing; no content is read
+        tiled = self.segments.groupBy("file").agg(F.sum("length").alias("length")).join(sizes.hint("merge"), "file")
         self.read_by_lines(tiled.where("length <> size").select("file"))
 
     def text(self, separator: str, paths: str | list[str]) -> DataFrame:
@@ -233,7 +233,8 @@ class Archive:
 
 # Chains -----------------------------------------------------------------------------------------
 
-_CANDIDATE = "file string, split long, at long, off long, next long, stop long"
+#: Files in which a table of about one row a split is written.
+FEW_FILES = 16
 
 
 def _exits(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -253,7 +254,7 @@ def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
         while off in succ and off not in passed:
             passed.add(off)
             off = succ[off]
-    return pdf.loc[pdf["off"].isin(passed), ["file", "split", "at", "off", "next"]]
+    return pdf.loc[pdf["off"].isin(passed), ["file", "split", "at", "off", "length", "next"]]
 
 
 def reachable(meta: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -263,21 +264,22 @@ def reachable(meta: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     splits = meta.groupBy("file", "split").agg(F.sum("length").alias("total"))
     by_file = Window.partitionBy("file").orderBy("split")  # a row a split
     splits = splits.withColumns({"stop": F.sum("total").over(by_file), "rank": F.row_number().over(by_file)})
-    splits = materialise(splits.withColumn("base", F.col("stop") - F.col("total")), "warc-splits")
+    splits = materialise(splits.withColumn("base", F.col("stop") - F.col("total")).coalesce(FEW_FILES), "warc-splits")
     placed = meta.join(sized(splits.drop("total", "rank")), ["file", "split"]).withColumns({"off": F.col("base") + F.col("at"), "next": F.col("base") + F.col("next")})
-    cands = materialise(placed.where("next is not null").select("file", "split", "at", "off", "next", "stop"), "warc-candidates")
+    cands = materialise(placed.where("next is not null").select("file", "split", "at", "off", "length", "next", "stop"), "warc-candidates")
     most = splits.agg(F.max("rank")).first()[0] or 1
     reach = splits.select("file", F.lit(0).cast("long").alias("off")).distinct()
     if most > 1:
-        jumps = materialise(cands.transform(shipped).groupBy("file", "split").applyInPandas(_exits, "file string, off long, exit long").where("exit >= 0"), "warc-jumps")
-        for k in range(math.ceil(math.log2(most))):
+        jumps = cands.transform(shipped).groupBy("file", "split").applyInPandas(_exits, "file string, off long, exit long").where("exit >= 0")
+        rounds = math.ceil(math.log2(most))
+        for k in range(rounds):
+            jumps = materialise(jumps, f"warc-jumps-{k}")
             ahead = reach.hint("merge").join(jumps, ["file", "off"]).select("file", F.col("exit").alias("off"))
-            reach = materialise(reach.unionByName(ahead).distinct(), f"warc-reach-{k}")
+            reach = materialise(reach.unionByName(ahead).distinct().coalesce(FEW_FILES), f"warc-reach-{k}")  # about one a split
             twice = jumps.select("file", F.col("off").alias("from"), F.col("exit").alias("off")).join(jumps.hint("merge"), ["file", "off"])
-            jumps = materialise(twice.select("file", F.col("from").alias("off"), "exit"), f"warc-jumps-{k}")
-    entries = materialise(reach.withColumn("entry", F.lit(True)), "warc-entries")  # about one a split
-    marked = cands.join(sized(entries), ["file", "off"], "left").withColumn("entry", F.coalesce("entry", F.lit(False)))
-    passed = marked.transform(shipped).groupBy("file", "split").applyInPandas(_walk, "file string, split long, at long, off long, next long")
+            jumps = twice.select("file", F.col("from").alias("off"), "exit")
+    marked = cands.join(sized(reach.withColumn("entry", F.lit(True))), ["file", "off"], "left").withColumn("entry", F.coalesce("entry", F.lit(False)))
+    passed = marked.transform(shipped).groupBy("file", "split").applyInPandas(_walk, "file string, split long, at long, off long, length long, next long")
     return splits, placed, materialise(passed, "warc-reached")
 
 
@@ -332,18 +334,22 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
         ends = splits.groupBy("file").agg(F.max("stop").alias("stop")).join(reached.groupBy("file").agg(F.max("next").alias("upto")), "file", "left")
         if not archive.read_by_lines(ends.where("upto is null or upto < stop").select("file")):
             break
-    # Records in one segment need no join but with the candidates that aren't records, which are few but in odd archives.
-    false = materialise(meta.where("next is not null").select(*place).join(reached.hint("merge"), place, "left_anti"), "warc-false")
     fields = [n for n, _ in _fields(with_payload)]
-    plain = archive.segments.where((F.col("next").isNotNull()) & F.col("body").isNull()).join(sized(false), place, "left_anti").select(fields)
+    plain = archive.segments.where((F.col("next").isNotNull()) & F.col("body").isNull())
+    # Records in one segment need no join but with the candidates that aren't records, if there are any.
+    if meta.where("next is not null").count() > reached.count():
+        false = meta.where("next is not null").select(*place).join(reached.hint("merge"), place, "left_anti")
+        plain = plain.join(sized(materialise(false, "warc-false")), place, "left_anti")
+    plain = plain.select(fields)
     # The others: a segment belongs to the last record that begins before it, in its split or else in those before.
     record = F.struct(F.col("off").alias("record"), (F.col("next") - F.col("off") > F.col("length")).alias("cut"), F.col("next").alias("upto"))
-    known = materialise(placed.join(reached.select(*place).withColumn("_true", F.lit(True)).hint("merge"), place, "left").select(*place, "off", F.when(F.col("_true"), record).alias("own")), "warc-owned")
-    last = known.where("own is not null").groupBy("file", "split").agg(F.max_by("own", "off").alias("last"))
+    own = reached.select(*place, record.alias("own"))
+    last = reached.groupBy("file", "split").agg(F.max_by(record, "off").alias("last"))
     carried = F.last("last", ignorenulls=True).over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1))  # a row a split
-    carry = materialise(splits.select("file", "split").join(last, ["file", "split"], "left").select("file", "split", carried.alias("before")), "warc-carried")
+    carry = splits.select("file", "split").join(last.hint("merge"), ["file", "split"], "left").select("file", "split", carried.alias("before"))
     within = F.last("own", ignorenulls=True).over(Window.partitionBy("file", "split").orderBy("off"))
-    owned = known.withColumn("within", within).join(sized(carry), ["file", "split"]).withColumn("owner", F.coalesce("within", "before"))
+    known = placed.select(*place, "off").join(own.hint("merge"), place, "left").withColumn("within", within)
+    owned = known.join(carry.hint("merge"), ["file", "split"]).withColumn("owner", F.coalesce("within", "before"))
     pieces = owned.where("owner.cut and off < owner.upto").select(*place, "off", F.col("owner.record").alias("record"), (F.col("owner.upto") - F.col("owner.record")).alias("size"))
     glued = archive.bodies(materialise(pieces, "warc-pieces")).groupBy("file", "record", "size").agg(F.collect_list(F.struct("off", "body")).alias("parts"))  # as large as one record
     # The text source gives no terminator at a file's end, where it is counted all the same.
