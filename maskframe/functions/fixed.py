@@ -74,6 +74,10 @@ def _shift_down(x: Column, cap: int) -> Column:
     return F.call_function("div", x, F.lit(1 << cap).cast("bigint"))
 
 
+# Fixed recipes: starting guesses, the order of truncations and the numbers of steps decide the last bits of
+# these functions, and are as results to be matched have them.
+
+
 def inverse_guess(x: Column, cap: int) -> Column:
     """2^(cap-1-k) for the highest set bit k of x in (0, 2^cap); 0 for others."""
     if cap == 0:
@@ -192,6 +196,7 @@ def _gelu_slope(x: np.float32) -> np.float32:
     return np.float32(0.5) * (np.float32(1) + t) + np.float32(0.5) * x * (np.float32(1) - t * t) * c * (np.float32(1) + np.float32(3) * d * x * x)
 
 
+# The curves' bounds, flat sides and bucket bits; knots in single precision.
 #: Function, left, right, flat to the left, flat to the right, default number of bucket bits.
 CURVES: dict[str, tuple[Callable, float, float, bool, bool, int]] = {
     "exp": (lambda x: np.exp(x, dtype=np.float32), -16.0, 16.0, True, False, 6),

@@ -79,6 +79,7 @@ def test_truncate_goes_toward_zero(spark):
         S.truncate(F.col("x"), 0)
 
 
+# Quotients and remainders to be matched.
 LONG_DIVISION = [(55557, 5, 11111, 2), (-55557, 5, -11112, 3), (55557, -5, -11112, -3), (-55557, -5, 11111, -2), (LOW, -1, LOW, 0), (0, 0, 0, 0), (7, 3, 2, 1), (-7, 3, -3, 2), (-9, 3, -3, 0)]
 
 
@@ -171,6 +172,7 @@ def test_mux_takes_the_first_choice_on_one(spark):
 
 # Joins ------------------------------------------------------------------------------------------
 
+# Inputs and results of the four joins that have to be matched, slot by slot.
 LEFT = [(5, 500), (3, 300), (0, 0), (4, 400), (1, 100), (2, 200)]
 RIGHT = [(i, 10 * i) for i in (4, 7, 8, 9, 10, 11, 12, 2, 3, 13)]
 GOLDEN = {
@@ -240,6 +242,7 @@ def test_compact_and_padded(spark):
 # Order ------------------------------------------------------------------------------------------
 
 
+# Keys, cells and the order to be matched.
 @pytest.mark.parametrize("keys,cells,want", [([3, 1, 2, 0, 2], [1, 2, 3, 44444444444444, 5], [44444444444444, 2, 3, 5, 1]), ([3, 0, 0, 3, 0], [1, 2, 3, 4, 5], [2, 3, 5, 1, 4])])
 def test_stable_sort(spark, keys, cells, want):
     df = spark.createDataFrame(list(zip(range(5), keys, cells)), "_pos bigint, k bigint, v bigint")
