@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import struct
 import time
 import zlib
 from collections import Counter
@@ -140,6 +141,34 @@ def test_sharding(spark, sf, texts):
         assert slots == list(range(len(slots)))
 
 
+def test_sharding_by_plain_grouping(spark, sf, docs, monkeypatch):
+    """Groups, bundles, their sizes and shards put together in plain Python; the packing of the list is tested by itself."""
+    monkeypatch.setattr(op2, "BUNDLES", 16)
+    monkeypatch.setattr(op2, "FINE", 4)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()] + [(9001, None), (9002, None), (9003, ""), (None, "x"), (None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def group(text):
+        h = 42 if text is None else xxhash.xxh64_intdigest(text.encode(), 42)
+        h = xxhash.xxh64_intdigest(struct.pack("<i", text is None), h)
+        return h - (1 << 64) if h >= 1 << 63 else h
+
+    size = lambda t: len((t or "").encode()) + 1
+    groups = Counter()
+    for _, t in rows:
+        groups[group(t)] += size(t)
+    least = sum(groups.values()) // (8 * 4)
+    items = Counter()
+    for g, n in groups.items():
+        items[(g, None) if n > least else (None, g % 16)] += n
+    listed = sorted(items, key=lambda k: (-items[k], k[1] is None, k[1] or 0, k[0] or 0))
+    shard = dict(zip(listed, op2.pack_into([items[k] for k in listed], 8)))
+    want = Counter((i, size(t), zlib.crc32((t or "").encode()), shard[(g, None) if groups[g := group(t)] > least else (None, g % 16)]) for i, t in rows)
+    got = op2.shards(df, 8).collect()
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"], r["shard"]) for r in got) == want
+    assert len([k for k in listed if k[0] is not None]) > 1 and len([k for k in listed if k[0] is None]) > 8
+
+
 def test_sharding_with_a_third_in_one_group(spark):
     """The hot group has a shard of its own, and the other seven share the rest evenly."""
     data = [(i, "hot " * 25) for i in range(1500)] + [(i, f"text {i} " + "x" * (i % 200)) for i in range(1500, 4300)]
