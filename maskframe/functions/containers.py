@@ -25,7 +25,7 @@ def vector(*parts: Column) -> Column:
 def vector_get(v: Column, i: Column | int) -> Column:
     """The element at i from 0; an index beyond the vector is an error."""
     i = F.lit(i) if isinstance(i, int) else i
-    return F.when((i >= 0) & (i < F.size(v)), F.get(v, i.cast("int"))).otherwise(F.raise_error("index out of range").cast("bigint"))
+    return F.when((i >= 0) & (i < F.size(v)), F.get(v, i.cast("int"))).otherwise(F.raise_error("index out of range"))
 
 
 def zip_vectors(**parts: Column) -> Column:

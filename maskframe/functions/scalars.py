@@ -43,7 +43,7 @@ def kind(name: str | Kind) -> Kind:
     if isinstance(name, Kind):
         return name
     if name in ("u128", "i128"):
-        raise ValueError(f"{name} is only held as decimal(38,0) inside division; see functions.fixed")
+        raise ValueError(f"{name} values are structs of two halves; see functions.wide")
     return KINDS[name]
 
 

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.scalars import I64, Kind, flip
+from ..functions.scalars import I64, U64, Kind, flip
+from .scratch import materialise
 from .table import POS
 
 #: Buckets, unless a caller says otherwise: the session's shuffle partitions between these.
@@ -144,10 +145,18 @@ def stable_sort(df: DataFrame, key: str, pos: str = POS, buckets: int | None = N
     return positions(moved, key, "_old", pos, buckets).drop("_old")
 
 
+def sort_wide(df: DataFrame, key: str, pos: str = POS, signed: bool = True) -> DataFrame:
+    """A stable sort by 128-bit keys (structs of hi and lo): by the lower half, then by the upper one; the table is written before each pass."""
+    halves = materialise(df.withColumns({"_lo": F.col(key)["lo"], "_hi": F.col(key)["hi"]}), "sort-halves")
+    by_low = materialise(stable_sort(halves, "_lo", pos, kind=U64), "sort-by-low")
+    return stable_sort(by_low, "_hi", pos, kind=I64 if signed else U64).drop("_lo", "_hi")
+
+
 def sort_by_bits(df: DataFrame, bits: str, pos: str = POS, width: int | None = None) -> DataFrame:
     """A stable sort by arrays of bits of one width, the first bit weighing most.
 
-    Wide keys take a stable pass for each PASS_BITS bits, from the last ones on. The width is looked up if not given."""
+    Wide keys take a stable pass for each PASS_BITS bits, from the last ones on, and the table is written before
+    each pass. The width is looked up if not given."""
     if width is None:
         width = df.agg(F.max(F.size(bits))).first()[0] or 0
     whole = F.when(F.size(bits) == width, F.col(bits)).otherwise(F.raise_error("bit keys differ in width").cast(df.schema[bits].dataType))
@@ -156,7 +165,7 @@ def sort_by_bits(df: DataFrame, bits: str, pos: str = POS, width: int | None = N
     keys = [f"_key{k}" for k in range(len(starts))]
     out = df.withColumns({k: part(s) for k, s in zip(keys, starts)})
     for k in reversed(keys):
-        out = stable_sort(out, k, pos)
+        out = stable_sort(materialise(out, "sort-pass") if len(keys) > 1 else out, k, pos)
     return out.drop(*keys)
 
 

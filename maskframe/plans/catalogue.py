@@ -541,6 +541,9 @@ query("wide_compare", f"SELECT o_orderkey, CAST({_WA} < {_WB} * 1000000000000 AS
 scalar_query("cumulative_or", {"bits": lambda: F.array_join(B.cumulative_or(F.slice(B.a2b(key(), S.I64).array(), 1, 8)).cast("array<string>"), "")}, {"bits": "array_to_string(list_transform(range(0, 8), lambda i: CASE WHEN (o_orderkey & 255) >> i > 0 THEN 1 ELSE 0 END), '')"})
 scalar_query("reduce_mul", {"every": lambda: B.reduce_mul(F.slice(B.a2b(key(), S.I64).array(), 1, 3)).cast("int")}, {"every": "CAST(o_orderkey % 8 = 7 AS INTEGER)"})
 scalar_query("precise_divide", {"close": lambda: (F.abs(X.precise_divide(F.abs(y()), _small()) - div_columns(F.abs(y()), _small())) <= 1).cast("int")}, {"close": "1"})
+query("sort_128", f"SELECT event_id, row_number() OVER (ORDER BY (v - 5000)::HUGEINT * 1000000000000000000000 + user_id, pos) - 1 AS pos FROM {SQL_E}")(
+    lambda s, d: O.sort_wide(events(s, d).withColumn("k", L.add(L.multiply(L.from_signed(F.col("v") - 5000), L.literal(10**21)), L.from_signed(F.col("user_id")))), "k", "pos").select("event_id", "pos")
+)
 _FAR = sql_wrap("x::HUGEINT * 3000000019")
 scalar_query("bin_add_64", {"total": lambda: B.binary_add(S.mul64(x(), F.lit(3000000019)), y(), S.U64)[0], "carry": lambda: B.binary_add(S.mul64(x(), F.lit(3000000019)), y(), S.U64)[1].cast("int")}, {"total": sql_wrap(f"({_FAR})::HUGEINT + y"), "carry": f"CAST({_U.format(f'({_FAR})')} + {_U.format('y')} >= 18446744073709551616::HUGEINT AS INTEGER)"})
 scalar_query("longdiv_unsigned", {"q": lambda: X.floor_divide(y(), key() % 11 + 1, S.U64)[0], "r": lambda: X.floor_divide(y(), key() % 11 + 1, S.U64)[1]}, {"q": sql_wrap(f"{_U.format('y')} // (o_orderkey % 11 + 1)"), "r": f"CAST({_U.format('y')} % (o_orderkey % 11 + 1) AS BIGINT)"})

@@ -211,6 +211,22 @@ def test_128_bits(spark, ansi):
         assert value["t"] == abs(p) // 1000 * (1 if p >= 0 else -1)
 
 
+@pytest.mark.parametrize("signed", [True, False])
+def test_sort_of_128_bits(spark, signed):
+    half = lambda v: v - (1 << 64) if v >= 1 << 63 else v
+    rows = [(i, half(x >> 64 & (1 << 64) - 1), half(x & (1 << 64) - 1)) for i, x in enumerate(INTS * 2)]
+    df = spark.createDataFrame(rows, f"{POS} bigint, hi bigint, lo bigint").select(POS, L.wide(F.col("hi"), F.col("lo")).alias("k"), F.col(POS).alias("o"))
+    want = sorted(range(len(rows)), key=lambda i: ((INTS * 2)[i] if signed else (INTS * 2)[i] % (1 << 128), i))
+    assert [r["o"] for r in O.sort_wide(df, "k", signed=signed).orderBy(POS).collect()] == want
+
+
+def test_vector_get_of_any_type(spark):
+    df = spark.createDataFrame([(["a", "b"],)], "v array<string>")
+    assert df.select(V.vector_get(F.col("v"), 1)).first()[0] == "b"
+    with pytest.raises(Exception, match="out of range"):
+        df.select(V.vector_get(F.col("v"), 2)).collect()
+
+
 def test_regrouping(spark):
     df = spark.range(1).select(F.array(*(F.lit(i) for i in range(6))).alias("v"))
     old, new = [6, "i32"], ([2, "i32"], {"a": "i32", "b": ("i32", [2, "i32"])})
