@@ -17,8 +17,9 @@ and the rest is induced from it, as in induced suffix sorting, but the sample is
 The spilling sorts of steps 2 and 3 take the place of disk-backed queues: a task holds one group of anchors
 at a time. What a group may hold is settled by counts before the sort: an anchor with more than
 HOT_SEGMENTS segments, such as that of a line that very many documents have, doesn't go to one task. Its
-segments are counted by their bytes with partial sums; equal ones are settled so, and one of each of the
-others goes on by the hashes of its windows, which spread. Both ways mark the same windows.
+segments are counted by their bytes with partial sums; equal ones are settled so. One of each goes on to the
+sort of step 3, or, where these are over HOT_SEGMENTS too, by the hashes of its windows, which spread. All
+ways mark the same windows.
 
 Defined results. A null text has no bytes. Texts under LENGTH bytes lose nothing. Repeated rows are
 copies and lose all bytes if they have LENGTH or more. Null ids are kept. Empty tables give empty results.
@@ -340,8 +341,8 @@ def repeated_spans(docs: DataFrame, copies: DataFrame, length: int = LENGTH, anc
         groups = crowd.groupBy("anchor", "sup").agg(F.min(F.struct("blob", "start", "windows", "at")).alias("first"), F.max(F.struct("blob", "start", "windows", "at")).alias("last"), F.bool_or("multi").alias("multi"))
         groups = materialise(groups.select("anchor", "sup", "first", (F.col("multi") | (F.col("first") != F.col("last"))).alias("many")), "hot-segments")
         spans = spans.unionByName(crowd.join(sized(groups.where("many").select("anchor", "sup")), ["anchor", "sup"]).select(place))
-        differing = groups.groupBy("anchor").count().where(F.col("count") > 1).select("anchor")  # no more than there are hot anchors
-        more = groups.join(sized(materialise(differing, "open-anchors")), "anchor", "left_semi").select("anchor", F.lit(True).alias("hot"), "first.*")
+        differing = groups.groupBy("anchor").count().where(F.col("count") > 1).select("anchor", (F.col("count") > hot_segments).alias("hot"))  # no more than there are hot anchors
+        more = groups.join(sized(materialise(differing, "open-anchors")), "anchor").select("anchor", "hot", "first.*")
         opened = opened.unionByName(more)
     by_text = opened.groupBy("blob").agg(F.collect_list(F.struct("anchor", "hot", "start", "windows", "at")).alias("parts"))  # as long as the text at most
     by_text = by_text.join(copies.select("blob", "least"), "blob")
