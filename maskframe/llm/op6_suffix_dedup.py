@@ -44,7 +44,7 @@ HOT_SEGMENTS = 1_000
 TASK_SEGMENTS = 1 << 19
 SORT_SEGMENTS = 20_000
 #: Bytes looked at in one go; longer texts are read in overlapping parts.
-SCAN_BYTES = 1 << 20
+SCAN_BYTES = 1 << 19
 _PLACE_BITS = np.uint64(26)
 
 SPAN, SEGMENT = 1, 0
@@ -337,7 +337,7 @@ def repeated_spans(docs: DataFrame, copies: DataFrame, length: int = LENGTH, anc
     opened = settled.where(F.col("kind") == SEGMENT).select("anchor", F.lit(False).alias("hot"), *place, "at")
     some = not hot.isEmpty()
     if some:
-        crowd = every.join(side, "anchor", "left_semi")
+        crowd = materialise(every.join(side, "anchor", "left_semi"), "crowded-segments")
         groups = crowd.groupBy("anchor", "sup").agg(F.min(F.struct("blob", "start", "windows", "at")).alias("first"), F.max(F.struct("blob", "start", "windows", "at")).alias("last"), F.bool_or("multi").alias("multi"))
         groups = materialise(groups.select("anchor", "sup", "first", (F.col("multi") | (F.col("first") != F.col("last"))).alias("many")), "hot-segments")
         spans = spans.unionByName(crowd.join(sized(groups.where("many").select("anchor", "sup")), ["anchor", "sup"]).select(place))
