@@ -35,6 +35,8 @@ SAMPLE_DOCS = 2000
 LEAST_SHARE = 1e-4
 SLOTS_PER_GRAM = 16
 HASHES = 3
+#: Bytes of text looked at in one go; their n-grams and slots take about a hundred times as many.
+CHUNK = 1 << 18
 #: Languages whose n-grams are collected at once: as many as a mask word has bits.
 WORD_BITS = 64
 UNKNOWN = "und"
@@ -140,7 +142,7 @@ def has_letter(text: bytes) -> bool:
 
 
 def _count_grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, texts in chunks(batches, "text"):
+    for part, texts in chunks(batches, "text", CHUNK):
         langs = part.column("language").to_pylist()
         for i in set(langs):
             g, _ = grams(normal_bytes([t for t, k in zip(texts, langs) if k == i])[0])
@@ -176,7 +178,7 @@ def predict(docs: DataFrame, model: BitmaskFilter, keys: list[Column], text: str
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         names = np.array([*m.languages, UNKNOWN], object)
-        for part, texts in chunks(batches, "text"):
+        for part, texts in chunks(batches, "text", CHUNK):
             best, score = m.decide(texts)
             kept = part.drop_columns(["text"])
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(names[best].tolist(), pa.string()), pa.array(score, pa.float64())], names=[*kept.schema.names, "lang_pred", "score"])
@@ -193,7 +195,7 @@ def keep_known(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for part, texts in chunks(batches, raw):
+        for part, texts in chunks(batches, raw, CHUNK):
             known = m.decide(texts)[0] < len(m.languages) if m.languages else np.array([has_letter(t) for t in texts])
             yield part.filter(pa.array(known)).drop_columns([raw])
 
