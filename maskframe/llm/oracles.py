@@ -97,4 +97,17 @@ FROM u LEFT JOIN b USING (host)
 
 HOST_RULES = _host_rules()
 
-SQL = {"op3_warc": WARC, "op4_decontamination": DECONTAMINATION, "op5_secret_scans": SECRETS, "op9_host_rules": HOST_RULES}
+# Bytes as pairs of hexadecimal digits: a window at each byte, those whose hash occurs twice, their union, and what is left.
+REPEATS = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
+w AS (SELECT doc_id, k, hash(substr(h, 2 * k + 1, 400)) AS a FROM (SELECT doc_id, h, unnest(range(n - 199)) AS k FROM d WHERE n >= 200)),
+twice AS (SELECT a FROM w GROUP BY a HAVING count(*) > 1),
+marks AS (SELECT doc_id, k, lag(k) OVER (PARTITION BY doc_id ORDER BY k) AS before FROM w JOIN twice USING (a)),
+runs AS (SELECT doc_id, run, min(k) AS start, max(k) + 200 AS stop FROM (SELECT doc_id, k, count(*) FILTER (before IS NULL OR k > before + 200) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM marks) GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, start, stop, coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY start), 0) AS kept FROM runs),
+found AS (SELECT doc_id, sum(stop - start) AS removed, count(*) AS spans, max(stop) AS last, string_agg(substr(h, 2 * kept + 1, 2 * (start - kept)), '' ORDER BY start) AS head FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(concat(coalesce(head, ''), substr(h, 2 * coalesce(last, 0) + 1)))) AS kept_sha256
+FROM d LEFT JOIN found USING (doc_id)
+"""
+
+SQL = {"op3_warc": WARC, "op4_decontamination": DECONTAMINATION, "op5_secret_scans": SECRETS, "op6_suffix_dedup": REPEATS, "op9_host_rules": HOST_RULES}
