@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from .op10_simhash import RADIUS, SEED, SHINGLE
 from .op5_secret_scans import KINDS, RULE_SETS
 from .op9_host_rules import BASE_RULES, HOST_LEAST, HOST_TIMES, HOST_Z, RULES, SOFT_RULES
 
@@ -110,4 +111,61 @@ SELECT doc_id, n AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed,
 FROM d LEFT JOIN found USING (doc_id)
 """
 
-SQL = {"op3_warc": WARC, "op4_decontamination": DECONTAMINATION, "op5_secret_scans": SECRETS, "op6_suffix_dedup": REPEATS, "op9_host_rules": HOST_RULES}
+# The primes and shifts of XXH64.
+_P = (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)
+
+
+ZERO = "0::UBIGINT"
+
+
+def _xxh64(source: str, text: str, seed: int) -> str:
+    """The columns of a query and `h`, the XXH64 of its column `text` in UTF-8, a published step at a time."""
+    m = 1 << 64
+    times = lambda x, k: f"CAST((CAST({x} AS UHUGEINT) * {k}::UHUGEINT) % {m}::UHUGEINT AS UBIGINT)"
+    plus = lambda x, y: f"CAST((CAST({x} AS UHUGEINT) + CAST({y} AS UHUGEINT)) % {m}::UHUGEINT AS UBIGINT)"
+    turn = lambda x, r: f"CAST((CAST({x} AS UHUGEINT) * {1 << r}::UHUGEINT) % {m}::UHUGEINT + ({x} >> {64 - r}) AS UBIGINT)"
+    step = lambda acc, x: times(turn(plus(acc, times(x, _P[1])), 31), _P[0])
+    number = lambda at, n: "CAST(concat('0x', " + ", ".join(f"substr(hx, CAST({at} + {2 * i} AS BIGINT), 2)" for i in reversed(range(n))) + ") AS UBIGINT)"
+    query = f"SELECT *, hex(encode({text})) AS hx, CAST(strlen({text}) AS BIGINT) AS size FROM ({source})"
+    # Eight bytes at a time, and behind the last 32 those that are left; then four, then one.
+    words = f"list_transform(range(0, size // 8), lambda i: {number('16 * i + 1', 8)})"
+    query = f"SELECT *, {words} AS w, size // 32 * 4 AS wide FROM ({query})"
+    starts = [(seed + _P[0] + _P[1]) % m, (seed + _P[1]) % m, seed, (seed - _P[0]) % m]
+    lanes = ", ".join(f"list_reduce(list_prepend({start}::UBIGINT, list_transform(range({i}, wide, 4), lambda i: w[i + 1])), lambda a, b: {step('a', 'b')}) AS v{i}" for i, start in enumerate(starts))
+    query = f"SELECT *, {lanes} FROM ({query})"
+    query = f"SELECT *, {plus(plus(turn('v0', 1), turn('v1', 7)), plus(turn('v2', 12), turn('v3', 18)))} AS h FROM ({query})"
+    for i in range(4):
+        query = f"SELECT * REPLACE ({plus(times(f'xor(h, {step(ZERO, f'v{i}')})', _P[0]), _P[3])} AS h) FROM ({query})"
+    query = f"SELECT * REPLACE ({plus(f'CASE WHEN size >= 32 THEN h ELSE {(seed + _P[4]) % m}::UBIGINT END', 'size')} AS h) FROM ({query})"
+    folds = [
+        ("w[wide + 1 :]", lambda a, b: plus(times(turn(f"xor({a}, {step(ZERO, b)})", 27), _P[0]), _P[3])),
+        (f"CASE WHEN size % 8 >= 4 THEN [{number('16 * (size // 8) + 1', 4)}] ELSE [] END", lambda a, b: plus(times(turn(f"xor({a}, {times(b, _P[0])})", 23), _P[1]), _P[2])),
+        (f"list_transform(range(size - size % 4, size), lambda i: {number('2 * i + 1', 1)})", lambda a, b: times(turn(f"xor({a}, {times(b, _P[4])})", 11), _P[0])),
+    ]
+    for part, fold in folds:
+        query = f"SELECT * REPLACE (list_reduce(list_prepend(h, CAST({part} AS UBIGINT[])), lambda a, b: {fold('a', 'b')}) AS h) FROM ({query})"
+    for shift, prime in ((33, _P[1]), (29, _P[2])):
+        query = f"SELECT * REPLACE ({times(f'xor(h, h >> {shift})', prime)} AS h) FROM ({query})"
+    return f"SELECT * EXCLUDE (hx, size, w, wide, v0, v1, v2, v3) REPLACE (xor(h, h >> 32) AS h) FROM ({query})"
+
+
+def _simhash() -> str:
+    shingles = f"SELECT doc_id, array_to_string(w[k : k + {SHINGLE - 1}], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {SHINGLE - 1}, 1) + 1)) AS k FROM d WHERE len(w) > 0)"
+    return rf"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all({_LOWER.format("text")}, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS ({shingles}),
+hashed AS ({_xxh64("SELECT DISTINCT g FROM s", "g", SEED)}),
+votes AS (SELECT doc_id, b, 2 * sum(CAST((h >> b) & 1 AS INTEGER)) > count(*) AS one FROM s JOIN hashed USING (g), (SELECT unnest(range(64)) AS b) GROUP BY doc_id, b),
+found AS (SELECT doc_id, CAST(sum(CASE WHEN one THEN CAST(1 AS HUGEINT) << CAST(b AS INTEGER) ELSE 0 END) AS UBIGINT) AS fp FROM votes GROUP BY doc_id),
+fps AS (SELECT doc_id, coalesce(fp, 0::UBIGINT) AS fp FROM d LEFT JOIN found USING (doc_id)),
+nodes AS (SELECT fp, min(doc_id) AS least FROM fps GROUP BY fp),
+links AS (SELECT a.fp AS a, b.fp AS b FROM nodes a, nodes b WHERE bit_count(xor(a.fp, b.fp)) <= {RADIUS} AND a.fp <> b.fp),
+reach AS (SELECT fp AS a, fp AS b FROM nodes UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+classes AS (SELECT a AS fp, min(least) AS component_id FROM reach JOIN nodes ON b = fp GROUP BY a)
+SELECT doc_id, format('{{:016x}}', fp) AS fingerprint, component_id FROM fps JOIN classes USING (fp)
+"""
+
+
+SIMHASH = _simhash()
+
+SQL = {"op3_warc": WARC, "op4_decontamination": DECONTAMINATION, "op5_secret_scans": SECRETS, "op6_suffix_dedup": REPEATS, "op9_host_rules": HOST_RULES, "op10_simhash": SIMHASH}

@@ -32,7 +32,7 @@ from maskframe.llm import op9_host_rules as op9
 from maskframe.llm import op10_simhash as op10
 from maskframe.llm import queries as Q
 from maskframe.llm._common import scratch_path
-from maskframe.llm.oracles import HOST_RULES
+from maskframe.llm.oracles import HOST_RULES, _xxh64
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -682,6 +682,19 @@ def test_beta_prior_by_moments():
     assert sizes[0] > 10 * sizes[1]
 
 
+def test_xxh64_in_sql():
+    """The SQL twin's hash against the library's, for all lengths and characters of several bytes."""
+    import duckdb
+    import pandas as pd
+
+    rng = random.Random(21)
+    texts = {"".join(rng.choice("abc \u00e9\u65e5\U0001f600") for _ in range(n)) for n in range(150)}
+    con = duckdb.connect()
+    con.register("t", pd.DataFrame({"g": sorted(texts)}))
+    got = dict(con.execute(_xxh64("SELECT g FROM t", "g", 42)).fetchall())
+    assert got == {t: xxhash.xxh64_intdigest(t.encode(), 42) for t in texts}
+
+
 def brute_fingerprint(text):
     w = WORD.findall(lower(text))
     shingles = [" ".join(w[i : i + 4]) for i in range(len(w) - 3)] if len(w) >= 4 else [" ".join(w)] if w else []
