@@ -78,8 +78,8 @@ class BitmaskFilter:
     usual: int = 0  # the language with most labelled documents
 
     @classmethod
-    def build(cls, languages: list[str], gram: np.ndarray, language: np.ndarray, share: np.ndarray) -> "BitmaskFilter":
-        """gram, language and share are parallel: the language contains the n-gram, which is that share of its n-grams."""
+    def build(cls, languages: list[str], gram: np.ndarray, language: np.ndarray, own_rates: np.ndarray) -> "BitmaskFilter":
+        """gram and language are parallel: the language (its number) contains the n-gram. own_rates: a share for each language."""
         width = next((w for w in (8, 16, 32, 64) if len(languages) <= w), 64)
         words = max(1, -(-len(languages) // 64))
         slots = 1 << max(10, math.ceil(math.log2(max(1, len(np.unique(gram))) * SLOTS_PER_GRAM)))
@@ -90,7 +90,7 @@ class BitmaskFilter:
             for p in at:
                 masks[i // 64, p[mine]] |= bit
         fill = np.array([np.count_nonzero(masks[i // 64] >> np.array(i % 64, masks.dtype) & np.array(1, masks.dtype)) / slots for i in range(len(languages))])
-        return cls(languages, masks, fill**HASHES, np.maximum(np.bincount(language, share, len(languages)), 1e-3))
+        return cls(languages, masks, np.prod([fill] * HASHES, axis=0), np.maximum(own_rates, 1e-3))
 
     @staticmethod
     def places(gram: np.ndarray, slots: int) -> list[np.ndarray]:
@@ -163,10 +163,11 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", order: Colu
     counts = sample.transform(shipped).mapInArrow(_count_grams, "language int, gram long, n long").groupBy("language", "gram").agg(F.sum("n").alias("n"))
     totals = counts.groupBy("language").agg(F.sum("n").alias("total"))
     kept = counts.join(F.broadcast(totals), "language").where(F.col("n") >= F.greatest(F.lit(2), F.col("total") * LEAST_SHARE))
-    held = materialise(kept.select("language", "gram", (F.col("n") / F.col("total")).alias("share")), "language-grams")
-    parts = [held.where(F.col("language").between(low, low + WORD_BITS - 1)).toPandas() for low in range(0, len(languages), WORD_BITS)]
-    gram, language, share = (np.concatenate([p[c].to_numpy(kind) for p in parts]) for c, kind in (("gram", np.uint32), ("language", np.int64), ("share", float)))
-    model = BitmaskFilter.build(languages, gram, language, share)
+    held = materialise(kept.select("language", "gram", "n", "total"), "language-grams")
+    own = {r["language"]: r["n"] / r["total"] for r in held.groupBy("language").agg(F.sum("n").alias("n"), F.first("total").alias("total")).collect()}
+    parts = [held.where(F.col("language").between(low, low + WORD_BITS - 1)).select("language", "gram").toPandas() for low in range(0, len(languages), WORD_BITS)]
+    gram, language = (np.concatenate([p[c].to_numpy(kind) for p in parts]) for c, kind in (("gram", np.uint32), ("language", np.int64)))
+    model = BitmaskFilter.build(languages, gram, language, np.array([own.get(i, 0.0) for i in range(len(languages))]))
     model.usual = max(range(len(languages)), key=lambda i: sizes[languages[i]])
     return model
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from .op1_language_id import HASHES, LEAST_SHARE, SAMPLE_DOCS, SLOTS_PER_GRAM
 from .op10_simhash import RADIUS, SEED, SHINGLE
 from .op5_secret_scans import KINDS, RULE_SETS
 from .op9_host_rules import BASE_RULES, HOST_LEAST, HOST_TIMES, HOST_Z, RULES, SOFT_RULES
@@ -118,13 +119,35 @@ _P = (11400714785074694791, 14029467366897019727, 1609587929392839161, 965002924
 ZERO = "0::UBIGINT"
 
 
+def _times(x: str, k: int) -> str:
+    """x * k modulo 2^64."""
+    return f"CAST((CAST({x} AS UHUGEINT) * {k}::UHUGEINT) % {1 << 64}::UHUGEINT AS UBIGINT)"
+
+
+def _plus(x: str, y: str) -> str:
+    return f"CAST((CAST({x} AS UHUGEINT) + CAST({y} AS UHUGEINT)) % {1 << 64}::UHUGEINT AS UBIGINT)"
+
+
+def _turn(x: str, r: int) -> str:
+    """x rotated by r bits."""
+    return f"CAST((CAST({x} AS UHUGEINT) * {1 << r}::UHUGEINT) % {1 << 64}::UHUGEINT + ({x} >> {64 - r}) AS UBIGINT)"
+
+
+def _round(acc: str, x: str) -> str:
+    return _times(_turn(_plus(acc, _times(x, _P[1])), 31), _P[0])
+
+
+def _scrambled(query: str, column: str, shifts: tuple[int, int, int], primes: tuple[int, int]) -> str:
+    """The query with a column of 64 bits sent through shifts and multiplications in turn."""
+    for shift, prime in zip(shifts, primes):
+        query = f"SELECT * REPLACE ({_times(f'xor({column}, {column} >> {shift})', prime)} AS {column}) FROM ({query})"
+    return f"SELECT * REPLACE (xor({column}, {column} >> {shifts[2]}) AS {column}) FROM ({query})"
+
+
 def _xxh64(source: str, text: str, seed: int) -> str:
     """The columns of a query and `h`, the XXH64 of its column `text` in UTF-8, a published step at a time."""
     m = 1 << 64
-    times = lambda x, k: f"CAST((CAST({x} AS UHUGEINT) * {k}::UHUGEINT) % {m}::UHUGEINT AS UBIGINT)"
-    plus = lambda x, y: f"CAST((CAST({x} AS UHUGEINT) + CAST({y} AS UHUGEINT)) % {m}::UHUGEINT AS UBIGINT)"
-    turn = lambda x, r: f"CAST((CAST({x} AS UHUGEINT) * {1 << r}::UHUGEINT) % {m}::UHUGEINT + ({x} >> {64 - r}) AS UBIGINT)"
-    step = lambda acc, x: times(turn(plus(acc, times(x, _P[1])), 31), _P[0])
+    times, plus, turn, step = _times, _plus, _turn, _round
     number = lambda at, n: "CAST(concat('0x', " + ", ".join(f"substr(hx, CAST({at} + {2 * i} AS BIGINT), 2)" for i in reversed(range(n))) + ") AS UBIGINT)"
     query = f"SELECT *, hex(encode({text})) AS hx, CAST(strlen({text}) AS BIGINT) AS size FROM ({source})"
     # Eight bytes at a time, and behind the last 32 those that are left; then four, then one.
@@ -144,9 +167,7 @@ def _xxh64(source: str, text: str, seed: int) -> str:
     ]
     for part, fold in folds:
         query = f"SELECT * REPLACE (list_reduce(list_prepend(h, CAST({part} AS UBIGINT[])), lambda a, b: {fold('a', 'b')}) AS h) FROM ({query})"
-    for shift, prime in ((33, _P[1]), (29, _P[2])):
-        query = f"SELECT * REPLACE ({times(f'xor(h, h >> {shift})', prime)} AS h) FROM ({query})"
-    return f"SELECT * EXCLUDE (hx, size, w, wide, v0, v1, v2, v3) REPLACE (xor(h, h >> 32) AS h) FROM ({query})"
+    return f"SELECT * EXCLUDE (hx, size, w, wide, v0, v1, v2, v3) FROM ({_scrambled(query, 'h', (33, 29, 32), (_P[1], _P[2]))})"
 
 
 def _simhash() -> str:
@@ -168,4 +189,41 @@ SELECT doc_id, format('{{:016x}}', fp) AS fingerprint, component_id FROM fps JOI
 
 SIMHASH = _simhash()
 
-SQL = {"op3_warc": WARC, "op4_decontamination": DECONTAMINATION, "op5_secret_scans": SECRETS, "op6_suffix_dedup": REPEATS, "op9_host_rules": HOST_RULES, "op10_simhash": SIMHASH}
+
+def _language_id() -> str:
+    upper, lower = "".join(map(chr, [*range(65, 91), *range(0xC0, 0xD7), *range(0xD8, 0xDF)])), "".join(map(chr, [*range(97, 123), *range(0xE0, 0xF7), *range(0xF8, 0xFF)]))
+    long = f"SELECT doc_id, {_plus(_times(_turn(f'xor({(42 + _P[4] + 8) % (1 << 64)}::UBIGINT, {_round(ZERO, chr(117))})', 27), _P[0]), _P[3])} AS h FROM (SELECT doc_id, CAST(doc_id AS UBIGINT) AS u FROM labelled)"
+    hashed = _scrambled(long, "h", (33, 29, 32), (_P[1], _P[2]))
+    mixed = _scrambled("SELECT g, CAST(concat('0x', g[7:8], g[5:6], g[3:4], g[1:2]) AS UBIGINT) AS h FROM every", "h", (33, 33, 33), (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53))
+    return rf"""
+WITH t AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(CAST(i AS UBIGINT), CAST(range(8) AS UBIGINT[])), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END)) AS crc),
+d AS (SELECT doc_id, text, lang, coalesce(xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: CAST(ascii(substr(CAST(doc_id AS VARCHAR), i, 1)) AS UBIGINT))), lambda c, b: xor(c >> 8, crc[CAST(xor(c, b) & 255 AS BIGINT) + 1]))) % 5 = 0, false) AS held_out FROM documents, t),
+labelled AS (SELECT * FROM d WHERE lang IS NOT NULL AND NOT held_out AND doc_id IS NOT NULL),
+sizes AS (SELECT lang, count(*) AS size FROM labelled GROUP BY lang),
+hashed AS ({hashed}),
+sample AS (SELECT DISTINCT doc_id FROM labelled JOIN sizes USING (lang) JOIN hashed USING (doc_id) WHERE ((CAST(h AS HUGEINT) - CASE WHEN h >= 9223372036854775808 THEN 18446744073709551616::HUGEINT ELSE 0::HUGEINT END) % 1000000 + 1000000) % 1000000 < least(1.0::DOUBLE, {SAMPLE_DOCS}::DOUBLE / size) * 1000000),
+plain AS (SELECT doc_id, hex(encode(concat(' ', regexp_replace(translate(coalesce(text, ''), '{upper}', '{lower}'), '[\x00-\x60\x7B-\x7F]', ' ', 'g'), ' '))) AS hx FROM d),
+grams AS (SELECT doc_id, g, count(*) AS n FROM (SELECT doc_id, substr(hx, 2 * k + 1, 8) AS g FROM (SELECT doc_id, hx, unnest(range(length(hx) // 2 - 3)) AS k FROM plain)) WHERE g[3:4] <> '20' AND g[5:6] <> '20' GROUP BY doc_id, g),
+counts AS (SELECT lang, g, sum(n) AS n FROM grams JOIN sample USING (doc_id) JOIN labelled USING (doc_id) GROUP BY lang, g),
+totals AS (SELECT lang, sum(n) AS total FROM counts GROUP BY lang),
+kept AS (SELECT lang, g, n, total FROM counts JOIN totals USING (lang) WHERE n >= greatest(2::DOUBLE, total * {LEAST_SHARE}::DOUBLE)),
+width AS (SELECT greatest(10, length(bin(greatest(count(DISTINCT g), 1) * {SLOTS_PER_GRAM} - 1))) AS bits FROM kept),
+every AS (SELECT DISTINCT g FROM grams),
+places AS (SELECT g, k, CAST((CAST(h AS UHUGEINT) + k::UHUGEINT * CAST((h >> 32) | 1 AS UHUGEINT)) % CAST(CAST(1 AS BIGINT) << CAST(bits AS BIGINT) AS UHUGEINT) AS BIGINT) AS slot FROM ({mixed}), (SELECT unnest(range({HASHES})) AS k), width),
+filled AS (SELECT DISTINCT lang, slot FROM kept JOIN places USING (g)),
+rates AS (SELECT lang, fill * fill * fill AS f, greatest(coalesce(own, 0), 0.001::DOUBLE) AS own FROM (SELECT lang, CAST(coalesce(filled, 0) AS DOUBLE) / (CAST(1 AS BIGINT) << CAST(bits AS BIGINT)) AS fill, own FROM sizes LEFT JOIN (SELECT lang, count(*) AS filled FROM filled GROUP BY lang) USING (lang) LEFT JOIN (SELECT lang, CAST(sum(n) AS DOUBLE) / CAST(any_value(total) AS DOUBLE) AS own FROM kept GROUP BY lang) USING (lang), width)),
+holds AS (SELECT g, lang FROM places JOIN filled USING (slot) GROUP BY g, lang HAVING count(*) = {HASHES}),
+hits AS (SELECT doc_id, lang, sum(n) AS hits FROM grams JOIN holds USING (g) GROUP BY doc_id, lang),
+found AS (SELECT doc_id, sum(n) AS total FROM grams GROUP BY doc_id),
+value AS (SELECT doc_id, lang, greatest((CAST(coalesce(hits, 0) AS DOUBLE) - CAST(coalesce(total, 0) AS DOUBLE) * f) / (1 - f), 0) / own AS v FROM (SELECT doc_id FROM d) CROSS JOIN rates LEFT JOIN found USING (doc_id) LEFT JOIN hits USING (doc_id, lang)),
+best AS (SELECT doc_id, v[1] AS first, coalesce(v[2], 0) AS second, names[1] AS name FROM (SELECT doc_id, list(v ORDER BY v DESC, lang) AS v, list(lang ORDER BY v DESC, lang) AS names FROM value GROUP BY doc_id))
+SELECT d.doc_id, held_out,
+       CASE WHEN name IS NULL OR NOT coalesce(regexp_matches(text, '\p{{L}}'), false) THEN 'und' WHEN first > 0 THEN name ELSE (SELECT lang FROM sizes ORDER BY size DESC, lang LIMIT 1) END AS lang_pred,
+       CASE WHEN first > 0 AND regexp_matches(text, '\p{{L}}') THEN first / greatest(first + second, 1e-12) ELSE 0 END AS score
+FROM d LEFT JOIN best USING (doc_id)
+"""
+
+
+LANGUAGE_ID = _language_id()
+
+SQL = {"op1_language_id": LANGUAGE_ID, "op3_warc": WARC, "op4_decontamination": DECONTAMINATION, "op5_secret_scans": SECRETS, "op6_suffix_dedup": REPEATS, "op9_host_rules": HOST_RULES, "op10_simhash": SIMHASH}

@@ -118,7 +118,7 @@ def test_bloom_masks_hold_all_languages_of_a_gram():
     rng = np.random.default_rng(1)
     gram = rng.integers(0, 1 << 32, 500, dtype=np.uint64).astype(np.uint32)
     language = rng.integers(0, 70, 500)
-    model = op1.BitmaskFilter.build([f"l{i:02}" for i in range(70)], gram, language, np.full(500, 0.01))
+    model = op1.BitmaskFilter.build([f"l{i:02}" for i in range(70)], gram, language, np.full(70, 0.5))
     masks = model.containing(gram)
     for k in range(500):
         assert int(masks[language[k] // 64, k]) >> int(language[k] % 64) & 1
