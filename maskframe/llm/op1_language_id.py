@@ -163,9 +163,11 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", order: Colu
     counts = sample.transform(shipped).mapInArrow(_count_grams, "language int, gram long, n long").groupBy("language", "gram").agg(F.sum("n").alias("n"))
     totals = counts.groupBy("language").agg(F.sum("n").alias("total"))
     kept = counts.join(F.broadcast(totals), "language").where(F.col("n") >= F.greatest(F.lit(2), F.col("total") * LEAST_SHARE))
-    held = materialise(kept.select("language", "gram", "n", "total"), "language-grams")
-    own = {r["language"]: r["n"] / r["total"] for r in held.groupBy("language").agg(F.sum("n").alias("n"), F.first("total").alias("total")).collect()}
-    parts = [held.where(F.col("language").between(low, low + WORD_BITS - 1)).select("language", "gram").toPandas() for low in range(0, len(languages), WORD_BITS)]
+    held = kept.select("language", "gram", "n", "total")
+    if len(languages) > WORD_BITS:  # read more than once
+        held = materialise(held, "language-grams")
+    parts = [held.where(F.col("language").between(low, low + WORD_BITS - 1)).toPandas() for low in range(0, len(languages), WORD_BITS)]
+    own = {int(i): int(p["n"].sum()) / int(p["total"].iloc[0]) for part in parts for i, p in part.groupby("language")}
     gram, language = (np.concatenate([p[c].to_numpy(kind) for p in parts]) for c, kind in (("gram", np.uint32), ("language", np.int64)))
     model = BitmaskFilter.build(languages, gram, language, np.array([own.get(i, 0.0) for i in range(len(languages))]))
     model.usual = max(range(len(languages)), key=lambda i: sizes[languages[i]])
