@@ -22,8 +22,9 @@ class Bits:
     kind: Kind
 
     def array(self) -> Column:
+        # A lambda over the places: an array of as many expressions is too much for one generated method and slower.
         x = self.value.cast("bigint")
-        return F.array(*(F.shiftright(x, i).bitwiseAND(F.lit(1)).cast("tinyint") for i in range(self.kind.bits)))
+        return F.transform(F.sequence(F.lit(0), F.lit(self.kind.bits - 1)), lambda i: F.call_function("shiftright", x, i).bitwiseAND(F.lit(1)).cast("tinyint"))
 
 
 def a2b(x: Column, k: Kind) -> Bits:

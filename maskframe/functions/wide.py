@@ -208,7 +208,9 @@ def truncate(x: Column, scale: int, kind: str = I128) -> Column:
 
 def bits(a: Column) -> Column:
     """128 bits, the lowest first."""
-    return F.array(*(F.shiftrightunsigned(a[h], i).bitwiseAND(F.lit(1)).cast("tinyint") for h in ("lo", "hi") for i in range(64)))
+    places = F.sequence(F.lit(0), F.lit(63))
+    half = lambda x: F.transform(places, lambda i: F.call_function("shiftrightunsigned", x, i).bitwiseAND(F.lit(1)).cast("tinyint"))
+    return F.concat(half(a["lo"]), half(a["hi"]))
 
 
 def from_bits(b: Column) -> Column:
