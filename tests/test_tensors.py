@@ -16,7 +16,7 @@ from maskframe.operators import order as O
 from maskframe.operators import scratch
 from maskframe.operators import tensor as T
 from maskframe.operators.table import POS, VALID
-from maskframe.plans import graphs, inspect
+from maskframe.plans import catalogue, graphs, inspect
 from maskframe.plans.library import Library
 from maskframe.sources import numpy_io as N
 from maskframe.sources import typed_json as Y
@@ -349,3 +349,23 @@ def test_notes_and_plans(spark):
     for f in (lambda: inspect.propagate("vector_get", ["shared", "shared"]), lambda: inspect.propagate("sum_of_squares", ["shared"])):
         with pytest.raises(ValueError):
             f()
+
+
+@pytest.fixture(scope="module")
+def late_orders(spark, tmp_path_factory):
+    """Orders with keys as larger tables have them, and the x and y of the catalogue's numbers."""
+    d = str(tmp_path_factory.mktemp("orders"))
+    keys = [0, 1, 74_700, 810_001, 899_999, 7_470_000, 8_999_999, 53_999_999]
+    given = [(k, 1000.25 + 54321.5 * (i % 3) + 200_000 * (i % 2)) for i, k in enumerate(keys)]
+    spark.createDataFrame(given, "o_orderkey bigint, o_totalprice double").coalesce(1).write.parquet(f"{d}/orders.parquet")
+    return d, {k: (k * 1234567891, round(p * 100) - 20_000_000) for k, p in given}
+
+
+def _wrap64(x):
+    return (x + (1 << 63)) % (1 << 64) - (1 << 63)
+
+
+def test_add_wrap_of_large_keys(spark, late_orders):
+    d, numbers = late_orders
+    got = {r["o_orderkey"]: r["v64"] for r in catalogue.QUERIES["add_wrap"](spark, d).collect()}
+    assert got == {k: _wrap64(2 * x + 9223372036850000000 - 10**15) for k, (x, _) in numbers.items()}
