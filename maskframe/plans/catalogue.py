@@ -221,7 +221,7 @@ def scalar_query(name: str, columns: dict[str, object], sql: dict[str, str]) ->
 x, y, key = (lambda: F.col("x")), (lambda: F.col("y")), (lambda: F.col("o_orderkey"))
 _BIG = 9223372036850000000
 scalar_query("add_wrap", {"v64": lambda: S.add_all([x(), F.lit(_BIG - 10**15), x()], S.I64), "v32": lambda: S.add(S.wrap(x(), S.I32), S.wrap(y() * 1000, S.I32), S.I32).cast("bigint"), "u8": lambda: S.add(S.wrap(x(), S.U8), S.wrap(y(), S.U8), S.U8).cast("bigint")}, {"v64": sql_wrap(f"x::HUGEINT + {_BIG - 10**15} + x"), "v32": sql_wrap("x + y * 1000", 32), "u8": sql_wrap("x + y", 8, False)})
-scalar_query("sub_wrap", {"v64": lambda: S.subtract(-x() - F.lit(_BIG - 10**15), x() * 100, S.I64), "v16": lambda: S.subtract(S.wrap(x(), S.I16), S.wrap(y(), S.I16), S.I16).cast("bigint")}, {"v64": sql_wrap(f"-x::HUGEINT - {_BIG - 10**15} - x * 100"), "v16": sql_wrap("x - y", 16)})
+scalar_query("sub_wrap", {"v64": lambda: S.subtract(S.subtract(S.neg64(x()), F.lit(_BIG - 10**15), S.I64), S.multiply(x(), F.lit(100), S.I64), S.I64), "v16": lambda: S.subtract(S.wrap(x(), S.I16), S.wrap(y(), S.I16), S.I16).cast("bigint")}, {"v64": sql_wrap(f"-x::HUGEINT - {_BIG - 10**15} - x * 100"), "v16": sql_wrap("x - y", 16)})
 scalar_query("mul_wrap", {"v64": lambda: S.multiply(x(), y(), S.I64), "u32": lambda: S.multiply(S.wrap(x(), S.U32), S.wrap(y(), S.U32), S.U32).cast("bigint"), "i8": lambda: S.multiply(S.wrap(x(), S.I8), S.wrap(y(), S.I8), S.I8).cast("bigint")}, {"v64": sql_wrap("x::HUGEINT * y"), "u32": sql_wrap("x::HUGEINT * y", 32, False), "i8": sql_wrap("x::HUGEINT * y", 8)})
 scalar_query("bit_arith", {"xor": lambda: S.add((x() % 2).cast("tinyint"), (key() % 3 % 2).cast("tinyint"), S.BIT).cast("int"), "land": lambda: S.multiply((x() % 2).cast("tinyint"), (key() % 3 % 2).cast("tinyint"), S.BIT).cast("int")}, {"xor": "CAST(xor(x % 2, o_orderkey % 3 % 2) AS INTEGER)", "land": "CAST((x % 2) & (o_orderkey % 3 % 2) AS INTEGER)"})
 scalar_query("mixed_mul", {"v": lambda: S.mixed_multiply(y(), (key() % 2).cast("tinyint"))}, {"v": "CASE WHEN o_orderkey % 2 = 1 THEN y ELSE 0 END"})

@@ -369,3 +369,9 @@ def test_add_wrap_of_large_keys(spark, late_orders):
     d, numbers = late_orders
     got = {r["o_orderkey"]: r["v64"] for r in catalogue.QUERIES["add_wrap"](spark, d).collect()}
     assert got == {k: _wrap64(2 * x + 9223372036850000000 - 10**15) for k, (x, _) in numbers.items()}
+
+
+def test_sub_wrap_of_large_keys(spark, late_orders):
+    d, numbers = late_orders
+    got = {r["o_orderkey"]: r["v64"] for r in catalogue.QUERIES["sub_wrap"](spark, d).collect()}
+    assert got == {k: _wrap64(-x - (9223372036850000000 - 10**15) - 100 * x) for k, (x, _) in numbers.items()}
