@@ -231,7 +231,7 @@ scalar_query("truncate", {"v": lambda: S.truncate(y(), 32768), "u": lambda: S.tr
 
 query("sum_axes", f"SELECT i1, CAST(sum(v) AS BIGINT) AS v FROM {SQL_T} GROUP BY i1")(lambda s, d: T.sum_axes(vectors(s, d), [0]))
 query("sum_all", f"SELECT CAST(sum(v) AS BIGINT) AS v FROM {SQL_T}")(lambda s, d: T.sum_axes(vectors(s, d), [0, 1]))
-query("sum_wrapped", f"SELECT {sql_wrap('sum(x::HUGEINT * 1000)')} AS v FROM {SQL_O}")(lambda s, d: numbers(s, d).agg(S.sum_wrapped(F.col("x") * 1000).alias("v")))
+query("sum_wrapped", f"SELECT {sql_wrap('sum(x::HUGEINT * 1000)')} AS v FROM {SQL_O}")(lambda s, d: numbers(s, d).agg(S.sum_wrapped(S.multiply(F.col("x"), F.lit(1000), S.I64)).alias("v")))
 query("cumsum", f"SELECT pos AS i0, CAST(sum(v) OVER (ORDER BY pos) AS BIGINT) AS v FROM {SQL_E}")(lambda s, d: T.cumsum(events(s, d).select(F.col("pos").alias("i0"), "v"), 0))
 query("cumsum_axis", f"SELECT i0, i1, CAST(sum(v) OVER (PARTITION BY i1 ORDER BY i0) AS BIGINT) AS v FROM {SQL_T}")(lambda s, d: T.cumsum(vectors(s, d), 0))
 query("cumsum_bits", f"SELECT pos AS i0, CAST(sum(v % 2) OVER (ORDER BY pos) % 2 AS INTEGER) AS v FROM (SELECT pos, abs(v) AS v FROM {SQL_E})")(lambda s, d: T.cumsum(events(s, d).select(F.col("pos").alias("i0"), (F.abs("v") % 2).alias("v")), 0, S.BIT).withColumn("v", F.col("v").cast("int")))

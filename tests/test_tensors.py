@@ -375,3 +375,8 @@ def test_sub_wrap_of_large_keys(spark, late_orders):
     d, numbers = late_orders
     got = {r["o_orderkey"]: r["v64"] for r in catalogue.QUERIES["sub_wrap"](spark, d).collect()}
     assert got == {k: _wrap64(-x - (9223372036850000000 - 10**15) - 100 * x) for k, (x, _) in numbers.items()}
+
+
+def test_sum_wrapped_of_large_keys(spark, late_orders):
+    d, numbers = late_orders
+    assert catalogue.QUERIES["sum_wrapped"](spark, d).first()["v"] == _wrap64(sum(1000 * x for x, _ in numbers.values()))
