@@ -2,11 +2,15 @@
 
 Both halves are bit patterns, and lo is always unsigned. Nothing relies on silent overflow, so results
 don't depend on ANSI mode. Expressions name a half more than once; generated code computes it once.
+
+`multiply`, `multiply64` and `floor_divide` take any operands and bind them in lambdas, which Spark interprets.
+`product` and `product64` stay in generated code but name an operand dozens of times, so theirs should be
+columns: `with_halves` puts intermediate results into columns of their own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .fixed import let
@@ -38,6 +42,16 @@ def from_unsigned(x: Column) -> Column:
     return wide(F.lit(0), x)
 
 
+def with_halves(df: DataFrame, **values: Column) -> DataFrame:
+    """Each value as two columns, name_hi and name_lo; named apart, they aren't merged with what uses them."""
+    return df.withColumns({f"{n}_{h}": v[h] for n, v in values.items() for h in ("hi", "lo")})
+
+
+def named(name: str) -> Column:
+    """The value that `with_halves` put into columns."""
+    return wide(F.col(f"{name}_hi"), F.col(f"{name}_lo"))
+
+
 def _bit(condition: Column) -> Column:
     return condition.cast("bigint")
 
@@ -75,20 +89,23 @@ def _upper_product(a: Column, b: Column) -> Column:
     return F.shiftleft(carry, 16).bitwiseOR(digit)
 
 
+def product64(a: Column, b: Column) -> Column:
+    """The whole product of two unsigned 64-bit patterns in columns."""
+    return wide(_upper_product(a, b), mul64(a, b))
+
+
+def product(a: Column, b: Column) -> Column:
+    """The product of operands whose halves are columns."""
+    return wide(sum64(_upper_product(a["lo"], b["lo"]), mul64(a["hi"], b["lo"]), mul64(a["lo"], b["hi"])), mul64(a["lo"], b["lo"]))
+
+
 def multiply64(a: Column, b: Column) -> Column:
     """The whole product of two unsigned 64-bit patterns."""
-    return let(F.struct(a.cast("bigint").alias("a"), b.cast("bigint").alias("b")), lambda p: wide(_upper_product(p["a"], p["b"]), mul64(p["a"], p["b"])))
+    return let(F.struct(a.cast("bigint").alias("a"), b.cast("bigint").alias("b")), lambda p: product64(p["a"], p["b"]))
 
 
 def multiply(a: Column, b: Column) -> Column:
-    pair = F.struct(a.alias("a"), b.alias("b"))
-
-    def product(p: Column) -> Column:
-        x, y = p["a"], p["b"]
-        hi = sum64(_upper_product(x["lo"], y["lo"]), mul64(x["hi"], y["lo"]), mul64(x["lo"], y["hi"]))
-        return wide(hi, mul64(x["lo"], y["lo"]))
-
-    return let(pair, product)
+    return let(F.struct(a.alias("a"), b.alias("b")), lambda p: product(p["a"], p["b"]))
 
 
 def _top(x: Column, kind: str) -> Column:
@@ -191,10 +208,25 @@ def floor_divide(a: Column, b: Column, kind: str = I128) -> Column:
     return let(F.struct(a.alias("a"), b.alias("b")), signed)
 
 
+def _shift_toward_zero(x: Column, k: int, kind: str) -> Column:
+    """Division by 2^k, k from 0 to 127: negative values are raised by 2^k - 1 before the shift."""
+    if kind == I128:
+        up = literal((1 << k) - 1)
+        x = add(x, wide(*(F.when(x["hi"] < 0, up[h]).otherwise(F.lit(0).cast("bigint")) for h in ("hi", "lo"))))
+    down = F.shiftright if kind == I128 else F.shiftrightunsigned
+    if k == 0:
+        return x
+    if k >= 64:
+        return wide(down(x["hi"], 63) if kind == I128 else F.lit(0), down(x["hi"], k - 64))
+    return wide(down(x["hi"], k), F.shiftrightunsigned(x["lo"], k).bitwiseOR(F.shiftleft(x["hi"], 64 - k)))
+
+
 def truncate(x: Column, scale: int, kind: str = I128) -> Column:
-    """Division by a positive constant toward zero."""
+    """Division by a positive constant toward zero; by a power of two it stays in generated code."""
     if scale <= 0:
         raise ValueError("scale must be positive")
+    if scale & (scale - 1) == 0 and scale < 1 << 128:
+        return _shift_toward_zero(x, scale.bit_length() - 1, kind)
     if kind == U128:
         return divmod_unsigned(x, literal(scale))["q"]
 

@@ -521,21 +521,24 @@ def _sql_halves(e: str, name: str) -> str:
     return f"CAST((({e}) - {low}) // {m} AS BIGINT) AS {name}_hi, {sql_wrap(e)} AS {name}_lo"
 
 
-def _wide_pair(s: SparkSession, d: str) -> DataFrame:
-    a, b = L.multiply64(x(), x()), L.from_signed(y())
-    return numbers(s, d).select("o_orderkey", L.multiply(a, b).alias("a"), L.from_signed(y() * 7 + 3).alias("b"))
+def _wide_pair(s: SparkSession, d: str, divided: bool = False) -> DataFrame:
+    """a, b and a / 2^60 in columns of their own, so that they stay in generated code; if asked for, both parts of a / b by one division."""
+    df = L.with_halves(numbers(s, d), square=L.product64(x(), x()))
+    df = L.with_halves(df, a=L.product(L.named("square"), L.from_signed(y())), b=L.from_signed(y() * 7 + 3))
+    df = L.with_halves(df, cut=L.truncate(L.named("a"), 1 << 60))
+    return df.withColumn("parts", L.floor_divide(L.named("a"), L.named("b"))) if divided else df
 
 
-_WIDE = {"sum": L.add, "difference": L.subtract, "product": lambda a, b: L.multiply(L.truncate(a, 1 << 60), b), "q": lambda a, b: L.floor_divide(a, b)["q"], "r": lambda a, b: L.floor_divide(a, b)["r"], "bits": lambda a, b: L.from_bits(L.bits(a))}
+_WIDE = {"sum": L.add, "difference": L.subtract, "product": lambda a, b: L.product(L.named("cut"), b), "q": lambda a, b: F.col("parts")["q"], "r": lambda a, b: F.col("parts")["r"], "bits": lambda a, b: L.from_bits(L.bits(a))}
 _WA, _WB = "x::HUGEINT * x * y", "(y * 7 + 3)::HUGEINT"
 _OFF = f"(({_WA}) % {_WB} <> 0 AND (({_WA}) < 0) <> ({_WB} < 0))"
 _SQL_WIDE = {"sum": f"{_WA} + {_WB}", "difference": f"{_WA} - {_WB}", "product": f"(({_WA}) // 1152921504606846976) * {_WB}", "q": f"({_WA}) // {_WB} - CASE WHEN {_OFF} THEN 1 ELSE 0 END", "r": f"({_WA}) % {_WB} + CASE WHEN {_OFF} THEN {_WB} ELSE 0::HUGEINT END", "bits": _WA}
 for _names in (("sum", "difference", "bits"), ("product",), ("q", "r")):
     query(f"wide_{_names[0]}", f"SELECT o_orderkey, {', '.join(_sql_halves(_SQL_WIDE[n], n) for n in _names)} FROM {SQL_O}")(
-        lambda s, d, names=_names: _wide_pair(s, d).select("o_orderkey", *(_WIDE[n](F.col("a"), F.col("b")).alias(n) for n in names)).select("o_orderkey", *(F.col(n)[h].alias(f"{n}_{h}") for n in names for h in ("hi", "lo")))
+        lambda s, d, names=_names: _wide_pair(s, d, "q" in names).select("o_orderkey", *(_WIDE[n](L.named("a"), L.named("b"))[h].alias(f"{n}_{h}") for n in names for h in ("hi", "lo")))
     )
 query("wide_compare", f"SELECT o_orderkey, CAST({_WA} < {_WB} * 1000000000000 AS INTEGER) AS less, CAST({_WA} = {_WB} AS INTEGER) AS equal FROM {SQL_O}")(
-    lambda s, d: _wide_pair(s, d).select("o_orderkey", L.less(F.col("a"), L.multiply(F.col("b"), L.literal(10**12))).cast("int").alias("less"), L.equal(F.col("a"), F.col("b")).cast("int").alias("equal"))
+    lambda s, d: _wide_pair(s, d).select("o_orderkey", L.less(L.named("a"), L.product(L.named("b"), L.literal(10**12))).cast("int").alias("less"), L.equal(L.named("a"), L.named("b")).cast("int").alias("equal"))
 )
 
 scalar_query("cumulative_or", {"bits": lambda: F.array_join(B.cumulative_or(F.slice(B.a2b(key(), S.I64).array(), 1, 8)).cast("array<string>"), "")}, {"bits": "array_to_string(list_transform(range(0, 8), lambda i: CASE WHEN (o_orderkey & 255) >> i > 0 THEN 1 ELSE 0 END), '')"})

@@ -380,3 +380,25 @@ def test_sub_wrap_of_large_keys(spark, late_orders):
 def test_sum_wrapped_of_large_keys(spark, late_orders):
     d, numbers = late_orders
     assert catalogue.QUERIES["sum_wrapped"](spark, d).first()["v"] == _wrap64(sum(1000 * x for x, _ in numbers.values()))
+
+
+def test_wide_product_is_compiled(spark, late_orders):
+    """Right for values of all sizes, and without lambdas, which Spark interprets."""
+    d, numbers = late_orders
+    df = catalogue.QUERIES["wide_product"](spark, d)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan and "aggregate(" not in plan
+    for r in df.collect():
+        x, y = numbers[r["o_orderkey"]]
+        a = _wrap(x * x * y)
+        assert _whole(r["product_hi"], r["product_lo"]) == _wrap(abs(a) // (1 << 60) * (-1 if a < 0 else 1) * (y * 7 + 3))
+
+
+@pytest.mark.parametrize("k", [0, 1, 63, 64, 65, 127])
+def test_wide_truncation_by_a_power_of_two(spark, k):
+    df = spark.range(len(INTS)).coalesce(1)
+    x = F.element_at(F.array(*(L.literal(v) for v in INTS)), (F.col("id") + 1).cast("int"))
+    for r in df.select("id", L.truncate(x, 1 << k).alias("t"), L.truncate(x, 1 << k, L.U128).alias("u")).collect():
+        v = INTS[r["id"]]
+        assert _whole(r["t"]["hi"], r["t"]["lo"]) == abs(v) // (1 << k) * (-1 if v < 0 else 1)
+        assert _whole(r["u"]["hi"], r["u"]["lo"]) % (1 << 128) == v % (1 << 128) >> k
