@@ -208,6 +208,36 @@ def floor_divide(a: Column, b: Column, kind: str = I128) -> Column:
     return let(F.struct(a.alias("a"), b.alias("b")), signed)
 
 
+def with_floor_parts(df: DataFrame, a: str, b: str, q: str, r: str) -> DataFrame:
+    """`floor_divide` of the signed named values a and b, whose parts become the named values q and r.
+
+    Divisors below 2^46 in size are made positive and divide 16 bits at a time, of which the first are signed:
+    that gives the quotient toward minus infinity at once. Only rows with other divisors are interpreted."""
+    zero, x, y = F.lit(0).cast("bigint"), named(a), named(b)
+    small = ((y["hi"] == 0) & (y["lo"] > 0) & (y["lo"] < SMALL)) | ((y["hi"] == -1) & (y["lo"] < 0) & (y["lo"] > -SMALL))
+    df = df.withColumns({"_small": small, "_low": y["hi"] < 0})
+    small, low, minus = F.col("_small"), F.col("_low"), negate(x)
+    size = {f"_{h}": F.when(~small, zero).when(low, minus[h]).otherwise(x[h]) for h in ("hi", "lo")}
+    # -2^127 has no negative among 128 bits, but its first digit has.
+    least = small & low & (x["hi"] == SIGN) & (x["lo"] == 0)
+    by = F.when(small, F.abs(y["lo"])).when(~small, F.lit(1).cast("bigint"))
+    df = df.withColumns({**size, "_by": by, "_least": least, "_far": F.when(~small, floor_divide(x, y))})
+    by = F.col("_by")
+    t = F.when(F.col("_least"), F.lit(1 << 15).cast("bigint")).otherwise(F.shiftright("_hi", 48))
+    df = df.withColumns({"_t": t, "_r0": F.pmod(t, by)}).withColumn("_d0", F.call_function("div", F.col("_t") - F.col("_r0"), by))
+    for i, (half, shift) in enumerate([("_hi", 32), ("_hi", 16), ("_hi", 0), ("_lo", 48), ("_lo", 32), ("_lo", 16), ("_lo", 0)], 1):
+        df = df.withColumn("_t", F.col(f"_r{i - 1}") * 65536 + F.shiftrightunsigned(half, shift).bitwiseAND(F.lit(0xFFFF)))
+        df = df.withColumns({f"_d{i}": F.call_function("div", F.col("_t"), by), f"_r{i}": F.col("_t") % by})
+    digits = [F.col(f"_d{i}") for i in range(8)]
+    word = lambda d: F.shiftleft(d[0], 48).bitwiseOR(F.shiftleft(d[1], 32)).bitwiseOR(F.shiftleft(d[2], 16)).bitwiseOR(d[3])
+    df = df.withColumns({"_q_hi": word(digits[:4]), "_q_lo": word(digits[4:]), "_r": F.col("_r7")})
+    near = {q: wide(F.col("_q_hi"), F.col("_q_lo")), r: from_signed(F.when(low, -F.col("_r")).otherwise(F.col("_r")))}
+    far = {q: F.col("_far")["q"], r: F.col("_far")["r"]}
+    # The near parts are null where an operand is, and 0 in rows of the other way.
+    df = with_halves(df, **{n: wide(*(v[h].bitwiseOR(F.coalesce(far[n][h], zero)) for h in ("hi", "lo"))) for n, v in near.items()})
+    return df.drop("_small", "_low", *size, "_by", "_least", "_far", "_q_hi", "_q_lo", "_r", "_t", *(f"_{n}{i}" for n in "dr" for i in range(8)))
+
+
 def _shift_toward_zero(x: Column, k: int, kind: str) -> Column:
     """Division by 2^k, k from 0 to 127: negative values are raised by 2^k - 1 before the shift."""
     if kind == I128:

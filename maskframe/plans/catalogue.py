@@ -522,14 +522,14 @@ def _sql_halves(e: str, name: str) -> str:
 
 
 def _wide_pair(s: SparkSession, d: str, divided: bool = False) -> DataFrame:
-    """a, b and a / 2^60 in columns of their own, so that they stay in generated code; if asked for, both parts of a / b by one division."""
+    """a, b and a / 2^60 in columns of their own, so that they stay in generated code; if asked for, q and r of a / b too."""
     df = L.with_halves(numbers(s, d), square=L.product64(x(), x()))
     df = L.with_halves(df, a=L.product(L.named("square"), L.from_signed(y())), b=L.from_signed(y() * 7 + 3))
     df = L.with_halves(df, cut=L.truncate(L.named("a"), 1 << 60))
-    return df.withColumn("parts", L.floor_divide(L.named("a"), L.named("b"))) if divided else df
+    return L.with_floor_parts(df, "a", "b", "q", "r") if divided else df
 
 
-_WIDE = {"sum": L.add, "difference": L.subtract, "product": lambda a, b: L.product(L.named("cut"), b), "q": lambda a, b: F.col("parts")["q"], "r": lambda a, b: F.col("parts")["r"], "bits": lambda a, b: L.from_bits(L.bits(a))}
+_WIDE = {"sum": L.add, "difference": L.subtract, "product": lambda a, b: L.product(L.named("cut"), b), "q": lambda a, b: L.named("q"), "r": lambda a, b: L.named("r"), "bits": lambda a, b: L.from_bits(L.bits(a))}
 _WA, _WB = "x::HUGEINT * x * y", "(y * 7 + 3)::HUGEINT"
 _OFF = f"(({_WA}) % {_WB} <> 0 AND (({_WA}) < 0) <> ({_WB} < 0))"
 _SQL_WIDE = {"sum": f"{_WA} + {_WB}", "difference": f"{_WA} - {_WB}", "product": f"(({_WA}) // 1152921504606846976) * {_WB}", "q": f"({_WA}) // {_WB} - CASE WHEN {_OFF} THEN 1 ELSE 0 END", "r": f"({_WA}) % {_WB} + CASE WHEN {_OFF} THEN {_WB} ELSE 0::HUGEINT END", "bits": _WA}

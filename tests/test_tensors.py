@@ -402,3 +402,18 @@ def test_wide_truncation_by_a_power_of_two(spark, k):
         v = INTS[r["id"]]
         assert _whole(r["t"]["hi"], r["t"]["lo"]) == abs(v) // (1 << k) * (-1 if v < 0 else 1)
         assert _whole(r["u"]["hi"], r["u"]["lo"]) % (1 << 128) == v % (1 << 128) >> k
+
+
+def test_floor_parts_in_columns(spark):
+    """Divisors of all sizes and signs, 0, and -2^127 by -1, as `floor_divide` has them; nulls give nulls."""
+    half = lambda v: v - (1 << 64) if v >= 1 << 63 else v
+    split = lambda v: (half(v >> 64 & (1 << 64) - 1), half(v & (1 << 64) - 1))
+    divisors = [0, 1, -1, 5, -7, (1 << 46) - 1, 1 - (1 << 46), 1 << 46, -(1 << 46), 123456789 << 50, -(1 << 127)]
+    rows = [(*split(a), *split(b)) for a in INTS for b in divisors] + [(None, None, 0, 5), (0, 5, None, None)]
+    df = spark.createDataFrame(rows, "a_hi bigint, a_lo bigint, b_hi bigint, b_lo bigint")
+    for r in L.with_floor_parts(df, "a", "b", "q", "r").collect():
+        if r["a_lo"] is None or r["b_lo"] is None:
+            assert (r["q_lo"], r["r_lo"]) == (None, None)
+            continue
+        a, b = _whole(r["a_hi"], r["a_lo"]), _whole(r["b_hi"], r["b_lo"])
+        assert (_whole(r["q_hi"], r["q_lo"]), _whole(r["r_hi"], r["r_lo"])) == ((_wrap(a // b), a % b) if b else (0, a))
